@@ -1,22 +1,35 @@
-"""The corpus pipeline; its stages are filled in as their operators land."""
+"""The corpus pipeline: toxic documents, near copies, repeated passages and benchmark leaks go; the rest is packed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlens.llm import near_duplicates, packing, repeated_passages
+from cohortlens.llm import decontamination, near_duplicates, packing, repeated_passages, toxicity
 from cohortlens.llm.common import read, stored
+from cohortlens.llm.queries import toxicity_model
+
+
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity operator rejects go."""
+    return toxicity.score(docs, toxicity_model(spark, sf_dir)).where("predicted = 0").select(*docs.columns)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: the one with the least id."""
     return near_duplicates.one_per_component(docs).select(*docs.columns)
 
 
 def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated passages go; documents that lose all their text go with them."""
-    kept = repeated_passages.remove_repeats(docs)
-    return kept.where("n_removed < n_bytes or n_bytes = 0").select(*docs.columns)
+    """Later copies of repeated passages go, and with them documents that they were all of; n_chars follows the text."""
+    kept = repeated_passages.remove_repeats(docs).where("n_removed < n_bytes or n_bytes = 0")
+    if "n_chars" in docs.columns:
+        kept = kept.selectExpr("* except (n_chars)", "cast(length(text) as bigint) as n_chars")
+    return kept.select(*docs.columns)
+
+
+def leaks_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    return decontamination.without_contaminated(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +37,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("near_dedup", near_duplicates_out), ("suffix_dedup", repeats_out), ("packing", packed)]
+STAGES = [("toxicity", toxic_out), ("near_dedup", near_duplicates_out), ("suffix_dedup", repeats_out), ("decontamination", leaks_out), ("packing", packed)]
+#: The stages use learned models and hashes that SQL has no words for; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over ``documents``; each stage's rows are written and read again before the next."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
