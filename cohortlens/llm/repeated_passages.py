@@ -237,7 +237,7 @@ def _spans(texts: DataFrame, flagged: DataFrame, span: int, buckets: int, often:
     left, right = span - PIECE, span
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
+        for part in (some.slice(at, 1000) for some in parts for at in range(0, some.num_rows, 1000)):  # bounds what a task holds
             seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             for k, ident, text, at in zip(*(part.column(n).to_pylist() for n in ("k", "first_id")), part.column("text").cast(pa.binary()).to_pylist(), part.column("at").to_pylist(), strict=True):
                 hashes = _piece_hashes(np.frombuffer(text, np.uint8))[at].tolist() if often else [0] * len(at)
@@ -318,7 +318,7 @@ def _spans(texts: DataFrame, flagged: DataFrame, span: int, buckets: int, often:
     return cut.groupBy("b").applyInArrow(factors, "k long, first_id long, from long, to long")
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 32 << 20, most_hot: int = 2_000_000, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, most_hot: int = 2_000_000, hot: int = 20_000) -> DataFrame:
     """The rows of ``docs`` with their text after removal, and n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte of the UTF-8 text covered by a string of ``span`` bytes that also starts in a row of smaller id;
