@@ -27,7 +27,7 @@ def match_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def doc_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return se.coverage(_docs(spark, d), {"que": ["que", "les"]})
+    return se.coverage(_docs(spark, d), {"a": ["this", "are"], "b": ["with"]})
 
 
 def search_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -255,7 +255,7 @@ _TURNS = "select concat_ws('-', conv_id, turn) as encounter_note_id, {} as text
 SQL = {
     "anchor_spans": f'with {_ALL} select document_id, keyword_category, "start", "end", keyword from hits',
     "match_stats": f"with {_ALL} select keyword_category, keyword, count(*) as n from hits group by all",
-    "doc_coverage": r"select count(*) as n_documents, count(*) filter (regexp_matches(text, '(?i)\bque\b|\bles\b')) as n_matched from documents",
+    "doc_coverage": r"select count(*) as n_documents, count(*) filter (regexp_matches(text, '(?i)\bthis\b|\bare\b|\bwith\b')) as n_matched from documents",
     "search_windows": f'with {_spans_sql({"conj": DEMO["conj"]})}, {_window_sql(5)} select document_id, keyword_category, "start", "end", keyword, {_norm_sql(_clean_sql("w"))} as text from windows',
     "corpus_windows": f'with {_spans_sql({"cop": DEMO["cop"]}, _TURNS.format(_norm_sql(_clean_sql("text"))))}, {_window_sql(3)} select encounter_note_id, w as note_text, keyword_category, "start", "end", keyword from windows',
     "clinical_search": "select 'compliance' as keyword_category, 'compliant' as keyword, sum((len(string_split(text, ' ')) + 4) // 9)::bigint as n, true as negated from conversations",
