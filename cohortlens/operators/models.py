@@ -143,14 +143,14 @@ def importances(spark: SparkSession, model, features: Sequence[str]) -> DataFram
     return spark.createDataFrame([(f, float(values[j])) for j, f in enumerate(features)], "feature string, importance double")
 
 
-def score_batches(df: DataFrame, make_model: Callable, input_col: str, output_type: str = "array<double>", output_col: str = "probabilities", batch_size: int = 32) -> DataFrame:
-    """``df`` with the output of a user's model, made once per Python worker by ``make_model`` and called on batches of arrays.
+def score_batches(df: DataFrame, make_model: Callable, input_col: str, width: int, output_type: str = "array<double>", output_col: str = "probabilities", batch_size: int = 32) -> DataFrame:
+    """``df`` with the output of a user's model, made once per Python worker by ``make_model`` and called on batches of arrays of ``width`` numbers.
 
     Serves class probabilities and embeddings alike.
     """
     from pyspark.sql.types import _parse_datatype_string
 
-    call = predict_batch_udf(make_model, return_type=_parse_datatype_string(output_type), batch_size=batch_size)
+    call = predict_batch_udf(make_model, return_type=_parse_datatype_string(output_type), batch_size=batch_size, input_tensor_shapes=[[width]])
     return df.withColumn(output_col, call(F.col(input_col)))
 
 
