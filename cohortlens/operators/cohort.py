@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,27 +12,48 @@ from cohortlens.operators.guards import none_left, require_columns
 from cohortlens.operators.search import rewindow, with_negation
 from cohortlens.operators.tokens import PhraseLearner, learned_on_train, token_views
 
-# How the hospital's race codes are grouped. Others stay as they are.
+# The group of each of the hospital's race codes. Others stay as they are.
 RACES = {
-    "White or Caucasian": ["WHITE", "WHITE - RUSSIAN", "WHITE - EASTERN EUROPEAN", "WHITE - BRAZILIAN", "WHITE - OTHER EUROPEAN"],
-    "Black or African American": ["BLACK/AFRICAN AMERICAN", "BLACK/AFRICAN", "BLACK/CAPE VERDEAN", "BLACK/CARIBBEAN ISLAND"],
-    "Portuguese": ["PORTUGUESE"],
-    "American Indian or Native": ["AMERICAN INDIAN/ALASKA NATIVE", "NATIVE HAWAIIAN OR OTHER PACIFIC ISLANDER"],
-    "Mixed": ["MULTIPLE RACE/ETHNICITY"],
-    "Hispanic or Latino": ["HISPANIC OR LATINO", *[f"HISPANIC/LATINO - {x}" for x in ("PUERTO RICAN", "COLUMBIAN", "CUBAN", "DOMINICAN", "GUATEMALAN", "HONDURAN", "MEXICAN", "SALVADORAN", "CENTRAL AMERICAN")]],
-    "South American": ["SOUTH AMERICAN"],
-    "Asian": ["ASIAN", *[f"ASIAN - {x}" for x in ("SOUTH EAST ASIAN", "KOREAN", "ASIAN INDIAN", "CHINESE")]],
-    "Other": ["OTHER"],
-    "Unknown": ["UNKNOWN", "UNABLE TO OBTAIN", "PATIENT DECLINED TO ANSWER"],
+    "WHITE": "White or Caucasian",
+    "BLACK/AFRICAN AMERICAN": "Black or African American",
+    "BLACK/AFRICAN": "Black or African American",
+    "BLACK/CAPE VERDEAN": "Black or African American",
+    "BLACK/CARIBBEAN ISLAND": "Black or African American",
+    "WHITE - RUSSIAN": "White or Caucasian",
+    "WHITE - EASTERN EUROPEAN": "White or Caucasian",
+    "WHITE - BRAZILIAN": "White or Caucasian",
+    "WHITE - OTHER EUROPEAN": "White or Caucasian",
+    "PORTUGUESE": "Portuguese",
+    "AMERICAN INDIAN/ALASKA NATIVE": "American Indian or Native",
+    "NATIVE HAWAIIAN OR OTHER PACIFIC ISLANDER": "American Indian or Native",
+    "MULTIPLE RACE/ETHNICITY": "Mixed",
+    "HISPANIC OR LATINO": "Hispanic or Latino",
+    "HISPANIC/LATINO - PUERTO RICAN": "Hispanic or Latino",
+    "HISPANIC/LATINO - COLUMBIAN": "Hispanic or Latino",
+    "HISPANIC/LATINO - CUBAN": "Hispanic or Latino",
+    "HISPANIC/LATINO - DOMINICAN": "Hispanic or Latino",
+    "HISPANIC/LATINO - GUATEMALAN": "Hispanic or Latino",
+    "HISPANIC/LATINO - HONDURAN": "Hispanic or Latino",
+    "HISPANIC/LATINO - MEXICAN": "Hispanic or Latino",
+    "HISPANIC/LATINO - SALVADORAN": "Hispanic or Latino",
+    "HISPANIC/LATINO - CENTRAL AMERICAN": "Hispanic or Latino",
+    "SOUTH AMERICAN": "South American",
+    "ASIAN": "Asian",
+    "ASIAN - SOUTH EAST ASIAN": "Asian",
+    "ASIAN - KOREAN": "Asian",
+    "ASIAN - ASIAN INDIAN": "Asian",
+    "ASIAN - CHINESE": "Asian",
+    "OTHER": "Other",
+    "UNKNOWN": "Unknown",
+    "UNABLE TO OBTAIN": "Unknown",
+    "PATIENT DECLINED TO ANSWER": "Unknown",
 }
 
 
-def recode(c: Column, groups: dict[str, list[str]]) -> Column:
-    """The group that lists the value, or the value itself."""
-    out = c
-    for name, values in groups.items():
-        out = F.when(c.isin(values), name).otherwise(out)
-    return out
+def recode(c: Column, table: Mapping[str, str]) -> Column:
+    """What the table has for the value, or the value itself."""
+    held = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(held, c), c)
 
 
 def patients(df: DataFrame) -> DataFrame:

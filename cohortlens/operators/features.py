@@ -187,29 +187,49 @@ def mean_by_position(parts: DataFrame) -> DataFrame:
 
 #: Keywords that are analysed together.
 KEYWORD_GROUPS = {
-    "adamant": ["claim claims claimed claiming", "insist insists insisted insisting insistence", "adamant adament adamantly adamently"],
-    "compliance": ["adhere adheres adhered adherance adherence adherent adhering nonadherance nonadherence nonadherent", "compliance compliant complies complied comply complying noncompliance noncompliant", "declined declines declining", "refuse refusal refused refuses refusing"],
-    "other": ["aggressive aggressively aggression angry anger angers angered angrily angrier agitated agitation", "argumentative argumentatively belligerence belligerent belligerently combative confronted confrontational defensive", "charming pleasant pleasantly lovely delightful well_groomed well-groomed", "poorly_groomed poorly-groomed unkempt disheveled", "drug-seeking drug_seeking narcotic-seeking narcotic_seeking secondary_gain malinger malingers malingered malingerer malingering", "cooperative cooperate cooperates cooperated cooperation cooperating uncooperative", "historian", "exaggerate exaggerates exaggerating", "unmotivated unwilling unwillingly", "perseverate perseverates perseverated perseveration perseverating"],
-}
-
-
-def keyword_groups(groups: Mapping[str, Sequence[str]] = KEYWORD_GROUPS) -> dict[str, list[list[str]]]:
-    """Groups of keywords per category (a space parts keywords, an underscore stands for one inside); ValueError if two groups share one."""
-    out = {c: [[w.replace("_", " ") for w in g.split()] for g in gs] for c, gs in groups.items()}
-    for c, gs in out.items():
+    "adamant": [
+        ["claim", "claims", "claimed", "claiming"],
+        ["insist", "insists", "insisted", "insisting", "insistence"],
+        ["adamant", "adament", "adamantly", "adamently"],
+    ],
+    "compliance": [
+        ["adhere", "adheres", "adhered", "adherance", "adherence", "adherent", "adhering", "nonadherance", "nonadherence", "nonadherent"],
+        ["compliance", "compliant", "complies", "complied", "comply", "complying", "noncompliance", "noncompliant"],
+        ["declined", "declines", "declining"],
+        ["refuse", "refusal", "refused", "refuses", "refusing"],
+    ],
+    "other": [
+        ["aggressive", "aggressively", "aggression", "angry", "anger", "angers", "angered", "angrily", "angrier", "agitated", "agitation"],
+        ["argumentative", "argumentatively", "belligerence", "belligerent", "belligerently", "combative", "confronted", "confrontational", "defensive"],
+        ["charming", "pleasant", "pleasantly", "lovely", "delightful", "well groomed", "well-groomed"],
+        ["poorly groomed", "poorly-groomed", "unkempt", "disheveled"],
+        ["drug-seeking", "drug seeking", "narcotic-seeking", "narcotic seeking", "secondary gain", "malinger", "malingers", "malingered", "malingerer", "malingering"],
+        ["cooperative", "cooperate", "cooperates", "cooperated", "cooperation", "cooperating", "uncooperative"],
+        ["historian"],
+        ["exaggerate", "exaggerates", "exaggerating"],
+        ["unmotivated", "unwilling", "unwillingly"],
+        ["perseverate", "perseverates", "perseverated", "perseveration", "perseverating"],
+    ],
+}
+
+Groups = Mapping[str, Sequence[Sequence[str]]]
+
+
+def disjoint(groups: Groups) -> Groups:
+    """The groups themselves; ValueError if two groups of a category share a keyword."""
+    for c, gs in groups.items():
         words = [w for g in gs for w in g]
         if len(words) != len(set(words)):
             raise ValueError(f"groups of {c} share a keyword")
-    return out
+    return groups
 
 
-def select_groups(names: Sequence[str], groups: Mapping[str, Sequence[str]] = KEYWORD_GROUPS) -> dict[str, list[list[str]]]:
-    """The groups of the named categories; KeyError for an unknown one."""
-    held = keyword_groups(groups)
-    unknown = [n for n in names if n not in held]
+def select_groups(names: Sequence[str], groups: Groups = KEYWORD_GROUPS) -> dict[str, Sequence[Sequence[str]]]:
+    """The groups of the named categories; KeyError for an unknown one, ValueError if groups overlap."""
+    unknown = [n for n in names if n not in groups]
     if unknown:
         raise KeyError(f"unknown categories: {unknown}")
-    return {n: held[n] for n in names}
+    return {n: disjoint(groups)[n] for n in names}
 
 
 def labelled_set(df: DataFrame, category: str, label_col: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -13,9 +13,9 @@ Lexicon = Mapping[str, Sequence[str]]
 
 #: The terms searched for in clinical notes.
 CLINICAL: dict[str, list[str]] = {
-    "adamant": "adamant, adamantly, adament, adamently, claim, claimed, claiming, claims, insist, insisted, insistence, insisting, insists".split(", "),
-    "compliance": "adherance, adhere, adhered, adherence, adherent, adheres, adhering, compliance, compliant, complied, complies, comply, complying, declined, declines, declining, nonadherance, nonadherence, nonadherent, noncompliance, noncompliant, refusal, refuse, refused, refuses, refusing".split(", "),
-    "other": "aggression, aggressive, aggressively, agitated, agitation, anger, angered, angers, angrier, angrily, angry, argumentative, argumentatively, belligerence, belligerent, belligerently, charming, combative, combatively, confrontational, cooperative, defensive, delightful, disheveled, drug seeking, drug-seeking, exaggerate, exaggerates, exaggerating, historian, lovely, malinger, malingered, malingerer, malingering, malingers, narcotic seeking, narcotic-seeking, pleasant, pleasantly, poorly groomed, poorly-groomed, secondary gain, uncooperative, unkempt, unmotivated, unwilling, unwillingly, well groomed, well-groomed".split(", "),
+    "adamant": ["adamant", "adamantly", "adament", "adamently", "claim", "claimed", "claiming", "claims", "insist", "insisted", "insistence", "insisting", "insists"],
+    "compliance": ["adherance", "adhere", "adhered", "adherence", "adherent", "adheres", "adhering", "compliance", "compliant", "complied", "complies", "comply", "complying", "declined", "declines", "declining", "nonadherance", "nonadherence", "nonadherent", "noncompliance", "noncompliant", "refusal", "refuse", "refused", "refuses", "refusing"],
+    "other": ["aggression", "aggressive", "aggressively", "agitated", "agitation", "anger", "angered", "angers", "angrier", "angrily", "angry", "argumentative", "argumentatively", "belligerence", "belligerent", "belligerently", "charming", "combative", "combatively", "confrontational", "cooperative", "defensive", "delightful", "disheveled", "drug seeking", "drug-seeking", "exaggerate", "exaggerates", "exaggerating", "historian", "lovely", "malinger", "malingered", "malingerer", "malingering", "malingers", "narcotic seeking", "narcotic-seeking", "pleasant", "pleasantly", "poorly groomed", "poorly-groomed", "secondary gain", "uncooperative", "unkempt", "unmotivated", "unwilling", "unwillingly", "well groomed", "well-groomed"],
 }
 
 #: Common words, for tables that hold none of the clinical terms.

@@ -180,7 +180,7 @@ def masks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grouped_hits(spark: SparkSession, d: str) -> DataFrame:
-    groups = select_groups(["det"], {"det": ["the a", "of"]})
+    groups = select_groups(["det"], {"det": [["the", "a"], ["of"]]})
     rows = [("det", k, w) for k, g in enumerate(groups["det"]) for w in g]
     held = spark.createDataFrame(rows, "keyword_category string, group_id int, keyword string")
     return se.find_hits(_docs(spark, d), DEMO).join(F.broadcast(held), ["keyword_category", "keyword"]).groupBy("keyword_category", "group_id").agg(F.count("*").alias("n"))

@@ -154,7 +154,7 @@ def test_features(spark):
     with pytest.raises(KeyError):
         ft.represent({"a": counts}, ["b"])
     with pytest.raises(ValueError):
-        ft.keyword_groups({"c": ["a b", "b"]})
+        ft.disjoint({"c": [["a", "b"], ["b"]]})
     mask = df.select(ft.anchor_mask(F.col("tokens"), F.array(F.lit("a")), "keyword").alias("m")).collect()
     assert mask[0].m == [True, False, False] or mask[0].m == [False, False, True]
     pooled = ft.mean_pool(spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 6.0], [9.0, 9.0]], [True, True, False])], "id int, v array<array<double>>, m array<boolean>"), "id", "v", "m").first()
