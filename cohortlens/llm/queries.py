@@ -53,7 +53,7 @@ def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
     """Learned from the labelled rows whose crc32(doc_id as text) mod 4 is not 2."""
     labels = read(spark, sf_dir, "labels").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)
-    return toxicity.fit(read(spark, sf_dir, "documents").select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id"))
+    return toxicity.fit(read(spark, sf_dir, "documents"), labels)
 
 
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

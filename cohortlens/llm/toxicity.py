@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import require, text_or_empty
+from cohortlens.llm.common import labelled_sample, require, text_or_empty
 
 #: Characters count by code, letters and digits by themselves and the others in shared classes.
 _CLASSES = 64
@@ -94,11 +94,11 @@ class Model:
     known: dict[str, float] = field(default_factory=dict)
 
     def word_scores(self, words: set[str]) -> dict[str, float]:
-        if len(self.known) > 300_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         new = [w for w in words if w not in self.known]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
+        for at in range(0, len(new), 4_000):
+            some = new[at : at + 4_000]
             w, c, v = subsequences(some, self.decay, self.reach)
             self.known.update(zip(some, np.bincount(w, v * self.beta[c], len(some)).tolist(), strict=True))
         return self.known
@@ -145,17 +145,23 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float, rounds:
     reg = np.full(x.shape[1], ridge)
     reg[-1] = 1e-6
     for _ in range(rounds):
-        slack = 1 - y * (x @ w)
-        on = slack > 0
-        a = x[on] * weight[on][:, None]
-        step = np.linalg.solve(a.T @ x[on] + np.diag(reg), a.T @ (y * slack)[on] - reg * w)
+        gram, pull = np.diag(reg), -reg * w
+        for at in range(0, len(x), 10_000):  # in parts, to hold little at once
+            part, sign, heavy = x[at : at + 10_000].astype(float), y[at : at + 10_000], weight[at : at + 10_000]
+            slack = 1 - sign * (part @ w)
+            on = slack > 0
+            part = part[on]
+            scaled = part * heavy[on][:, None]
+            gram = gram + scaled.T @ part
+            pull = pull + scaled.T @ (sign * slack)[on]
+        step = np.linalg.solve(gram, pull)
         w += step
         if np.abs(step).max() < 1e-3:
             break
     return w
 
 
-def train(rows: list[tuple[str, int]], landmarks: int = 256, decay: float = 0.6, reach: int = 6) -> Model:
+def train(rows: list[tuple[str, int]], landmarks: int = 160, decay: float = 0.6, reach: int = 6) -> Model:
     """A model from (text, label) rows.
 
     Landmarks are words: half those that tell toxic documents best (by their log odds, weighted by how often), half the commonest of
@@ -168,15 +174,22 @@ def train(rows: list[tuple[str, int]], landmarks: int = 256, decay: float = 0.6,
     if not len(y) or y.min() == y.max():
         zero.scale[5] = 0.0 if not len(y) else (10.0 if y[0] else -10.0)
         return zero
-    parsed = [words_of(t) for t, _ in rows]
-    df = [Counter(), Counter()]
-    for (words, _), label in zip(parsed, y, strict=True):
-        df[label].update({w for w in words if len(w) > 2})
+    place: dict[str, int] = {}
+    parsed = []  # per document: its words as numbers, and where sentences start
+    for text, _ in rows:
+        words, sentence = words_of(text)
+        numbers = np.fromiter((place.setdefault(w, len(place)) for w in words), np.int32, len(words))
+        parsed.append((numbers, np.flatnonzero(np.diff(np.array(sentence, np.int32), prepend=-1))))
+    names = list(place)
+    df = np.zeros((2, len(names)))
+    for (numbers, _), label in zip(parsed, y, strict=True):
+        df[label, np.unique(numbers)] += 1
     n = np.bincount(y, minlength=2)
-    odds = {w: np.log((k + 0.1) / (n[1] + 0.2)) - np.log((df[0][w] + 0.1) / (n[0] + 0.2)) for w, k in df[1].items()}
-    telling = sorted(odds, key=lambda w: (-odds[w] * np.sqrt(df[1][w]), w))[: landmarks // 2]
-    plain = [w for w, _ in sorted(df[0].items(), key=lambda x: (-x[1], x[0])) if w not in set(telling)][: landmarks - len(telling)]
-    marks = telling + plain
+    odds = np.log((df[1] + 0.1) / (n[1] + 0.2)) - np.log((df[0] + 0.1) / (n[0] + 0.2))
+    long = [k for k, w in enumerate(names) if len(w) > 2]
+    telling = sorted((k for k in long if df[1, k]), key=lambda k: (-odds[k] * np.sqrt(df[1, k]), names[k]))[: landmarks // 2]
+    plain = sorted(set(k for k in long if df[0, k]) - set(telling), key=lambda k: (-df[0, k], names[k]))[: landmarks - len(telling)]
+    marks = [names[k] for k in (*telling, *plain)]
     w, c, v = subsequences(marks, decay, reach)
     used, c = np.unique(c, return_inverse=True)
     phi = np.zeros((len(marks), len(used)))
@@ -186,48 +199,52 @@ def train(rows: list[tuple[str, int]], landmarks: int = 256, decay: float = 0.6,
     root = vectors[:, good] / np.sqrt(values[good])  # projects kernel values on the landmarks' span
     basis = phi.T @ root  # subsequence -> Nyström feature
 
-    vocabulary = sorted(set().union(*(p[0] for p in parsed)))
-    place = {x: i for i, x in enumerate(vocabulary)}
     column = np.full(_CLASSES**3, -1)
     column[used] = np.arange(len(used))
-    feature = np.zeros((len(vocabulary), basis.shape[1]), np.float32)
-    for at in range(0, len(vocabulary), 5000):
-        w, c, v = subsequences(vocabulary[at : at + 5000], decay, reach)
-        held = column[c] >= 0
-        some = np.zeros((min(5000, len(vocabulary) - at), len(used)), np.float32)
-        some[w[held], column[c[held]]] = v[held]
-        feature[at : at + 5000] = some @ basis.astype(np.float32)
-    xs, ys = [], []
-    for (words, sentence), label in zip(parsed, y, strict=True):
-        if words:
-            rows_ = feature[[place[x] for x in words]]
-            xs.append(np.add.reduceat(rows_, np.flatnonzero(np.diff(np.array(sentence), prepend=-1)), axis=0))
-            ys.append(np.full(len(xs[-1]), label))
-    x, label = np.concatenate(xs).astype(float), np.concatenate(ys)
-    x = np.hstack([x, np.ones((len(x), 1))])
+    basis32 = basis.astype(np.float32)
+
+    def sentences(some: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The features of all sentences of some documents, a thousand words at a time."""
+        used_words, at_word = np.unique(np.concatenate([numbers for numbers, _ in some]), return_inverse=True)
+        feature = np.zeros((len(used_words), basis.shape[1]), np.float32)
+        for at in range(0, len(used_words), 1000):
+            few = [names[k] for k in used_words[at : at + 1000]]
+            w, c, v = subsequences(few, decay, reach)
+            held = column[c] >= 0
+            part = np.zeros((len(few), len(used)), np.float32)
+            part[w[held], column[c[held]]] = v[held]
+            feature[at : at + 1000] = part @ basis32
+        starts = np.concatenate([s + k for (_, s), k in zip(some, np.cumsum([0, *(len(x) for x, _ in some)]), strict=False)])
+        return np.add.reduceat(feature[at_word], starts)
+
+    held = [k for k, (numbers, _) in enumerate(parsed) if len(numbers)]
+    label = np.concatenate([np.full(len(parsed[k][1]), y[k]) for k in held])
+    x = np.ones((len(label), basis.shape[1] + 1), np.float32)
+    done = 0
+    for at in range(0, len(held), 25):
+        some = sentences([parsed[k] for k in held[at : at + 25]])
+        x[done : done + len(some), :-1] = some
+        done += len(some)
     share = label.mean()
     w = _svm(x, 2.0 * label - 1, np.where(label == 1, 0.5 / share, 0.5 / (1 - share)), ridge=3.0)
     beta = np.zeros(_CLASSES**3)
     beta[used] = basis @ w[:-1]
     model = Model(beta, float(w[-1]), np.zeros(6), decay, reach)
-    model.scale = _logistic(model.features([t for t, _ in rows]), y, np.ones(len(y)))
+    documents = np.concatenate([model.features([t for t, _ in rows[at : at + 50]]) for at in range(0, len(rows), 50)])
+    model.scale = _logistic(documents, y, np.ones(len(y)))
     model.known = {}
     return model
 
 
-def fit(labelled: DataFrame, most_rows: int = 4000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
-    """Trains on at most ``most_rows`` rows, half of each label if there are so many, chosen by a hash of the id; other rows aren't looked at.
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, most_chars: int = 20_000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
+    """Trains on at most ``most_rows`` labelled documents of at most ``most_chars`` characters, half of each label if there are so many.
 
-    The bound keeps what the driver holds fixed. Rows without a label are left out; the calibration undoes the change of shares.
+    They are chosen by a hash of the id from ``labels`` alone, and their ids go to the documents, whose texts aren't shuffled. Both bounds keep what
+    the driver holds fixed. Null labels and repeated ids count once or not at all; the calibration undoes the change of shares.
     """
-    require(labelled, text_col, label_col, id_col)
-    rows = labelled.where(F.col(label_col).isNotNull()).select(text_or_empty(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col)).alias("draw"))
-    rows = rows.where(F.length("text") <= 50_000)
-    taken: list[tuple[str, int]] = []
-    for label in (0, 1):
-        taken += [(r.text, r.label) for r in rows.where(F.col("label") == label).orderBy("draw", "text").limit(most_rows // 2).collect()]  # at most most_rows
+    require(docs, text_col, id_col)
+    taken, seen = labelled_sample(docs, labels, most_rows, most_chars, text_col, label_col, id_col)
     model = train(taken)
-    seen = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     kept = Counter(label for _, label in taken)
     if len(kept) == 2:
         model.scale[5] += np.log(seen[1] / kept[1]) - np.log(seen[0] / kept[0])
