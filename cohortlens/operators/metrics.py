@@ -57,16 +57,22 @@ def scores(df: DataFrame, truth: str, predicted: str, by: Sequence[str] = (), la
     return wide.unpivot(list(by), names, "metric", "score") if by else wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).alias("score")) for n in names])).alias("x")).select("x.*")
 
 
-def roc_curve(df: DataFrame, positive: Column, score: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., threshold, fp, tp, n_neg, n_pos, fpr, tpr): one point per distinct score.
+def roc_curve(df: DataFrame, positive: Column, score: str, by: Sequence[str] = (), bins: int = 256) -> DataFrame:
+    """(by..., threshold, neg, pos, fp, tp, n_neg, n_pos, fpr, tpr): one point per distinct score, with its own rows and those down to it.
 
-    Equal scores are counted together first, and the running sums go over those counts per ``by``. Each curve
-    begins at the origin, which is not among the points.
+    Equal scores are counted together first. Running sums go over the scores inside one of ``bins`` steps per unit of score,
+    after the sums of the steps above, so that no task holds a whole curve of probabilities. Each curve begins at the origin, which is not among
+    the points.
     """
-    counts = df.groupBy(*by, F.col(score).alias("threshold")).agg(F.sum(positive.cast("int")).alias("p"), F.sum((~positive).cast("int")).alias("n"))
+    counts = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(F.sum((~positive).cast("int")).alias("neg"), F.sum(positive.cast("int")).alias("pos"))
+    counts = counts.withColumn("step", F.floor(F.col("threshold") * bins))
     all_ = Window.partitionBy(*by)
-    upto = all_.orderBy(F.desc("threshold"))
-    c = counts.select(*by, "threshold", F.sum("n").over(upto).alias("fp"), F.sum("p").over(upto).alias("tp"), F.sum("n").over(all_).alias("n_neg"), F.sum("p").over(all_).alias("n_pos"))
+    above = all_.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = counts.groupBy(*by, "step").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    zero = F.lit(0).cast("long")
+    starts = steps.select(*by, "step", F.coalesce(F.sum("neg").over(above), zero).alias("fp0"), F.coalesce(F.sum("pos").over(above), zero).alias("tp0"), F.sum("neg").over(all_).alias("n_neg"), F.sum("pos").over(all_).alias("n_pos"))
+    upto = Window.partitionBy(*by, "step").orderBy(F.desc("threshold"))
+    c = counts.join(starts, [*by, "step"]).select(*by, "threshold", "neg", "pos", (F.col("fp0") + F.sum("neg").over(upto)).alias("fp"), (F.col("tp0") + F.sum("pos").over(upto)).alias("tp"), "n_neg", "n_pos")
     return c.withColumns({"fpr": F.try_divide("fp", "n_neg"), "tpr": F.try_divide("tp", "n_pos")})
 
 
@@ -79,10 +85,9 @@ def thinned(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def auc(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., auc) by the trapezoid rule; null if a class is absent."""
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    step = (F.col("fp") - F.coalesce(F.lag("fp").over(w), F.lit(0))) * (F.col("tp") + F.coalesce(F.lag("tp").over(w), F.lit(0))) / 2.0
-    return curve.withColumn("area", step).groupBy(*by).agg(F.try_divide(F.sum("area"), F.max("n_neg").cast("double") * F.max("n_pos")).alias("auc"))
+    """(by..., auc) by the trapezoid rule, from each point's own rows and sums; null if a class is absent."""
+    area = F.sum(F.col("neg") * (2 * F.col("tp") - F.col("pos")) / 2.0)
+    return curve.groupBy(*by).agg(F.try_divide(area, F.max("n_neg").cast("double") * F.max("n_pos")).alias("auc"))
 
 
 def group_scores(df: DataFrame, truth: str, predicted: str, groups: Sequence[str], labels: DataFrame | None = None) -> DataFrame:

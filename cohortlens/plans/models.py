@@ -127,7 +127,7 @@ def confusion(spark: SparkSession, d: str) -> DataFrame:
 
 def roc(spark: SparkSession, d: str) -> DataFrame:
     rows = _predicted(spark, d).withColumn("s", F.round(F.col("n_chars") / 200))
-    return mt.roc_curve(rows, F.col("y") == 2, "s", ["lang"]).withColumns({c: F.round(c, 6) for c in ("fpr", "tpr")})
+    return mt.roc_curve(rows, F.col("y") == 2, "s", ["lang"]).drop("neg", "pos").withColumns({c: F.round(c, 6) for c in ("fpr", "tpr")})
 
 
 def roc_thinned(spark: SparkSession, d: str) -> DataFrame:
