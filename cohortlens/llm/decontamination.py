@@ -18,7 +18,9 @@ MASKS = ("111111", "11010111", "1101001011", "1001101101")
 _MARKS = re.compile(r"[^\w]+")
 _REACH = 96  # words carried on either side of a hit
 _KEEP = 400_000
-_FILTER_BITS = 22
+_FILTER_BITS = 24
+#: Where in a seed's hash the filter's three bits are read.
+_PROBES = (40, 16, 0)
 _word_hashes: dict[bytes, int] = {}
 
 
@@ -101,14 +103,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(text_col).alias("text"))
     items = stored(items.mapInArrow(item_rows, "item long, item_words binary, seeds array<long>, places array<int>"), "items")
     keyed = items.select(F.xxhash64("item", "item_words").alias("item_key"), F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item_key", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place")).distinct()
+    probes = F.array(*[F.shiftrightunsigned("seed", k).bitwiseAND(F.lit((1 << _FILTER_BITS) - 1)) for k in _PROBES])
+    marked = keyed.select(F.explode(probes).alias("bit")).distinct().toArrow().column("bit").to_numpy()  # at most 2^24 numbers
     passing = np.zeros(1 << _FILTER_BITS, bool)
-    short = 64 - _FILTER_BITS
-    for (x,) in keyed.select(F.shiftrightunsigned("seed", short).alias("x")).distinct().toLocalIterator():  # at most 2^22 numbers
-        passing[x] = True
-    bits = spark.sparkContext.broadcast(np.packbits(passing))  # half a megabyte, whatever the benchmark's size
+    passing[marked] = True
+    bits = spark.sparkContext.broadcast(np.packbits(passing, bitorder="little"))  # two megabytes, whatever the benchmark's size
 
     def regions(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        allowed = np.unpackbits(bits.value).view(bool)
+        allowed = bits.value
         for part in parts:
             out: list[tuple] = []
             for key, text in zip(part.column("key").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -116,7 +118,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
                 ats, hashes = [], []
                 for m in masks:
                     h = seeds(words, m)
-                    hit = np.flatnonzero(allowed[h >> np.uint64(short)])
+                    hit = np.arange(len(h))
+                    for k in _PROBES:
+                        bit = (h[hit] >> np.uint64(k)) & np.uint64((1 << _FILTER_BITS) - 1)
+                        hit = hit[(allowed[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                     ats.append(hit)
                     hashes.append(h[hit])
                 at, h = np.concatenate(ats), np.concatenate(hashes)
