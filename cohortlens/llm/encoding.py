@@ -12,9 +12,9 @@ import numpy as np
 SPACE = "\t-\r \x85\xa0  -     　"
 #: A run of white space with what follows it up to the next: no token of a byte-level BPE crosses its end.
 _UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Latin letters, then marks that the tokenizers' patterns part from letters.
-_WORD_MARKS = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,;:!?#*$%&|]+)")
-_KEEP = 400_000
+#: Latin letters, with a space before them if any, and then marks: two pieces that the tokenizers' patterns and normalisers leave whole.
+_WORD_MARKS = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)?([.,;:!?#*$%&|]+)?")
+_KEEP = 500_000
 
 _tokenizers: dict[str, object] = {}
 
@@ -32,34 +32,53 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level models have for each byte: printable Latin-1 as it is, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
+
+
+_LETTERS = _byte_letters()
+
+
 class PieceCache:
-    """Values of pieces of text that the library gives, kept while there is room (at most ``_KEEP`` pieces)."""
+    """Values of pieces of text that the library gives, kept while there is room (at most ``_KEEP`` pieces, and as many words and marks).
+
+    Words and marks that normaliser and pattern pass on whole go straight to the library's model; other pieces are encoded in full.
+    """
 
     def __init__(self, path: str, value: Callable, joined: Callable, lower: bool):
-        self.path, self.value, self.joined, self.lower, self.known = path, value, joined, lower, {}
+        self.value, self.joined, self.lower = value, joined, lower
+        self.tokenizer = tokenizer(path)
+        self.model = self.tokenizer.model
+        self.pieces, self.words = {}, {}
+
+    def _word(self, s: str) -> object:
+        if s not in self.words:
+            letters = s if s.isascii() and s[0] != " " else "".join(map(_LETTERS.__getitem__, s.encode()))
+            self.words[s] = self.value([t.id for t in self.model.tokenize(letters)])
+        return self.words[s]
 
     def __call__(self, pieces: Iterable) -> dict:
         """A mapping that holds every one of ``pieces`` (str, or UTF-8 bytes)."""
-        if len(self.known) > _KEEP:
-            self.known.clear()
-        known = self.known
-        split, lone = {}, set()
+        if len(self.pieces) > _KEEP:
+            self.pieces.clear()
+        if len(self.words) > _KEEP:
+            self.words.clear()
+        known, rest = self.pieces, []
         for p in pieces:
             if p not in known:
                 s = p if isinstance(p, str) else p.decode("utf-8", "replace")
-                if m := _WORD_MARKS.fullmatch(s):
-                    word = m[1].lower() if self.lower else m[1]
-                    split[p] = word, m[2]
-                    lone.update(("=" + word, "=" + m[2]))
+                m = _WORD_MARKS.fullmatch(s)
+                if not m or not s:
+                    rest.append((p, s))
+                elif m[1] is None:
+                    known[p] = self._word(m[2])
                 else:
-                    s = s.lower() if self.lower and s.isascii() and s.isalnum() else s
-                    split[p] = (s,)
-                    lone.add("=" + s)
-        ask = [x for x in lone if x not in known]
-        for x, e in zip(ask, tokenizer(self.path).encode_batch_fast([x[1:] for x in ask], add_special_tokens=False), strict=True):
-            known[x] = self.value(e.ids)
-        for p, parts in split.items():
-            known[p] = known["=" + parts[0]] if len(parts) == 1 else self.joined(known["=" + parts[0]], known["=" + parts[1]])
+                    word = self._word(m[1].lower() if self.lower else m[1])
+                    known[p] = word if m[2] is None else self.joined(word, self._word(m[2]))
+        for (p, _), e in zip(rest, self.tokenizer.encode_batch_fast([s for _, s in rest], add_special_tokens=False), strict=True):
+            known[p] = self.value(e.ids)
         return known
 
 
@@ -69,7 +88,9 @@ _ids: dict[tuple[str, str], PieceCache] = {}
 
 def count_tokens(path: str, texts: list[str]) -> list[int]:
     """Tokens of each text under a byte-level BPE file without normaliser, as encoding the whole text gives them."""
-    cache = _counts.setdefault(path, PieceCache(path, len, int.__add__, False))
+    if path not in _counts:
+        _counts[path] = PieceCache(path, len, int.__add__, False)
+    cache = _counts[path]
     units = [_UNIT.findall(t) for t in texts]
     known = cache(set().union(*units))
     return [sum(map(known.__getitem__, u)) for u in units]
@@ -77,7 +98,9 @@ def count_tokens(path: str, texts: list[str]) -> list[int]:
 
 def encode_dropping_space(path: str, texts: list[bytes], kind: str) -> list[bytes]:
     """Ids (little-endian, of numpy type ``kind``) of each UTF-8 text under a lower-casing BPE file that drops white space."""
-    cache = _ids.setdefault((path, kind), PieceCache(path, lambda ids: np.array(ids, kind).tobytes(), bytes.__add__, True))
+    if (path, kind) not in _ids:
+        _ids[path, kind] = PieceCache(path, lambda ids: np.array(ids, kind).tobytes(), bytes.__add__, True)
+    cache = _ids[path, kind]
     pieces = [t.split() for t in texts]
     known = cache(set().union(*pieces))
     return [b"".join(map(known.__getitem__, p)) for p in pieces]
