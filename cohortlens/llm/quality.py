@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import require, text_or_empty
+from cohortlens.llm.common import labelled_sample, require, text_or_empty
 
 #: Marks that count as symbols, and words that announce notices rather than content.
 SYMBOLS = b"#*$%&|<>"
@@ -99,7 +99,7 @@ class Crf:
                 a, b = (b + s10 if to0 else a + s00) + x, (b + s11 if to1 else a + s01) + y
             else:
                 a, b = x, y
-        out = [int(b > a)] if lines else []
+        out = [int(b >= a)] if lines else []
         for to in reversed(back):
             out.append(int(to[out[-1]]))
         return out[::-1]
@@ -162,21 +162,18 @@ def parsed(text: bytes) -> tuple[list[list[int]], list[int], int]:
     return features, sizes, again
 
 
-def fit(labelled: DataFrame, most_rows: int = 2000, most_lines: int = 60, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
-    """Trains on at most ``most_rows`` rows, half of each label, chosen by a hash of the id, and at most ``most_lines`` lines of each.
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, most_lines: int = 60, most_chars: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
+    """Trains on at most ``most_rows`` labelled documents of at most ``most_chars`` characters, half of each label, chosen by a hash of the id, and at most ``most_lines`` lines of each.
 
-    There are no line labels: a line has its document's, but a repeated line or one with a notice word is boilerplate. Both bounds
+    There are no line labels: a line has its document's, but a repeated line or one with a notice word is boilerplate. The bounds
     hold for training alone. Without rows every line is content.
     """
-    require(labelled, id_col, text_col, label_col)
-    rows = labelled.where(F.col(label_col).isNotNull()).select(text_or_empty(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(F.col(id_col)).alias("draw"))
-    rows = rows.where(F.length("text") <= 50_000)
+    require(docs, id_col, text_col)
     bad = {_PLACE["repeated line"], _PLACE["notice"]}
     documents = []
-    for label in (0, 1):
-        for r in rows.where(F.col("label") == label).orderBy("draw", "text").limit(most_rows // 2).collect():  # at most most_rows
-            lines = parsed(r.text.encode())[0][:most_lines]
-            documents.append((lines, [label and int(bad.isdisjoint(f)) for f in lines]))
+    for text, label in labelled_sample(docs, labels, most_rows, most_chars, text_col, label_col, id_col)[0]:
+        lines = parsed(text.encode())[0][:most_lines]
+        documents.append((lines, [label and int(bad.isdisjoint(f)) for f in lines]))
     return train_crf(documents)
 
 

@@ -26,8 +26,7 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    labelled = docs.select("doc_id", "text").join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return quality.judge(docs, quality.fit(labelled))
+    return quality.judge(docs, quality.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
