@@ -240,7 +240,7 @@ def _spans(texts: DataFrame, flagged: DataFrame, span: int, buckets: int, often:
         for part in (some.slice(at, 1000) for some in parts for at in range(0, some.num_rows, 1000)):  # bounds what a task holds
             seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             for k, ident, text, at in zip(*(part.column(n).to_pylist() for n in ("k", "first_id")), part.column("text").cast(pa.binary()).to_pylist(), part.column("at").to_pylist(), strict=True):
-                hashes = _piece_hashes(np.frombuffer(text, np.uint8))[at].tolist() if often else [0] * len(at)
+                hashes = _piece_hashes(np.frombuffer(b"".join([text[p : p + PIECE] for p in at]), np.uint8))[::PIECE].tolist() if often else [0] * len(at)
                 for p, h in zip(at, hashes, strict=True):
                     a, b = max(0, p - left), min(len(text), p + right)
                     if h in often:  # too many different surroundings for one task: each run by itself
@@ -273,7 +273,9 @@ def _spans(texts: DataFrame, flagged: DataFrame, span: int, buckets: int, often:
     def factors(key: tuple, table: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int, int]] = []
         seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-        for offs, held, ids, ks, starts in zip(*(table.column(n).to_pylist() for n in ("offs", "pieces", "ids", "ks", "starts")), strict=True):
+        for row in range(table.num_rows):
+            offs, held, ids, ks, starts = (table.column(n)[row].as_py() for n in ("offs", "pieces", "ids", "ks", "starts"))
+            held = held if held and held[0] is not None else None
             if held is None:
                 out += [(k, i, a, a + n) for k, i, a, n in zip(ks, ids, starts, offs, strict=True)]
             else:
@@ -301,7 +303,7 @@ def _spans(texts: DataFrame, flagged: DataFrame, span: int, buckets: int, often:
             if len(group) > 1:
                 batch += group
                 held += sum(len(p) - span + 1 for _, p in group)
-                if held > 1_000_000:
+                if held > 200_000:  # what one sort holds
                     sort()
                     batch.clear()
                     held = 0
@@ -318,7 +320,7 @@ def _spans(texts: DataFrame, flagged: DataFrame, span: int, buckets: int, often:
     return cut.groupBy("b").applyInArrow(factors, "k long, first_id long, from long, to long")
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, most_hot: int = 2_000_000, hot: int = 20_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, most_hot: int = 2_000_000, hot: int = 100_000) -> DataFrame:
     """The rows of ``docs`` with their text after removal, and n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte of the UTF-8 text covered by a string of ``span`` bytes that also starts in a row of smaller id;
