@@ -35,7 +35,7 @@ def word_hashes(text: bytes) -> np.ndarray:
     words = text.split()
     if len(_word_hashes) > _KEEP:
         _word_hashes.clear()
-    for w in words:
+    for w in set(words):
         if w not in _word_hashes:
             _word_hashes[w] = _word_hash(w)
     h = np.fromiter(map(_word_hashes.__getitem__, words), np.uint64, len(words))
@@ -90,18 +90,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
     require(docs, id_col, text_col)
     require(benchmark, item_col, text_col)
     spark = docs.sparkSession
-    masks = tuple(dict.fromkeys((*masks, "11111")))
+    short = "11111"  # for items that the masks don't fit; documents are hashed by it only if there are any
 
     def item_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for item, text in zip(part.column("item").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 words = word_hashes(text)
-                use = masks[:-1] if len(words) >= 12 else masks[-1:]
+                use = masks if len(words) >= 12 else (short,)
                 found = [(s, p) for m in use for p, s in enumerate(seeds(words, m).view(np.int64).tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([words.astype("<u8").tobytes()]), pa.array([[s for s, _ in found]], pa.list_(pa.int64())), pa.array([[p for _, p in found]], pa.list_(pa.int32()))], ["item", "item_words", "seeds", "places"])
 
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), text_or_empty(text_col).alias("text"))
     items = stored(items.mapInArrow(item_rows, "item long, item_words binary, seeds array<long>, places array<int>"), "items")
+    used = masks if not items.where(F.length("item_words") < 8 * 12).take(1) else (*masks, short)
     keyed = items.select(F.xxhash64("item", "item_words").alias("item_key"), F.explode(F.arrays_zip("seeds", "places")).alias("s")).select("item_key", F.col("s.seeds").alias("seed"), F.col("s.places").alias("place")).distinct()
     probes = F.array(*[F.shiftrightunsigned("seed", k).bitwiseAND(F.lit((1 << _FILTER_BITS) - 1)) for k in _PROBES])
     marked = keyed.select(F.explode(probes).alias("bit")).distinct().toArrow().column("bit").to_numpy()  # at most 2^24 numbers
@@ -116,7 +117,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] =
             for key, text in zip(part.column("key").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 words = word_hashes(text)
                 ats, hashes = [], []
-                for m in masks:
+                for m in used:
                     h = seeds(words, m)
                     hit = np.arange(len(h))
                     for k in _PROBES:
