@@ -6,18 +6,41 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.guards import none_left
 
+#: Ranges of the drawn number in which rows are numbered.
+RANGES = 1024
+
 
 def drawn(key: str | Column, seed: int = 42) -> Column:
     """A number from 0 to 999,999 that key and seed fix."""
     return F.pmod(F.xxhash64(F.col(key) if isinstance(key, str) else key, F.lit(seed)), F.lit(1_000_000))
 
 
+def numbered(df: DataFrame, order: Column, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with __at: each row's place from 1 by (``order``, ``key``) within each value of ``by``.
+
+    Rows are numbered inside ranges of ``order``, after the sizes of the ranges before; only the table of these sizes is ordered as a whole.
+    """
+    df = df.withColumn("__draw", order)
+    lo, hi = df.agg(F.min("__draw").cast("double"), F.max("__draw").cast("double")).first()
+    step = (hi - lo) / RANGES if lo is not None and hi > lo else 1.0
+    df = df.withColumn("__range", F.coalesce(F.floor((F.col("__draw").cast("double") - F.lit(lo or 0.0)) / step), F.lit(-1)))  # nulls come first
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    first = df.groupBy(*by, "__range").agg(F.count("*").alias("__size")).withColumn("__first", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    on = [*by, "__range"]
+    starts = first.select("__first", *[F.col(c).alias(f"__of_{c}") for c in on])
+    inside = F.row_number().over(Window.partitionBy(*on).orderBy("__draw", key))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in on])
+    out = df.withColumn("__in", inside).join(starts, same)
+    return out.withColumn("__at", F.col("__first") + F.col("__in")).drop("__draw", "__range", "__in", "__first", *[f"__of_{c}" for c in on])
+
+
 def group_split(df: DataFrame, group_col: str, shares: Sequence[tuple[str, float]] = (("train", 0.7), ("dev", 0.2), ("test", 0.1)), seed: int = 42, draw: Column | None = None, scale: int = 1_000_000) -> DataFrame:
     """``df`` with split; all rows of a group share one. ``draw`` is a number from 0 to ``scale`` - 1. No shuffle."""
     draw = drawn(group_col, seed) if draw is None else draw
@@ -72,20 +95,19 @@ def learning_curve(df: DataFrame, key: str, label_col: str, percents: Sequence[f
 
 
 def constrained_resample(df: DataFrame, key: str, label_col: str, test_share: float = 0.2, min_train: int = 1, min_test: int = 1, seed: int = 42, draw: Column | None = None, most_exact: int = 1_000_000) -> DataFrame:
-    """``df`` with part train or test: each class has at least ``min_train`` and ``min_test`` rows in them; ValueError if one can't."""
-    none_left(df.groupBy(label_col).count().where(F.col("count") < min_train + min_test), "classes with too few rows")
-    n = df.count()
-    order = [drawn(key, seed) if draw is None else draw, F.col(key)]
-    at = F.row_number().over(Window.partitionBy(label_col).orderBy(*order))
-    tier = F.when(at <= min_test, 0).when(at <= min_test + min_train, 2).otherwise(1)
-    ranked = df.withColumn("__tier", tier)
-    size = max(round(n * test_share), 0)
-    if n > most_exact:  # too many rows to number as a whole: the share applies to the drawn number of each free row
-        free = F.pmod(order[0], F.lit(1_000_000)) < int(test_share * 1_000_000)
-        return ranked.withColumn("part", F.when((F.col("__tier") == 0) | ((F.col("__tier") == 1) & free), "test").otherwise("train")).drop("__tier")
-    place = F.row_number().over(Window.orderBy("__tier", *order))
-    test = (F.col("__tier") == 0) | ((F.col("__tier") == 1) & (place <= size))
-    return ranked.withColumn("part", F.when(test, "test").otherwise("train")).drop("__tier")
+    """``df`` with part train or test: each class has at least ``min_train`` and ``min_test`` rows in them; ValueError if one can't.
+
+    The test part has round(test_share * rows) rows at every size, unless the minimums ask for others. ``most_exact`` has no effect any more.
+    """
+    classes = df.groupBy(label_col).count()
+    none_left(classes.where(F.col("count") < min_train + min_test), "classes with too few rows")
+    n, k = classes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    order = drawn(key, seed) if draw is None else draw
+    at = F.col("__at")
+    ranked = numbered(df, order, key, [label_col]).withColumn("__tier", F.when(at <= min_test, 0).when(at <= min_test + min_train, 2).otherwise(1)).drop("__at")
+    free = max(round(n * test_share), 0) - k * min_test  # rows of tier 1 that go to test
+    test = (F.col("__tier") == 0) | ((F.col("__tier") == 1) & (at <= free))
+    return numbered(ranked, order, key, ["__tier"]).withColumn("part", F.when(test, "test").otherwise("train")).drop("__tier", "__at")
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42, draw: Column | None = None) -> DataFrame:

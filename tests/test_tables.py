@@ -109,6 +109,20 @@ def test_splits_keep_their_promises(spark):
         sp.constrained_resample(df, "id", "y", 0.2, 50, 50)
 
 
+def test_constrained_resample_is_exact_at_every_size(spark):
+    df = spark.range(3000).select("id", F.when(F.col("id") % 50 == 0, None).otherwise("common").alias("y"))
+    rows = sorted((r.draw, r.id, r.y) for r in df.withColumn("draw", sp.drawn("id")).collect())
+    want, rest = set(), []
+    for y in (None, "common"):
+        mine = [r[:2] for r in rows if r[2] == y]
+        want |= set(mine[:3])
+        rest += mine[5:]
+    want |= set(sorted(rest)[: 600 - len(want)])
+    for most in (10, 1_000_000):
+        got = sp.constrained_resample(df, "id", "y", 0.2, 2, 3, most_exact=most).collect()
+        assert len(got) == 3000 and {r.id for r in got if r.part == "test"} == {i for _, i in want}
+
+
 def test_conditional_majority(spark):
     train = spark.createDataFrame([("a", "p"), ("a", "p"), ("a", "n"), ("b", "n")], "x string, y string")
     model = md.ConditionalMajority(1.0).fit(train, "x", "y")
