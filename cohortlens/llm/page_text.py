@@ -111,6 +111,7 @@ def extract_main_text(pages: DataFrame, least_pages: int = 8, most_share: float
     valid. The paths of valid classes nest into the template by prefix; texts of valid classes are part of it, and what else is under its paths fills its slots. Main slots
     are those in an article or main element, or else those under the container that holds most of the host's slot text. Slots beside
     the article (see :func:`blocks`) never count. A host with few pages has no template, and its pages go by their own elements.
+    Pages of a host whose blocks, apart from those beside, are equal count as one page, so that copies of an article don't become a template.
 
     Null html is empty, a page without url belongs to the host ''; repeated rows are each returned; no rows give no rows.
     """
@@ -120,20 +121,31 @@ def extract_main_text(pages: DataFrame, least_pages: int = 8, most_share: float
         for part in parts:
             for at in range(0, part.num_rows, 256):
                 some = part.slice(at, 256)
-                hosts, rows = [_host(u) for u in some.column("url").to_pylist()], []
+                hosts, rows, same = [_host(u) for u in some.column("url").to_pylist()], [], []
                 for page in some.column("html").to_pylist():
-                    rows.append([{"path": p, "token": xxhash.xxh64_intdigest(f"{p}\n{t}") - (1 << 63), "beside": b, "article": a, "text": t} for p, b, a, t in blocks(page)])
-                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(hosts, pa.string()), pa.array(rows, pa.list_(pa.struct([("path", pa.string()), ("token", pa.int64()), ("beside", pa.bool_()), ("article", pa.bool_()), ("text", pa.string())])))], ["page_id", "url", "host", "blocks"])
+                    row, seen, under, content = [], {}, {}, xxhash.xxh64()
+                    for p, b, a, t in blocks(page):
+                        token = xxhash.xxh64_intdigest(f"{p}\n{t}") - (1 << 63)
+                        if not b:
+                            content.update(token.to_bytes(8, "little", signed=True))
+                            seen[token] = seen.get(token, 0) + 1
+                            k, n = under.get(p, (0, 0))
+                            under[p] = (k + 1, n + len(t))
+                        k, n = under.get(p, (0, 0))
+                        row.append({"path": p, "token": token, "beside": b, "article": a, "text": t, "nth": seen.get(token, 0), "path_nth": k, "path_chars": n})
+                    rows.append(row)
+                    same.append(content.intdigest() - (1 << 63))
+                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(hosts, pa.string()), pa.array(same, pa.int64()), pa.array(rows, pa.list_(pa.struct([("path", pa.string()), ("token", pa.int64()), ("beside", pa.bool_()), ("article", pa.bool_()), ("text", pa.string()), ("nth", pa.int32()), ("path_nth", pa.int32()), ("path_chars", pa.int64())])))], ["page_id", "url", "host", "page", "blocks"])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
-    found = stored(rows.mapInArrow(parse, "page_id long, url string, host string, blocks array<struct<path:string,token:long,beside:boolean,article:boolean,text:string>>"), "blocks")
+    found = stored(rows.mapInArrow(parse, "page_id long, url string, host string, page long, blocks array<struct<path:string,token:long,beside:boolean,article:boolean,text:string,nth:int,path_nth:int,path_chars:long>>"), "blocks")
 
-    page = F.xxhash64("page_id", "url").alias("page")
-    sizes = found.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    sizes = found.groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= least_pages)
     lone = F.filter("blocks", lambda b: ~b["beside"])
-    names = F.transform(lone, lambda b: F.struct(b["token"].alias("token"), b["path"].alias("path"), F.lit(True).alias("is_text"), F.length(b["text"]).alias("n")))
-    paths = F.transform(lone, lambda b: F.struct(F.xxhash64(b["path"]).alias("token"), b["path"].alias("path"), F.lit(False).alias("is_text"), F.length(b["text"]).alias("n")))
-    tokens = found.select("host", page, F.explode(F.concat(names, paths)).alias("t")).groupBy("host", "page", "t.token", "t.path", "t.is_text").agg(F.count("*").alias("k"), F.sum("t.n").alias("n"))
+    names = F.transform(lone, lambda b: F.struct(b["token"].alias("token"), b["path"].alias("path"), F.lit(True).alias("is_text"), b["nth"].alias("k"), (b["nth"] * F.length(b["text"]).cast("long")).alias("n")))
+    paths = F.transform(lone, lambda b: F.struct(F.xxhash64(b["path"]).alias("token"), b["path"].alias("path"), F.lit(False).alias("is_text"), b["path_nth"].alias("k"), b["path_chars"].alias("n")))
+    # each place has the occurrences and characters so far: the greatest are the page's, however many copies it has
+    tokens = found.select("host", "page", F.explode(F.concat(names, paths)).alias("t")).groupBy("host", "page", "t.token", "t.path", "t.is_text").agg(F.max("t.k").cast("long").alias("k"), F.max("t.n").alias("n"))
     vectors = tokens.groupBy("host", "token", "path", "is_text").agg(F.count("*").alias("on"), F.sum("k").alias("times"), F.sum(F.xxhash64("page", "k").cast("decimal(20,0)")).alias("sign"), F.sum("n").alias("n"))
     frequent = vectors.join(sizes, "host").where((F.col("on") >= most_share * F.col("pages")) | ~F.col("is_text"))
     alike = Window.partitionBy("host", "on", "times", "sign")

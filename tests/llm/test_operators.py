@@ -474,3 +474,12 @@ def test_main_text(spark, empty):
     assert (text[51], text[52], text[53], text[None], text[54], text[55]) == ("", "", "only text", "in", "cut", "no tags & plain")
     assert len(got) == len(rows) and all(len(t) == n for _, t, n in got)
     assert page_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_copies_of_an_article_are_one_page_of_their_host(spark):
+    rows = [(n, f"http://copies.example/{n}", PAGE.replace("{n}", "same")) for n in range(12)]
+    rows += [(100 + n, f"http://mixed.example/{n}", PAGE.replace("{n}", f"n{n}" if n < 12 else "same")) for n in range(140)]
+    text = {r.page_id: r.text for r in page_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {text[n] for n in range(12)} == {"Head&line same Boldsametext <x> next line same Share this story café same"}  # one page: no template
+    assert text[103] == "Head&line n3 Boldn3text <x> next line n3 café n3"
+    assert {text[100 + n] for n in range(12, 140)} == {"Head&line same Boldsametext <x> next line same café same"}
