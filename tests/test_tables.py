@@ -191,6 +191,13 @@ def test_logistic_regression_meets_its_penalty(spark):
     assert np.abs(grad).max() < 1e-3
 
 
+def test_apply_predictions_scores_every_document(spark, sf_dir):
+    rows = entry.queries()["apply_predictions"](spark, sf_dir).collect()
+    ids = [r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sorted(r.doc_id for r in rows) == sorted(ids)
+    assert all(abs(sum(r.probabilities) - 1) < 1e-9 and r.predicted_label == r.probabilities.index(max(r.probabilities)) for r in rows)
+
+
 def test_registry_and_saved_models(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
