@@ -168,7 +168,8 @@ def phrase_rounds(spark: SparkSession, d: str) -> DataFrame:
     from cohortlens.sources.shared import use_shared_checkpoints
 
     use_shared_checkpoints(spark)
-    learner = tk.PhraseLearner(2, 5, 10.0).fit(_simple(spark, d), "doc_id")
+    words = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
+    learner = tk.PhraseLearner(2, 5, 10.0).fit(words, "doc_id")
     return learner.phrases()
 
 

@@ -128,3 +128,12 @@ def test_phrase_rounds_build_longer_phrases(spark):
     got = learner.fit_transform(df, "id").collect()
     assert all(r.tokens[0] in ("new york city", "new york") for r in got)
     assert learner.phrases().count() >= 1
+
+
+def test_phrase_rounds_reads_every_language(spark, tmp_path):
+    from cohortlens.plans import text as plans
+
+    other = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    rows = [(i, "guten morgen " + " ".join(other(20 * i + k) for k in range(20)), "de") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert plans.phrase_rounds(spark, str(tmp_path)).count() > 0
