@@ -257,13 +257,13 @@ def logreg_predict(spark: SparkSession, d: str) -> DataFrame:
 
 def logreg_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d).withColumn("part", F.col("vec_id") % 5)
-    _, best, found = md.logistic_grid(rows.where("part > 1"), rows.where("part = 1"), [0, 1, 2], "y", (0.1, 1.0))
+    _, best, found = md.logistic_grid(rows.where("part <> 1"), rows.where("part = 1"), [0, 1, 2], "y")
     return spark.createDataFrame([(c, s, c == best) for c, s in found], "c double, macro_f1 double, chosen boolean")
 
 
 def rf_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d).withColumn("part", F.col("vec_id") % 5)
-    model, best, found = md.forest_grid(rows.where("part > 1"), rows.where("part = 1"), [0, 1, 2], "y", trees=10, depths=(5,), min_splits=(2, 10))
+    model, best, found = md.forest_grid(rows.where("part <> 1"), rows.where("part = 1"), [0, 1, 2], "y")
     return md.importances(spark, model, [f"v{i}" for i in range(model.numFeatures)]).withColumn("min_split", F.lit(best[1]))
 
 
@@ -321,7 +321,8 @@ def model_sweep(spark: SparkSession, d: str) -> DataFrame:
         "majority": lambda train, dev: dev.withColumn("predicted_label", F.lit(md.most_frequent(train, "label"))),
         "conditional": lambda train, dev: md.ConditionalMajority().fit(train, "source", "label").predict(dev),
     }
-    return md.sweep(rows, ["en", "de"], range(3), fits)
+    categories = [r.keyword_category for r in rows.select("keyword_category").distinct().orderBy("keyword_category").collect()]  # a row per language
+    return md.sweep(rows, categories, range(3), fits)
 
 
 def _discriminated(spark: SparkSession, d: str) -> DataFrame:

@@ -198,6 +198,41 @@ def test_apply_predictions_scores_every_document(spark, sf_dir):
     assert all(abs(sum(r.probabilities) - 1) < 1e-9 and r.predicted_label == r.probabilities.index(max(r.probabilities)) for r in rows)
 
 
+def test_model_sweep_and_grid_do_the_whole_job(spark, sf_dir):
+    swept = entry.queries()["model_sweep"](spark, sf_dir).select("keyword_category").distinct().collect()
+    labels, docs = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("labels", "documents"))
+    assert {r[0] for r in swept} == {r[0] for r in docs.join(labels, "doc_id").select("lang").distinct().collect()}
+    grid = entry.queries()["logreg_grid"](spark, sf_dir).collect()
+    assert {r.c for r in grid} == set(md.C_GRID) and sum(r.chosen for r in grid) == 1
+
+
+def test_forest_grid_uses_its_defaults(monkeypatch):
+    from cohortlens.plans import models as plans
+
+    seen = []
+
+    class Seen(Exception):
+        pass
+
+    def grid(*given, **named):
+        seen.append((given, named))
+        raise Seen
+
+    class Rows:
+        def withColumn(self, *_):
+            return self
+
+        def where(self, condition):
+            return condition
+
+    monkeypatch.setattr(plans, "_vectors", lambda *_: Rows())
+    monkeypatch.setattr(plans.F, "col", lambda _: 0)
+    monkeypatch.setattr(plans.md, "forest_grid", grid)
+    with pytest.raises(Seen):
+        plans.rf_grid(None, "")
+    assert seen == [(("part <> 1", "part = 1", [0, 1, 2], "y"), {})]
+
+
 def test_registry_and_saved_models(spark, tmp_path):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
