@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +21,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; without one intermediate rows have no safe place."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where.rstrip("/")
 
 
@@ -33,6 +36,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def byte_slices(part: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of ``part`` in order, in slices whose ``column`` has about ``most`` bytes (a longer row is a slice of its own)."""
+    sizes = pc.fill_null(pc.binary_length(part.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), part.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield part.slice(a, b - a)
+
+
 def require(df: DataFrame, *names: str) -> DataFrame:
     missing = [n for n in names if n not in df.columns]
     if missing:
@@ -45,7 +58,6 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, most_chars: int, text_col: str, label_col: str, id_col: str) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """((text, label) of at most ``most_rows`` labelled documents, half of each label by a hash of the id; how many ids each label has).
 
