@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -12,29 +14,30 @@ from pyspark.sql import functions as F
 from cohortlens.llm.common import WORD, require, text_or_empty
 
 SIZES = (512, 1024, 2048, 4096)
-SCHEMA = "doc_id long, has_id boolean, piece int, piece_start long, piece_len long, bin_id long, bin_pos int, bin_start long, bin_size int, bin_fill long"
+SCHEMA = "doc_id long, has_id boolean, piece int, piece_start long, piece_len long, bin_id long, bin_pos int, bin_start long, bin_size int, bin_fill long, opened_size int"
+_COPIES = 1000  # rows equal in id and length that stay together
 
 
-def bin_cost(size: int, overhead: float = 16.0, quadratic: float = 2.0**-14) -> float:
-    """Cost of running one sequence: its tokens, a fixed charge, and a share that grows with its square."""
+def bin_cost(size: int, overhead: float = 64.0, quadratic: float = 2.0**-18) -> float:
+    """Cost of running one sequence: its tokens, a fixed charge, and a share that grows with its square. A full bin is cheapest per token at 4096."""
     return size + overhead + quadratic * size * size
 
 
-def pack_lengths(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[list[int], list[int], list[int]]:
-    """Best fit of ``lengths`` (longest first, none above the largest size) into bins: (bin of each, size of each bin, fill of each bin).
+def pack_lengths(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Best fit of ``lengths`` (longest first, none above the largest size) into bins: (bin of each; of each bin its final size, fill, and the size it opened at).
 
-    An item goes to the open bin with the least room that holds it. With none, a bin opens at the size
-    whose cost per token, filled with what is left as far as it goes, is least; ties take the smaller. At
-    the end each bin shrinks to the least permitted size that holds its contents.
+    An item goes to the open bin with the least room that holds it. With none, a bin opens at the size of least cost per token
+    that it is expected to hold in the end: the item, and as much of the room beside it as the later items short enough for it come to;
+    ties take the smaller. Other bins may get those items, so at the end each bin shrinks to the least permitted size that holds its contents.
     """
     sizes = sorted(sizes)
     cost = {c: bin_cost(c) for c in sizes}
     room: dict[int, list[int]] = {}
     open_rooms = 0  # bit r is set while a bin with room r exists
-    bins: list[int] = []
-    fill: list[int] = []
-    left = sum(lengths)
-    for n in lengths:
+    bins, fill, opened = [], [], []
+    rest = [0, *itertools.accumulate(reversed(lengths))]  # rest[k]: the k shortest items together
+    ascending = lengths[::-1]
+    for at, n in enumerate(lengths):
         fits = open_rooms >> n
         if fits:
             r = n + (fits & -fits).bit_length() - 1
@@ -42,16 +45,22 @@ def pack_lengths(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[
             if not room[r]:
                 open_rooms &= ~(1 << r)
         else:
-            r = min((c for c in sizes if c >= n), key=lambda c: (cost[c] / min(c, max(left, 1)), c))
+            later = len(lengths) - at - 1
+
+            def price(c: int) -> tuple[float, int]:
+                short = rest[min(later, bisect.bisect_right(ascending, c - n))]
+                return cost[c] / max(1, n + min(c - n, short)), c
+
+            r = min((c for c in sizes if c >= n), key=price)
             b = len(fill)
             fill.append(0)
+            opened.append(r)
         fill[b] += n
         r -= n
         room.setdefault(r, []).append(b)
         open_rooms |= 1 << r
         bins.append(b)
-        left -= n
-    return bins, [next(c for c in sizes if c >= f) for f in fill], fill
+    return bins, [next(c for c in sizes if c >= f) for f in fill], fill, opened
 
 
 def pack(docs: DataFrame, length: str | Column | None = None, sizes: Sequence[int] = SIZES, group_rows: int = 50_000, id_col: str = "doc_id") -> DataFrame:
@@ -59,10 +68,10 @@ def pack(docs: DataFrame, length: str | Column | None = None, sizes: Sequence[in
 
     ``length`` is the number of tokens of a row; by default the words of ``text`` plus one end mark. A
     document above the largest size is cut into pieces of that size and a rest; one of length 0 or less
-    becomes a piece of length 0. Rows are dealt by a hash of id and length into groups of about
+    becomes a piece of length 0. Rows equal in id and length are counted first, and cut into lots of ``_COPIES`` at most; lots are dealt by a hash into groups of about
     ``group_rows`` rows, each packed by itself in one task of fixed memory, so the result depends on
-    neither file layout nor cluster size. A row is one piece: ``piece_start`` counts tokens in the
-    document, ``bin_start`` in the bin. A null id is kept as null, a null text counts as empty, repeated rows
+    neither file layout nor cluster size, and no id (nor the rows without one) fills a group. A row is one piece: ``piece_start`` counts tokens in the
+    document, ``bin_start`` in the bin; ``opened_size`` is the bin's size before it shrank. A null id is kept as null, a null text counts as empty, repeated rows
     are packed once each, no rows give no rows, other columns are ignored.
     """
     if length is None:
@@ -74,15 +83,17 @@ def pack(docs: DataFrame, length: str | Column | None = None, sizes: Sequence[in
     top, sizes = max(sizes), tuple(sizes)
     n_groups = max(1, math.ceil(docs.count() / group_rows))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("doc_id"), F.col(id_col).isNotNull().alias("has_id"), F.greatest(F.coalesce(length.cast("long"), F.lit(0)), F.lit(0)).alias("n"))
-    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "n"), F.lit(n_groups)).cast("int"))
+    lots = rows.groupBy("doc_id", "has_id", "n").agg(F.count("*").alias("copies")).withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / _COPIES))))
+    rows = lots.select("doc_id", "has_id", "n", F.least(F.lit(_COPIES), F.col("copies") - _COPIES * F.col("lot")).cast("int").alias("copies"), F.pmod(F.xxhash64("doc_id", "n", "lot"), F.lit(n_groups)).cast("int").alias("g"))
 
     def one_group(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        items = [(-min(top, n - k * top), has, doc, k) for doc, has, n in zip(frame["doc_id"], frame["has_id"], frame["n"], strict=True) for k in range(max(1, math.ceil(n / top)))]
+        rows = zip(frame["doc_id"], frame["has_id"], frame["n"], frame["copies"], strict=True)
+        items = [(-min(top, n - k * top), has, doc, k) for doc, has, n, copies in rows for k in range(max(1, math.ceil(n / top))) for _ in range(copies)]
         items.sort()
-        bins, caps, fill = pack_lengths([-x[0] for x in items], sizes)
+        bins, caps, fill, opened = pack_lengths([-x[0] for x in items], sizes)
         at, pos, out = [0] * len(fill), [0] * len(fill), []
         for (minus, has, doc, k), b in zip(items, bins, strict=True):
-            out.append((doc, has, k, k * top, -minus, (int(key[0]) << 32) + b, pos[b], at[b], caps[b], fill[b]))
+            out.append((doc, has, k, k * top, -minus, (int(key[0]) << 32) + b, pos[b], at[b], caps[b], fill[b], opened[b]))
             at[b] -= minus
             pos[b] += 1
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
