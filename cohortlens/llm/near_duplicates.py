@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import require, stored, text_or_empty
+from cohortlens.llm.common import byte_slices, require, stored, text_or_empty
 
 BITS = 64
 
@@ -63,17 +63,17 @@ def simhash(texts: list[bytes], n: int = 3) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint of each row's text as a signed long; a null text is empty."""
+    """(doc_id, same, fp): a hash of each row's text and its fingerprint as a signed long; a null text is empty."""
 
     def hashed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, 1024):
-                some = part.slice(at, 1024)
+            for some in byte_slices(part, "text"):
                 fps = simhash(some.column("text").cast(pa.binary()).to_pylist(), n)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("same"), pa.array(fps.view(np.int64))], ["doc_id", "same", "fp"])
 
     require(docs, id_col, text_col)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(hashed, "doc_id long, fp long")
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("same"), text.alias("text")).mapInArrow(hashed, "doc_id long, same long, fp long")
 
 
 def links(fps: DataFrame, radius: int = 2, most: int = 24, seed: int = 42) -> DataFrame:
@@ -107,7 +107,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (a, b) reaches.
 
     Alternates large-star and small-star steps (Kiveris et al. 2014) until the edges stay as they are; each
-    round is written to the shared folder. A node's neighbours are never gathered: a window takes their least.
+    round is written to the shared folder. A node's neighbours are never gathered: an aggregation takes their least, and a join hands it on.
     """
     both = lambda e: e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
@@ -132,6 +132,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _in_components(docs: DataFrame, n: int, radius: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, same, fp) of every row, ``same`` a hash of its text; (fp, root) of every fingerprint)."""
+    rows = stored(fingerprints(docs, n, id_col, text_col), "fingerprints")
+    nodes = rows.select("fp").distinct()
+    roots = components(links(nodes, radius))
+    return rows, stored(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "roots")
+
+
 def near_duplicate_components(docs: DataFrame, n: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row's fingerprint (16 hex digits) and component_id, the least id that links reach from it, its own included.
 
@@ -139,18 +147,24 @@ def near_duplicate_components(docs: DataFrame, n: int = 3, radius: int = 2, id_c
     others. Equal fingerprints are one node, so copies are never paired. Null ids never name a component unless all its
     rows lack one; repeated rows are each returned. No rows give no rows.
     """
-    rows = stored(fingerprints(docs, n, id_col, text_col), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(nodes.select("fp"), radius))
-    labelled = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = stored(labelled, "named")
+    rows, roots = _in_components(docs, n, radius, id_col, text_col)
+    named = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp")
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(names, "root").select("fp", "component_id")
+    by_fp = roots.join(names, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_per_component(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` whose id names their component: one document of each group (a row without id stays if its group has none)."""
-    found = near_duplicate_components(docs, id_col=id_col, **how)
-    gone = found.where(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+def one_per_component(docs: DataFrame, n: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each near-duplicate group of ``docs``, with all its columns: the one of least id, a row without id after all others.
+
+    Rows of one id and different texts are different rows: each is judged by its own group. If several rows of a group share
+    the least id, or all lack one, the one whose text has the least hash stays; of rows equal in id and text, one. Null texts are empty, and texts without
+    words are one group. No rows give no rows.
+    """
+    rows, roots = _in_components(docs, n, radius, id_col, text_col)
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "same")).alias("first"))
+    stays = first.join(roots, "fp").groupBy("root").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.none").alias("__none"), F.col("first.same").alias("__same"))
+    keys = ["__id", "__none", "__same"]
+    ident = F.col(id_col).cast("long")
+    keyed = docs.withColumns({"__id": F.coalesce(ident, F.lit(0)), "__none": ident.isNull(), "__same": F.xxhash64(text_or_empty(text_col))})
+    return keyed.dropDuplicates(keys).join(stays, keys, "left_semi").select(*docs.columns)
