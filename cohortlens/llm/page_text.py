@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import require, stored, text_or_empty
+from cohortlens.llm.common import byte_slices, require, stored, text_or_empty
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|textarea|noscript|template|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -22,30 +22,41 @@ _PARTS = re.compile(r"[^a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ASIDE = frozenset("nav header footer aside form button select option fieldset head dialog menu object canvas audio video script style".split())
-#: Words of class, id or role names that mark what is not the article.
-ASIDE_CUES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login search widget toolbar pagination pager".split())
+#: Words of class, id or role names that mark what is not the article, words that say nothing beside them, and words that mark the article.
+ASIDE_CUES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar footer header masthead comment comments disqus reply replies share sharing social related recommended newsletter subscribe signup login search widget toolbar pagination pager complementary contentinfo".split())
+NEUTRAL = frozenset("area bar block bottom box btn button buttons col column container count desktop first form global group heading icon icons inner item items label last left links list mobile module more outer page panel policy post posts primary reader readers right row secondary section sections site slot small sticky sub tags text thread title top unit user users wrap wrapper".split())
+MAIN_CUES = frozenset("main content article story".split())
+#: Elements that hold a line or paragraph, never the whole article.
+TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption address".split())
 #: An open element of these ends where another of its group starts, as HTML has it.
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDS = frozenset("ul ol dl table div section article main nav aside footer header form body".split())
 
 
-def _aside(name: str, tag: str) -> bool:
-    if name in ASIDE or _HIDDEN.search(tag):
-        return True
-    if name in ("html", "body", "article", "main"):
-        return False
-    return any(not ASIDE_CUES.isdisjoint(_PARTS.split((m[1] or m[2] or m[3] or "").lower())) for m in _CUE.finditer(tag))
+def _label(name: str, tag: str) -> tuple[str, bool]:
+    """(the element with its class, id and role names, digits as one sign; whether it is beside the article).
+
+    A name of cue and neutral words only, with a cue, says so, unless another name of the element marks the article: `cookie-notice` does, `share-price` doesn't.
+    """
+    names = sorted({w for m in _CUE.finditer(tag) for w in (m[1] or m[2] or m[3] or "").lower().split()})
+    words = [[x for x in _PARTS.split(w) if x] for w in names]
+    cued = any(x and not ASIDE_CUES.isdisjoint(x) and all(y in ASIDE_CUES or y in NEUTRAL for y in x) for x in words)
+    main = name in ("html", "body", "article", "main") or any(not MAIN_CUES.isdisjoint(x) for x in words)
+    label = name + "".join("." + re.sub(r"\d+", "0", w) for w in names)
+    return label, name in ASIDE or bool(_HIDDEN.search(tag)) or cued and not main
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
-    """(path, beside, in_article, text) of each block of text in page order.
+def blocks(page: str) -> tuple[list[tuple[int, str, str, bool, int]], list[tuple[int, str]]]:
+    """The page's places and its blocks of text.
 
-    The path is the names of the open block elements; ``beside`` blocks are in menus, headers, footers, sidebars, notices, adverts,
-    forms, comments or hidden elements. Character references are decoded, and white space is one space. Scripts, styles, titles and HTML
+    A place is (place above it or -1, path of labels, element, beside the article or not, how many elements are there); places come after those
+    above them. A block is (place or -1, text) in page order. Character references are decoded, and white space is one space. Scripts, styles, titles and HTML
     comments hold no text. Missing end tags are supplied, and those without a start are ignored.
     """
-    out: list[tuple[str, bool, bool, str]] = []
-    stack: list[tuple[str, bool]] = []
+    found: dict[str, int] = {}
+    places: list[list] = []
+    out: list[tuple[int, str]] = []
+    stack: list[tuple[str, int]] = []  # element, and its place (that of the element round it for those inside a line)
     piece: list[str] = []
     at = 0
 
@@ -53,8 +64,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
         text = " ".join(html.unescape("".join(piece)).split())
         piece.clear()
         if text:
-            names = [n for n, _ in stack if n not in INLINE]
-            out.append(("/".join(names), any(x for _, x in stack), "article" in names or "main" in names, text))
+            out.append((stack[-1][1] if stack else -1, text))
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -75,7 +85,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
             elif name not in INLINE:
                 flush()
             continue
-        beside = _aside(name, tag)
+        label, beside = _label(name, tag)
         if name not in INLINE or beside:
             flush()
         if name in VOID or tag.endswith("/>"):
@@ -88,13 +98,62 @@ def blocks(page: str) -> list[tuple[str, bool, bool, str]]:
                     break
                 if stack[k][0] in _HOLDS:
                     break
-        stack.append((name, beside))
+        above = stack[-1][1] if stack else -1
+        if name in INLINE and not beside:
+            stack.append((name, above))
+            continue
+        path = (places[above][1] if above >= 0 else "") + "/" + label
+        if path not in found:
+            found[path] = len(places)
+            places.append([above, path, name, beside, 0])
+        places[found[path]][4] += 1
+        stack.append((name, found[path]))
     if at < len(page):
         rest = page[at:]
         cut = re.search(r"<[a-zA-Z/!][^<]*\Z", rest)  # a tag that the page's end cuts
         piece.append(rest[: cut.start()] if cut else rest)
     flush()
-    return out
+    return [tuple(x) for x in places], out
+
+
+def main_blocks(places: list[tuple[int, int, str, bool]], found: list[tuple[int, int]], mass: dict[int, float], fixed: set[int]) -> list[int]:
+    """Which blocks (place, token) of a page are its main text, by its host's template: ``mass`` of each place in it, and the ``fixed`` texts.
+
+    A place is (place above it, its hash, element, beside). Each block is in the slot of the nearest place of the template round it; blocks without one are in
+    the page's own. From the page on down, the main region is the place in the template with most of the slot text of those below, as long as it
+    holds four fifths of it, or is an article or main element; it ends at an article, and never is one line. Slots in the region count, but for those that their names put
+    beside the article.
+    """
+    slot, out_of = [], []  # of each place: the nearest place of the template from it upwards, and whether one of those is beside
+    for k, (above, token, _, beside) in enumerate(places):
+        mine = token in mass
+        slot.append(k if mine else slot[above] if above >= 0 else -1)
+        out_of.append((above >= 0 and out_of[above]) or (mine and beside))
+    below: dict[int, list[int]] = {}
+    for k, (above, token, element, _) in enumerate(places):
+        if slot[k] == k and not out_of[k] and element not in TEXT_LEVEL:
+            below.setdefault(slot[above] if above >= 0 else -1, []).append(k)
+    main, names = -1, ("article", "main")
+    region = {k: mass[places[k][1]] for k in range(len(places)) if slot[k] == k}
+    for k in reversed(range(len(places))):  # what is beside doesn't count above
+        if slot[k] == k and out_of[k]:
+            above = places[k][0]
+            top = above < 0 or not out_of[above]
+            while top and above >= 0:
+                if slot[above] == above:
+                    region[above] -= mass[places[k][1]]
+                above = places[above][0]
+    while below.get(main) and not (main >= 0 and places[main][2] == "article"):
+        some = below[main]
+        best = max(some, key=lambda k: (region[k], places[k][2] in names, -k))
+        whole = region[main] if main >= 0 else sum(region[k] for k in some)
+        if region[best] < 0.8 * whole and places[best][2] not in names:
+            break
+        main = best
+    inside = [False] * len(places)
+    for k, (above, *_) in enumerate(places):
+        inside[k] = k == main or main < 0 or (above >= 0 and inside[above])
+    return [j for j, (k, token) in enumerate(found) if token not in fixed and (inside[k] and not out_of[k] if k >= 0 else main < 0)]
 
 
 def _host(url: str | None) -> str:
@@ -102,64 +161,92 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def extract_main_text(pages: DataFrame, least_pages: int = 8, most_share: float = 0.9, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Every page's page_id, url, text and n_chars.
+BLOCKS = "page_id long, url string, host string, page long, above array<int>, path array<long>, element array<string>, beside array<boolean>, times array<int>, chars array<long>, place array<int>, token array<long>, text array<string>"
 
-    Tokens are the pages' block paths and the texts under them. A token's occurrence vector over its host's pages is kept as sums
-    (pages, occurrences, and hashes of page and count), so that tokens with equal vectors meet without any vector
-    being gathered. A class of two tokens or more that is on at least ``most_share`` of the pages of a host with ``least_pages`` or more is
-    valid. The paths of valid classes nest into the template by prefix; texts of valid classes are part of it, and what else is under its paths fills its slots. Main slots
-    are those in an article or main element, or else those under the container that holds most of the host's slot text. Slots beside
-    the article (see :func:`blocks`) never count. A host with few pages has no template, and its pages go by their own elements.
-    Pages of a host whose blocks, apart from those beside, are equal count as one page, so that copies of an article don't become a template.
 
-    Null html is empty, a page without url belongs to the host ''; repeated rows are each returned; no rows give no rows.
-    """
-    require(pages, id_col, url_col, html_col)
+def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """``BLOCKS`` of every page: its places with how often they occur and the characters in them, and its blocks of text; ``page`` is a hash of the blocks not beside the article."""
 
     def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for at in range(0, part.num_rows, 256):
-                some = part.slice(at, 256)
-                hosts, rows, same = [_host(u) for u in some.column("url").to_pylist()], [], []
-                for page in some.column("html").to_pylist():
-                    row, seen, under, content = [], {}, {}, xxhash.xxh64()
-                    for p, b, a, t in blocks(page):
-                        token = xxhash.xxh64_intdigest(f"{p}\n{t}") - (1 << 63)
-                        if not b:
-                            content.update(token.to_bytes(8, "little", signed=True))
-                            seen[token] = seen.get(token, 0) + 1
-                            k, n = under.get(p, (0, 0))
-                            under[p] = (k + 1, n + len(t))
-                        k, n = under.get(p, (0, 0))
-                        row.append({"path": p, "token": token, "beside": b, "article": a, "text": t, "nth": seen.get(token, 0), "path_nth": k, "path_chars": n})
-                    rows.append(row)
-                    same.append(content.intdigest() - (1 << 63))
-                yield pa.RecordBatch.from_arrays([some.column("page_id"), some.column("url"), pa.array(hosts, pa.string()), pa.array(same, pa.int64()), pa.array(rows, pa.list_(pa.struct([("path", pa.string()), ("token", pa.int64()), ("beside", pa.bool_()), ("article", pa.bool_()), ("text", pa.string()), ("nth", pa.int32()), ("path_nth", pa.int32()), ("path_chars", pa.int64())])))], ["page_id", "url", "host", "page", "blocks"])
+        fields = [(c.split()[0], c.split()[1]) for c in BLOCKS.split(", ")]
+        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+        for part in (some for whole in parts for some in byte_slices(whole, "html", 1 << 20)):
+            rows = []
+            for page_id, url, page in zip(*(part.column(n).to_pylist() for n in ("page_id", "url", "html")), strict=True):
+                places, found = blocks(page)
+                paths = [xxhash.xxh64_intdigest(p) - (1 << 63) for _, p, _, _, _ in places]
+                chars, content, beside = [0] * len(places), xxhash.xxh64(), []
+                for above, _, _, b, _ in places:
+                    beside.append(b or (above >= 0 and beside[above]))
+                tokens = []
+                for k, text in found:
+                    token = xxhash.xxh64_intdigest(f"{paths[k] if k >= 0 else ''}\n{text}") - (1 << 63)
+                    tokens.append(token)
+                    if k < 0 or not beside[k]:
+                        content.update(token.to_bytes(8, "little", signed=True))
+                    while k >= 0:
+                        chars[k] += len(text)
+                        k = places[k][0]
+                above, _, element, own, times = map(list, zip(*places, strict=True)) if places else ([],) * 5
+                rows.append((page_id, url, _host(url), content.intdigest() - (1 << 63), above, paths, element, own, times, chars, [k for k, _ in found], tokens, [t for _, t in found]))
+            if rows:
+                cols = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(kinds[k[6:-1]]) if k.startswith("array") else kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
-    found = stored(rows.mapInArrow(parse, "page_id long, url string, host string, page long, blocks array<struct<path:string,token:long,beside:boolean,article:boolean,text:string,nth:int,path_nth:int,path_chars:long>>"), "blocks")
-
-    sizes = found.groupBy("host").agg(F.count_distinct("page").alias("pages")).where(F.col("pages") >= least_pages)
-    lone = F.filter("blocks", lambda b: ~b["beside"])
-    names = F.transform(lone, lambda b: F.struct(b["token"].alias("token"), b["path"].alias("path"), F.lit(True).alias("is_text"), b["nth"].alias("k"), (b["nth"] * F.length(b["text"]).cast("long")).alias("n")))
-    paths = F.transform(lone, lambda b: F.struct(F.xxhash64(b["path"]).alias("token"), b["path"].alias("path"), F.lit(False).alias("is_text"), b["path_nth"].alias("k"), b["path_chars"].alias("n")))
-    # each place has the occurrences and characters so far: the greatest are the page's, however many copies it has
-    tokens = found.select("host", "page", F.explode(F.concat(names, paths)).alias("t")).groupBy("host", "page", "t.token", "t.path", "t.is_text").agg(F.max("t.k").cast("long").alias("k"), F.max("t.n").alias("n"))
-    vectors = tokens.groupBy("host", "token", "path", "is_text").agg(F.count("*").alias("on"), F.sum("k").alias("times"), F.sum(F.xxhash64("page", "k").cast("decimal(20,0)")).alias("sign"), F.sum("n").alias("n"))
-    frequent = vectors.join(sizes, "host").where((F.col("on") >= most_share * F.col("pages")) | ~F.col("is_text"))
+    return rows.mapInArrow(parse, BLOCKS)
+
+
+def templates(found: DataFrame, text_share: float = 0.9, place_share: float = 0.01) -> DataFrame:
+    """(host, paths, masses, fixed): the places and texts of each host's template.
+
+    Tokens are places, each with its start and end tags, and texts at their places. A token's occurrence vector over the
+    host's distinct pages is kept as sums (pages, occurrences, and hashes of page and count), so that tokens with equal vectors meet without any
+    vector being gathered. A class of equal vectors is valid if it has two tokens or more (a place alone has two, its tags) and occurs often: on
+    ``place_share`` of the pages, or, for its texts, on ``text_share`` of the pages and one more. So few pages, or a group of
+    copies, which is one page, make no text a template's. At most a page's tokens over the shares are gathered for a host. A place's mass is the characters of text in it on all pages.
+    """
+    sizes = found.where("size(path) > 0 or size(token) > 0").groupBy("host").agg(F.count_distinct("page").alias("pages"))
+    # copies of a page have equal places and texts but for those beside: the greatest counts are the page's
+    places = found.select("host", "page", F.explode(F.arrays_zip("path", "times", "chars")).alias("t")).select("host", "page", F.col("t.path").alias("token"), F.lit(2).alias("tokens"), F.col("t.times").cast("long").alias("k"), F.col("t.chars").alias("n"))
+    texts = found.select("host", "page", F.explode("token").alias("token")).groupBy("host", "page", "token").agg(F.count("*").alias("k"))
+    copies = found.groupBy("host", "page").agg(F.count("*").alias("copies"))
+    texts = texts.join(copies, ["host", "page"]).select("host", "page", "token", F.lit(1).alias("tokens"), F.ceil(F.col("k") / F.col("copies")).alias("k"), F.lit(0).cast("long").alias("n"))
+    tokens = places.union(texts).groupBy("host", "page", "token", "tokens").agg(F.max("k").alias("k"), F.max("n").alias("n"))
+    vectors = tokens.groupBy("host", "token", "tokens").agg(F.count("*").alias("on"), F.sum("k").alias("times"), F.sum(F.xxhash64("page", "k").cast("decimal(20,0)")).alias("sign"), F.sum("n").alias("n"))
+    often = (F.col("tokens") == 2) & (F.col("on") >= place_share * F.col("pages")) | (F.col("tokens") == 1) & (F.col("on") >= text_share * (F.col("pages") + 1))
+    frequent = vectors.join(sizes, "host").where(often)
     alike = Window.partitionBy("host", "on", "times", "sign")
-    valid = (F.col("on") >= most_share * F.col("pages")) & (F.col("size") >= 2)
-    container = F.regexp_replace("path", "/[^/]*$", "")
-    template = stored(frequent.withColumn("size", F.count("*").over(alike)).withColumn("valid", valid), "template")
-    texts = template.where("valid and is_text").groupBy("host").agg(F.collect_set("token").alias("fixed"))  # at most a page's tokens / most_share
-    mass = template.where("not is_text").groupBy("host", container.alias("main")).agg(F.sum("n").alias("n")).groupBy("host").agg(F.max_by("main", F.struct("n", "main")).alias("main"))
-    known = mass.join(texts, "host", "left")
-
-    fixed = F.coalesce("fixed", F.array().cast("array<long>"))
-    slots = F.filter(lone, lambda b: ~F.array_contains(fixed, b["token"]))
-    article = F.filter(slots, lambda b: b["article"])
-    under = F.filter(slots, lambda b: b["path"].startswith(F.col("main")))
-    chosen = F.when(F.exists("blocks", lambda b: b["article"]), article).when(F.col("main").isNotNull() & (F.size(under) > 0), under).otherwise(slots)
-    text = F.array_join(F.transform(chosen, lambda b: b["text"]), " ")
-    return found.join(known, "host", "left").select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    valid = frequent.withColumn("size", F.sum("tokens").over(alike)).where("size >= 2")
+    place = F.when(F.col("tokens") == 2, F.struct("token", "n"))
+    held = valid.groupBy("host").agg(F.collect_list(place).alias("places"), F.collect_list(F.when(F.col("tokens") == 1, F.col("token"))).alias("fixed"))
+    return held.select("host", F.col("places.token").alias("paths"), F.col("places.n").alias("masses"), "fixed")
+
+
+def extract_main_text(pages: DataFrame, text_share: float = 0.9, place_share: float = 0.01, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Every page's page_id, url, text and n_chars.
+
+    The template of a page's host (see :func:`templates`) nests by containment and cuts the page into slots; the main region is chosen among its
+    places (see :func:`main_blocks`), and what the slots in it hold, but for the template's own texts, is the page's text. Names only label
+    slots that the template has. On a host with few pages, each page's own places are part of it; a page without pages beside it goes by its own.
+
+    Null html is empty, a page without url belongs to the host ''; repeated rows are each returned; no rows give no rows.
+    """
+    require(pages, id_col, url_col, html_col)
+    found = stored(parsed_pages(pages, id_col, url_col, html_col), "blocks")
+    known = found.select("page_id", "url", "host", "above", "path", "element", "beside", "place", "token", "text").join(templates(found, text_share, place_share), "host", "left")
+
+    def texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("above", "path", "element", "beside", "place", "token", "text", "paths", "masses", "fixed")
+        for part in (whole.slice(at, 256) for whole in parts for at in range(0, whole.num_rows, 256)):
+            hosts, held, out = part.column("host").to_pylist(), {}, []
+            for k, host in enumerate(hosts):
+                above, path, element, beside, place, token, text, *_ = (part.column(n)[k].as_py() for n in names[:7])
+                if host not in held:
+                    paths, masses, fixed = (part.column(n)[k].as_py() or [] for n in names[7:])
+                    held[host] = dict(zip(paths, masses, strict=True)), set(fixed)
+                main = main_blocks(list(zip(above, path, element, beside, strict=True)), list(zip(place, token, strict=True)), *held[host])
+                out.append(" ".join([text[j] for j in main]))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
+
+    return known.mapInArrow(texts, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
