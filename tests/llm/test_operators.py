@@ -52,32 +52,57 @@ def texts(df):
 # ---- packing --------------------------------------------------------------------------------------------
 
 
-def plain_best_fit(lengths, sizes):
-    bins, fill, room, left = [], [], [], sum(lengths)
-    for n in lengths:
+def plain_best_fit(lengths, sizes, opens):
+    fill, room, opened = [], [], []
+    for k, n in enumerate(lengths):
         fits = [(r, -b) for b, r in enumerate(room) if r >= n]
         if fits:
             least = min(r for r, _ in fits)
             b = max(b for b, r in enumerate(room) if r == least)
         else:
             b = len(room)
-            size = min((c for c in sorted(sizes) if c >= n), key=lambda c: (packing.bin_cost(c) / min(c, max(left, 1)), c))
-            room.append(size)
+            opened.append(opens(n, lengths[k + 1 :], sizes))
+            room.append(opened[-1])
             fill.append(0)
         room[b] -= n
         fill[b] += n
-        bins.append(b)
-        left -= n
-    return fill
+    return fill, opened
+
+
+def cheapest(n, later, sizes):
+    return min((packing.bin_cost(c) / max(1, n + min(c - n, sum(x for x in later if x <= c - n))), c) for c in sizes if c >= n)[1]
+
+
+def smallest(n, later, sizes):
+    return min(c for c in sizes if c >= n)
+
+
+def shrunk(fill, sizes):
+    return [min(c for c in sizes if c >= f) for f in fill]
 
 
 def test_packing_fills_like_a_plain_best_fit():
     rng = random.Random(3)
     for _ in range(30):
         lengths = sorted((rng.randint(0, 64) for _ in range(rng.randint(0, 60))), reverse=True)
-        _, caps, fill = packing.pack_lengths(lengths, (16, 32, 64))
-        assert sorted(fill) == sorted(plain_best_fit(lengths, (16, 32, 64)))
-        assert all(c in (16, 32, 64) and f <= c and (c == 16 or f > c // 2) for c, f in zip(caps, fill, strict=True))
+        _, caps, fill, opened = packing.pack_lengths(lengths, (16, 32, 64))
+        want, at = plain_best_fit(lengths, (16, 32, 64), cheapest)
+        assert sorted(zip(fill, opened, strict=True)) == sorted(zip(want, at, strict=True))
+        assert caps == shrunk(fill, (16, 32, 64))
+
+
+def test_bins_open_larger_than_needed_shrink_and_cost_less(docs):
+    lengths = sorted((min(4096, len(t.split()) + 1) for _, t in texts(docs)), reverse=True)
+    _, caps, fill, opened = packing.pack_lengths(lengths)
+    first = {}
+    for n, b in zip(lengths, packing.pack_lengths(lengths)[0], strict=True):
+        first.setdefault(b, n)
+    assert any(opened[b] > smallest(n, (), packing.SIZES) for b, n in first.items())
+    plain = shrunk(plain_best_fit(lengths, packing.SIZES, smallest)[0], packing.SIZES)
+    assert sum(map(packing.bin_cost, caps)) < sum(map(packing.bin_cost, plain))
+    # the shorter long item opens a large bin for the short ones, which then fill what the others left
+    _, caps, fill, opened = packing.pack_lengths([3000] * 3 + [2000] + [90] * 24)
+    assert any(c < o for c, o in zip(caps, opened, strict=True)) and sum(fill) == 11000 + 24 * 90
 
 
 def test_packing_keeps_every_token_once(spark, docs, odd, empty):
@@ -257,10 +282,22 @@ def test_links_of_crowded_buckets_lose_nothing(spark, most):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
 
 
-def test_one_document_of_each_group_stays(spark, docs):
-    kept = nd.one_per_component(docs)
-    parts = nd.near_duplicate_components(docs).select("component_id").distinct().count()
-    assert kept.count() == parts and kept.columns == docs.columns or set(kept.columns) == set(docs.columns)
+def test_one_row_of_each_group_stays(spark, docs, odd):
+    many = "alpha beta gamma delta epsilon zeta eta theta"
+    mixed = spark.createDataFrame([(1, "t"), (None, "t"), (7, "t"), (7, "other words here"), (9, "u"), (9, "u"), (None, "alone"), (None, "alone"), (None, many), (None, many.upper()), (3, None), (2, ""), (4, " ")], "doc_id long, text string").withColumns({"fp": F.lit(1), "component_id": F.lit(2), "first": F.lit(3)})
+    for df in (docs, odd, mixed):
+        rows = [(r.doc_id, r.text or "") for r in df.collect()]
+        roots = plain_components({plain_fingerprint(t.encode()) for _, t in rows})
+        groups = defaultdict(set)
+        for i, t in rows:
+            groups[roots[plain_fingerprint(t.encode())]].add((i is None, i, t))
+        kept = nd.one_per_component(df)
+        got = [(r.doc_id is None, r.doc_id, r.text or "") for r in kept.collect()]
+        assert kept.columns == df.columns and len(got) == len(groups)
+        for r in got:
+            group = groups.pop(roots[plain_fingerprint(r[2].encode())])
+            assert r in group and r[:2] == min((x[:2] for x in group), key=lambda x: (x[0], x[1] or 0))
+    assert nd.one_per_component(docs.limit(0)).count() == 0
 
 
 # ---- repeated passages ----------------------------------------------------------------------------------
@@ -483,3 +520,57 @@ def test_copies_of_an_article_are_one_page_of_their_host(spark):
     assert {text[n] for n in range(12)} == {"Head&line same Boldsametext <x> next line same Share this story café same"}  # one page: no template
     assert text[103] == "Head&line n3 Boldn3text <x> next line n3 café n3"
     assert {text[100 + n] for n in range(12, 140)} == {"Head&line same Boldsametext <x> next line same café same"}
+
+
+def test_names_of_other_things_stay_and_notices_go(spark):
+    page = "<html><body><div class='main-content search-results'><h1>Title</h1><div class='share-price'>Price {n}</div><section id=social-history>History {n}</section><div class='widget-history'>Past {n}</div><div class='comment-list'>First {n}</div><div class='cookie-notice'>Cookies {n}</div><p>Text {n}</div></body></html>"
+    rows = [(n, "http://x.example/", page.replace("{n}", str(n))) for n in range(3)]
+    text = {r.page_id: r.text for r in page_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text == {n: f"Title Price {n} History {n} Past {n} Text {n}" for n in range(3)}
+
+
+def plain_template(pages):
+    """Places and texts of the template of one host's distinct pages, by occurrence vectors written out in full."""
+    counts = []
+    for page in pages:
+        places, found = page_text.blocks(page)
+        c = defaultdict(int)
+        for _, path, _, _, times in places:
+            c["start", path] = c["end", path] = times
+        for k, text in found:
+            c["text", places[k][1] if k >= 0 else "", text] += 1
+        counts.append(c)
+    vectors = {t: tuple(c.get(t, 0) for c in counts) for t in set().union(*counts)}
+    classes = defaultdict(set)
+    for t, v in vectors.items():
+        often = sum(map(bool, v))
+        if often >= (0.9 * (len(pages) + 1) if t[0] == "text" else 0.01 * len(pages)):
+            classes[v].add(t)
+    valid = set().union(*(x for x in classes.values() if len(x) >= 2))
+    return {p for kind, p, *_ in valid if kind == "start"}, {(p, *t) for kind, p, *t in valid if kind == "text"}
+
+
+def test_the_template_equals_one_from_whole_occurrence_vectors(spark):
+    rng = random.Random(6)
+    line = lambda: " ".join(rng.choice("lorem ipsum dolor sit amet".split()) + str(rng.randint(0, 9)) for _ in range(9))
+    pages = []
+    for n in range(30):
+        body = "".join(f"<p>{line()}</p>" for _ in range(rng.randint(1, 5)))
+        pages.append(f"<body><nav><ul>{''.join(f'<li>m{rng.randint(0, 50)}</li>' for _ in range(4))}</ul></nav>{'<div class=promo>Buy</div>' if n % 3 else ''}<div id=post-{n}><h1>{line()}</h1>{body}<p>Share this</p>{'<p>Share this</p>' if n == 4 else ''}<div class=box>Printed by us</div></div><div>All rights</div></body>")
+    df = spark.createDataFrame([(n, "http://h.example/", p) for n, p in enumerate(pages)], "page_id long, url string, html string")
+    found = page_text.parsed_pages(df, "page_id", "url", "html")
+    got = page_text.templates(found).collect()
+    paths, fixed = plain_template(pages)
+    h = lambda s: xxhash.xxh64_intdigest(s) - (1 << 63)
+    assert len(got) == 1 and set(got[0].paths) == {h(p) for p in paths}
+    assert set(got[0].fixed) == {h(f"{h(p)}\n{t}") for p, t in fixed} and {t for _, t in fixed} == {"Printed by us", "All rights"}
+
+
+def test_the_template_decides_on_every_page_of_the_table(spark, sf_dir):
+    found = page_text.parsed_pages(read(spark, sf_dir, "pages"), "page_id", "url", "html")
+    known = {r.host: (dict(zip(r.paths, r.masses, strict=True)), set(r.fixed)) for r in page_text.templates(found).collect()}
+    for r in found.collect():
+        places, blocks = list(zip(r.above, r.path, r.element, r.beside, strict=True)), list(zip(r.place, r.token, strict=True))
+        kept = page_text.main_blocks(places, blocks, *known[r.host])
+        assert kept != page_text.main_blocks(places, blocks, {}, set()) == list(range(len(blocks)))
+        assert {r.element[r.place[j]] for j in kept} <= {"article", "h1", "p"}
