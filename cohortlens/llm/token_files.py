@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import require, shared_dir, stored, text_or_empty
+from cohortlens.llm.common import byte_slices, require, shared_dir, stored, text_or_empty
 from cohortlens.llm.encoding import encode_dropping_space, tokenizer
 
 BLOCKS = "shard int, block int, first_id_at long, n_ids long, doc_ids array<long>, doc_lens array<int>, control binary, data binary"
@@ -58,27 +58,24 @@ def write_ids(docs: DataFrame, tokenizer_path: str, out: str | None = None, end_
     out = out or f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     top = max(tokenizer(tokenizer_path).get_vocab_size(), end_id + 1)
     kind = "<u2" if top <= 1 << 16 else "<u4"
-    end = np.array([end_id], kind).tobytes()
+    item = np.dtype(kind).itemsize
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for at in range(0, part.num_rows, 1024):
-                some = part.slice(at, 1024)
-                ids = [x + end for x in encode_dropping_space(tokenizer_path, some.column("text").cast(pa.binary()).to_pylist(), kind)]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    encoded = stored(rows.mapInArrow(encode, "doc_id long, ids binary"), "encoded")
-
-    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(top, np.int64)
+        names, none = ["doc_id", "ids", "seen", "times"], [pa.nulls(1, k) for k in (pa.int64(), pa.binary())]
         for part in parts:
-            for x in part.column("ids"):
-                total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=top)
+            for some in byte_slices(part, "text"):
+                ids, past = encode_dropping_space(tokenizer_path, some.column("text"), kind, end_id)
+                total += np.bincount(ids, minlength=top)
+                held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(some), [None, pa.py_buffer(past * item), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), held, *[pa.nulls(len(some), pa.list_(pa.int64()))] * 2], names)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([*none, pa.array([seen]), pa.array([total[seen]])], names)  # the task's counts
 
-    counts = encoded.select("ids").mapInArrow(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    written = stored(rows.mapInArrow(encode, "doc_id long, ids binary, seen array<long>, times array<long>"), "encoded")
+    encoded = written.where("seen is null").select("doc_id", "ids")
+    counts = written.select(F.explode(F.arrays_zip("seen", "times")).alias("c")).groupBy(F.col("c.seen").alias("id")).agg(F.sum("c.times").alias("n")).collect()  # at most the vocabulary
     ranked = [r.id for r in sorted(counts, key=lambda r: (-r.n, r.id))]
     spark.createDataFrame(list(enumerate(ranked)), "rank int, id int").coalesce(1).write.parquet(f"{out}/vocab")
     rank = np.zeros(top, np.uint32)
