@@ -1,9 +1,12 @@
 """Removal of long passages that repeat across documents, by longest-previous-factor arrays.
 
 A passage is found again through its anchors: the least hashed piece of ``PIECE`` bytes in each run of ``span``
-bytes. Equal runs have equal anchors, so documents that share a run meet at an anchor's hash, and only the bytes
-round such anchors are sorted. Suffix order, with the previous and next smaller document in it, then gives
-for each place the longest factor that an earlier document has.
+bytes. Equal runs have equal anchors at equal places, so documents that share a run meet at an anchor's hash, and only the runs whose
+anchor is shared are sorted. Suffix order, with the previous and next smaller document in it, then gives
+for each run the longest factor that an earlier document has.
+
+Texts and stretches of text that are equal byte for byte travel once, with the least and the greatest of their documents; both go into the
+arrays, and what they say of the greatest holds for all but the least.
 """
 
 from __future__ import annotations
@@ -15,15 +18,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import require, stored, text_or_empty
+from cohortlens.llm.common import byte_slices, require, shared_dir, stored, text_or_empty
 
 PIECE = 20
 _NO_ID = 2**63 - 1
 _AT = np.uint64((1 << 24) - 1)
+_KEY = np.dtype("V16")
 
 
 # ---- anchors --------------------------------------------------------------------------------------------
@@ -44,12 +47,12 @@ def _piece_hashes(raw: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions, ascending, and hashes of the anchors of the texts raw[start:end]; raw has under 2^24 bytes."""
+def _anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each anchor of the texts raw[start:end], ascending: position, hash, position of the first run it is the least piece of, and how many such runs follow one another; raw has under 2^24 bytes."""
     n = len(raw) - span + 1
     long = ends - starts >= span
     if n <= 0 or not long.any():
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = _piece_hashes(raw)
     least = (hashes & ~_AT) | np.arange(len(hashes), dtype=np.uint64)
     pieces, width = span - PIECE + 1, 1
@@ -61,23 +64,26 @@ def _anchors(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, span: int) -
     inside = np.zeros(n + 1, np.int8)
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - span + 1, -1)
-    at = (least[np.cumsum(inside[:-1], dtype=np.int8) > 0] & _AT).astype(np.int64)
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))]
-    return at, hashes[at]
+    runs = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8) > 0)
+    at = (least[runs] & _AT).astype(np.int64)
+    head = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+    at = at[head]
+    return at, hashes[at], runs[head], np.diff(np.append(head, len(runs)))
 
 
-def anchors_of(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position in it, hash) of every anchor; texts of any length, taken about 2 MB at a time."""
+def anchors_of(texts: list[bytes], span: int) -> tuple[np.ndarray, ...]:
+    """(text, position in it, hash, first run, number of runs) of every anchor; texts of any length, taken about 2 MB at a time."""
     most, out, some, held = 1 << 21, [], [], 0
 
     def take() -> None:
         raw = np.frombuffer(b"".join(t[a:b] for _, t, a, b in some), np.uint8)
         ends = np.cumsum([b - a for _, _, a, b in some])
         starts = ends - [b - a for _, _, a, b in some]
-        at, h = _anchors(raw, starts, ends, span)
+        at, h, first, runs = _anchors(raw, starts, ends, span)
         part = np.searchsorted(ends, at, "right")
         which, off = np.array([k for k, *_ in some]), np.array([a for _, _, a, _ in some])
-        out.append((which[part], at - starts[part] + off[part], h))
+        move = off[part] - starts[part]
+        out.append((which[part], at + move, h, first + move, runs))
 
     for k, t in enumerate(texts):
         for a in range(0, max(1, len(t) - span + 1), most):
@@ -90,28 +96,22 @@ def anchors_of(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, n
     if some:
         take()
     if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    which, at, h = (np.concatenate(x) for x in zip(*out, strict=True))
-    fresh = np.concatenate(([True], (which[1:] != which[:-1]) | (at[1:] != at[:-1])))  # parts of a long text overlap
-    return which[fresh], at[fresh], h[fresh]
+        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 2
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 # ---- longest previous factors ---------------------------------------------------------------------------
 
 
-def suffix_order(buffer: bytes, at: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes at ``at`` by their first ``width`` bytes, then by owner; and each one's common prefix with the one before, up to ``width``."""
-    words = -(-width // 8)
-    padded = np.frombuffer(buffer + bytes(8 * words), np.uint8)
-    view = np.lib.stride_tricks.sliding_window_view(padded, 8 * words)[at]
-    if width % 8:
-        view = view.copy()
-        view[:, width:] = 0
-    keys = np.ascontiguousarray(view).view(">u8").astype(np.uint64)
-    order = np.lexsort((owner, *keys.T[::-1]))
-    same = view[order][1:] == view[order][:-1]
-    lcp = np.where(same.all(axis=1), width, same.argmin(axis=1))
-    return order, np.concatenate(([0], np.minimum(lcp, width)))
+def suffix_order(suffixes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows of bytes, then by owner; and each one's common prefix with the one before."""
+    width = suffixes.shape[1]
+    keys = np.zeros((len(suffixes), -(-width // 8) * 8), np.uint8)
+    keys[:, :width] = suffixes
+    order = np.lexsort((owner, *keys.view(">u8").astype(np.uint64).T[::-1]))
+    same = suffixes[order]
+    same = same[1:] == same[:-1]
+    return order, np.concatenate(([0], np.where(same.all(axis=1), width, same.argmin(axis=1))))
 
 
 def _nearest_smaller(value: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
@@ -130,194 +130,267 @@ def _nearest_smaller(value: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarr
     return found
 
 
-def longest_previous_factor(texts: list[bytes], owners: list[int], width: int) -> list[np.ndarray]:
-    """For each text, for each position with ``width`` bytes from it on: the longest prefix of those bytes, 0 if it isn't whole, that a text of a smaller owner has.
+def longest_previous_factor(windows: np.ndarray, counts: np.ndarray, owners: np.ndarray, width: int, most: int = 200_000) -> np.ndarray:
+    """For the first ``counts`` places of each row of bytes, one row after the other: the longest prefix of the ``width`` bytes from there on, 0 if it isn't whole, that a row of a smaller owner has.
 
-    Previous and next smaller owners in suffix order give the two candidates; the longer counts.
+    Previous and next smaller owners in suffix order give the two candidates; the longer counts. Suffixes are sorted by their first eight bytes, and
+    then about ``most`` at a time, never apart from those they share eight bytes with.
     """
-    counts = np.maximum(0, np.array([len(t) for t in texts], np.int64) - width + 1)
-    starts = np.cumsum([0, *map(len, texts)])[:-1]
-    text = np.repeat(np.arange(len(texts)), counts)
-    at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + starts[text]
-    owner = np.array(owners, np.int64)[text]
-    out = np.zeros(len(at), np.int64)
-    if len(at):
-        order, lcp = suffix_order(b"".join(texts), at, owner, width)
-        ranked = owner[order]
+    row = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+    out = np.zeros(len(row), np.int64)
+    if not len(row):
+        return out
+    flat = np.ascontiguousarray(windows).reshape(-1)
+    views = np.lib.stride_tricks.sliding_window_view(flat, width)
+    at = row * windows.shape[1] + place
+    lead = np.lib.stride_tricks.sliding_window_view(flat, 8)[at].copy().view(">u8")[:, 0].astype(np.uint64)
+    order = np.argsort(lead, kind="stable")
+    edges = np.append(np.flatnonzero(np.diff(lead[order])) + 1, len(order))  # where a part may end
+    done = 0
+    while done < len(order):
+        end = int(edges[min(len(edges) - 1, np.searchsorted(edges, done + most))])
+        some = order[done:end]
+        owner = owners[row[some]]
+        inner, lcp = suffix_order(views[at[some]], owner)
+        ranked = owner[inner]
         before = _nearest_smaller(ranked, lcp, width)
         after = _nearest_smaller(ranked[::-1], np.concatenate(([0], lcp[1:][::-1])), width)[::-1]
-        out[order] = np.maximum(before, after)
-    return np.split(out, np.cumsum(counts)[:-1])
+        out[some[inner]] = np.maximum(before, after)
+        done = end
+    return out
 
 
 # ---- the job --------------------------------------------------------------------------------------------
 
 
-def _rows(names: list[str], kinds: list[pa.DataType], columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+def _keys(column: pa.Array) -> np.ndarray:
+    """The 16-byte values of a binary column."""
+    return np.frombuffer(b"".join(column.to_pylist()), _KEY)
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def _binary(keys: np.ndarray) -> pa.Array:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(0, 16 * len(keys) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(keys).tobytes())])
+
+
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where a new group starts in sorted columns."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _blobs(bucket: int, *columns: np.ndarray) -> list[pa.Array]:
+    return [pa.array([bucket], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in columns]]
+
+
+def _code(h: np.ndarray, buckets: int) -> np.ndarray:
+    """A hash's bucket and its low 32 bits: all that is sent of it."""
+    return ((h >> np.uint64(33)).astype(np.int64) % buckets << 32) | (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _shared_anchors(texts: DataFrame, span: int, buckets: int, hot: int) -> DataFrame:
-    """(k, pos) of anchors whose hash is found with two ids; (hash, -1) for hashes found in over ``hot`` texts."""
-    names = ["b", "known", "ks", "ids", "runs", "hashes", "at", "weights"]
-    kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 6]
+    """(key, pos) of anchors whose hash is found with two ids, pos being position, place of the anchor in its first run, and runs less 1; (code, null key) for hashes found in over ``hot`` texts."""
+    names = ["b", "keys", "ids", "runs", "hashes", "at", "places", "weights"]
+    schema = "b int, " + ", ".join(f"{n} binary" for n in names[1:])
 
-    def packed(b: np.ndarray, known: bool, k: np.ndarray, ids: np.ndarray, h: np.ndarray, at: np.ndarray, weight: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((at, k, b))
+    def packed(b: np.ndarray, keys: np.ndarray, which: np.ndarray, ids: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of one bucket each; a text's key and id are sent once in a row."""
+        order = np.lexsort((which, b))
         for some in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
             if len(some):
-                head = np.concatenate(([0], np.flatnonzero(np.diff(k[some])) + 1))
-                runs = np.diff(np.concatenate((head, [len(some)]))).astype("<u4")
-                few = [] if known else h[some]
-                yield _rows(names, kinds, [[int(b[some[0]])], [known], [k[some][head].tobytes()], [ids[some][head].tobytes()], [runs.tobytes()], [np.asarray(few, "<u8").tobytes()], [at[some].astype("<u4").tobytes()], [(np.zeros(0) if known else weight[some]).astype("<u4").tobytes()]])
+                head = _heads(which[some])
+                runs = np.diff(np.append(head, len(some))).astype("<u4")
+                yield pa.RecordBatch.from_arrays(_blobs(int(b[some[0]]), keys[which[some[head]]], ids[some[head]], runs, *[c[some] for c in columns]), names)
 
     def local(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            which, at, h = anchors_of(part.column("text").cast(pa.binary()).to_pylist(), span)
+        for part in (some for whole in parts for some in byte_slices(whole, "text")):
+            which, at, h, first, runs = anchors_of(part.column("text").cast(pa.binary()).to_pylist(), span)
             if not len(h):
                 continue
-            k, ids = part.column("k").to_numpy()[which], part.column("first_id").to_numpy()[which]
-            order = np.lexsort((ids, h))
-            head = np.concatenate(([0], np.flatnonzero(np.diff(h[order])) + 1))
-            size = np.diff(np.concatenate((head, [len(order)])))
-            low, top = ids[order][head], np.maximum.reduceat(ids[order], head)
-            many = np.repeat(low < top, size)  # known here: another id has the piece
-            weight = np.ones(len(order), np.int64)
-            weight[head] = np.where(low < top, size, 1)
+            keys, low, top = _keys(part.column("key")), part.column("first_id").to_numpy()[which], part.column("last_id").to_numpy()[which]
+            places, at = ((at - first) << 8 | (runs - 1)).astype("<u2"), at.astype("<u4")
+            order = np.lexsort((low, h))
+            head = _heads(h[order])
+            size = np.diff(np.append(head, len(order)))
+            known = low[order][head] < np.maximum.reduceat(top[order], head)  # another id has the piece
+            weight = np.ones(len(order), "<u4")
+            weight[head] = np.where(known, np.maximum(size, 2), 1)
+            many = np.repeat(known, size)
             keep = ~many
             keep[head] = True  # of a piece with several ids, one goes on for all
             sent = order[keep]
-            yield from packed((h[sent] >> np.uint64(33)).astype(np.int64) % buckets, False, k[sent], ids[sent], h[sent], at[sent], weight[keep])
+            code = _code(h[sent], buckets)
+            yield from packed(code >> 32, keys, which[sent], low[sent], (code & 0xFFFFFFFF).astype("<u4"), at[sent], places[sent], weight[keep])
             done = order[many]
-            yield from packed(k[done] % buckets, True, k[done], ids[done], h[done], at[done], weight)
+            yield from packed(which[done] % buckets, keys, which[done], low[done], np.zeros(len(done), "<u4"), at[done], places[done], np.zeros(len(done), "<u4"))
 
     def joined(key: tuple, table: pa.Table) -> pa.Table:
-        cols = {n: table.column(n).to_pylist() for n in names}
-        ks, ats = [], []
-        new = {n: [] for n in ("k", "ids", "h", "at", "weight")}
-        for i, known in enumerate(cols["known"]):
-            runs = np.frombuffer(cols["runs"][i], "<u4")
-            k, at = np.repeat(np.frombuffer(cols["ks"][i], "<i8"), runs), np.frombuffer(cols["at"][i], "<u4")
-            if known:
-                ks.append(k)
-                ats.append(at)
-            else:
-                for n, v in (("k", k), ("ids", np.repeat(np.frombuffer(cols["ids"][i], "<i8"), runs)), ("h", np.frombuffer(cols["hashes"][i], "<u8")), ("at", at), ("weight", np.frombuffer(cols["weights"][i], "<u4"))):
-                    new[n].append(v)
-        if new["k"]:
-            k, ids, h, at, weight = (np.concatenate(x) for x in new.values())
-            order = np.argsort(h, kind="stable")
-            head = np.concatenate(([0], np.flatnonzero(np.diff(h[order])) + 1))
-            size = np.diff(np.concatenate((head, [len(order)])))
-            shared = np.minimum.reduceat(ids[order], head) < np.maximum.reduceat(ids[order], head)
-            some = order[np.repeat(shared, size)]
-            ks.append(k[some])
-            ats.append(at[some])
-            often = np.add.reduceat(weight[order].astype(np.int64), head) > hot
-            ks.append(h[order][head][often].view(np.int64))
-            ats.append(np.full(int(often.sum()), -1))
-        return pa.table({"k": np.concatenate(ks).astype(np.int64), "pos": np.concatenate(ats).astype(np.int32)})
-
-    sent = texts.mapInArrow(local, "b int, known boolean, ks binary, ids binary, runs binary, hashes binary, at binary, weights binary")
-    return sent.groupBy("b").applyInArrow(joined, "k long, pos int")
-
-
-def _spans(texts: DataFrame, flagged: DataFrame, span: int, buckets: int, often: frozenset[int]) -> DataFrame:
-    """(k, first_id, from, to): byte ranges of texts that a smaller id has too, at least once round each flagged anchor."""
-    left, right = span - PIECE, span
+        new: dict[str, list] = {n: [] for n in ("keys", "ids", "hashes", "at", "places", "weights")}
+        kinds = {"keys": _KEY, "ids": "<i8", "hashes": "<u4", "at": "<u4", "places": "<u2", "weights": "<u4"}
+        for row in table.to_pylist():
+            runs = np.frombuffer(row["runs"], "<u4")
+            for n, v in new.items():
+                x = np.frombuffer(row[n], kinds[n])
+                v.append(np.repeat(x, runs) if n in ("keys", "ids") else x)
+        keys, ids, h, at, places, weight = (np.concatenate(v) for v in new.values())
+        order = np.lexsort((h, weight == 0))
+        order, done = order[: np.count_nonzero(weight)], order[np.count_nonzero(weight) :]
+        flagged, often = [done], np.zeros(0, np.int64)
+        if len(order):
+            head = _heads(h[order])
+            ranked, heavy = ids[order], weight[order].astype(np.int64)
+            shared = (np.minimum.reduceat(ranked, head) < np.maximum.reduceat(ranked, head)) | (np.maximum.reduceat(heavy, head) > 1)
+            flagged.append(order[np.repeat(shared, np.diff(np.append(head, len(order))))])
+            often = h[order][head][np.add.reduceat(heavy, head) > hot].astype(np.int64) | int(key[0].as_py()) << 32
+        some = np.concatenate(flagged)
+        pos = at[some].astype(np.int64) << 16 | places[some]
+        return pa.table({"key": pa.concat_arrays([_binary(keys[some]), pa.nulls(len(often), pa.binary())]), "pos": np.concatenate((pos, often))})
+
+    return texts.mapInArrow(local, schema).groupBy("b").applyInArrow(joined, "key binary, pos long")
+
+
+def _fold(windows: np.ndarray, counts: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, where groups start in it) that brings equal windows together, least ids first."""
+    words = windows.view("<u8")
+    odd = (np.arange(1, words.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    h = ((words ^ (words >> np.uint64(32))) * odd).sum(axis=1, dtype=np.uint64) + counts.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    order = np.lexsort((low, h))
+    new = np.ones(len(order), bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1) | (counts[order[1:]] != counts[order[:-1]])
+    return order, np.flatnonzero(new)
+
+
+def _spans(texts: DataFrame, flagged: DataFrame, span: int, buckets: int, often: np.ndarray) -> DataFrame:
+    """(key, later, from, to): byte ranges that a smaller id has too, of a text's first row, and of its later rows (equal text, greater id)."""
+    wide = -(-(2 * span - PIECE) // 8) * 8
+    names = ["b", "windows", "counts", "low", "top", "times", "keys", "at", "kinds"]
+    schema = "b int, " + ", ".join(f"{n} binary" for n in names[1:])
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (some.slice(at, 1000) for some in parts for at in range(0, some.num_rows, 1000)):  # bounds what a task holds
-            seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-            for k, ident, text, at in zip(*(part.column(n).to_pylist() for n in ("k", "first_id")), part.column("text").cast(pa.binary()).to_pylist(), part.column("at").to_pylist(), strict=True):
-                hashes = _piece_hashes(np.frombuffer(b"".join([text[p : p + PIECE] for p in at]), np.uint8))[::PIECE].tolist() if often else [0] * len(at)
-                for p, h in zip(at, hashes, strict=True):
-                    a, b = max(0, p - left), min(len(text), p + right)
-                    if h in often:  # too many different surroundings for one task: each run by itself
-                        for i in range(a, b - span + 1):
-                            seen.setdefault((-1, text[i : i + span]), []).append((ident, k, i))
-                    else:
-                        seen.setdefault((p - a, text[a:b]), []).append((ident, k, a))
-            done: list[tuple[int, int, int, int]] = []
-            out: dict[int, list] = {}
-            for (off, piece), found in seen.items():
-                low = min(found)[0]
-                core = piece if off < 0 else piece[off : off + PIECE]
-                b = xxhash.xxh64_intdigest(core) % buckets
-                for ident, k, a in found:
-                    if ident > low:
-                        done.append((k, ident, a, a + len(piece)))
-                    else:
-                        out.setdefault(b, []).append((off, piece, ident, k, a))
-            for b, x in out.items():
-                offs, texts_, ids, ks, starts = zip(*x, strict=True)
-                yield _rows(["b", "offs", "pieces", "ids", "ks", "starts"], [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 3], [[b], [offs], [texts_], [ids], [ks], [starts]])
-            if done:
-                by: dict[int, list] = {}
-                for x in done:
-                    by.setdefault(x[0] % buckets, []).append(x)
-                for b, x in by.items():
-                    ks, ids, starts, ends = zip(*x, strict=True)
-                    yield _rows(["b", "offs", "pieces", "ids", "ks", "starts"], [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.binary()), *[pa.list_(pa.int64())] * 3], [[b], [[e - s for s, e in zip(starts, ends, strict=True)]], [None], [ids], [ks], [starts]])
+        for part in (some for whole in parts for some in byte_slices(whole, "text", 4 << 20)):
+            lists = part.column("at")
+            pos = lists.flatten().to_numpy()
+            text = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
+            column = part.column("text").cast(pa.binary())
+            bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(part) + 1].astype(np.int64)
+            raw = np.frombuffer(bytes(memoryview(column.buffers()[2])[bounds[0] : bounds[-1]]) + bytes(wide), np.uint8)
+            anchor, counts = bounds[text] - bounds[0] + (pos >> 16), (pos & 255) + 1
+            start = anchor - (pos >> 8 & 255)
+            h = np.concatenate([_piece_hashes(np.lib.stride_tricks.sliding_window_view(raw, PIECE)[anchor[k : k + 100_000]].reshape(-1))[::PIECE] for k in range(0, len(anchor), 100_000)])
+            bucket = _code(h, buckets) >> 32
+            if len(often):  # too many different surroundings for one task: each run by itself
+                alone = np.isin(_code(h, buckets), often)
+                each = np.where(alone, counts, 1)
+                step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                text, start, bucket = (np.repeat(x, each) for x in (text, start, bucket))
+                start, alone, counts = start + step, np.repeat(alone, each), np.repeat(np.where(alone, 1, counts), each)
+            else:
+                alone = np.zeros(len(start), bool)
+            first, last, keys = part.column("first_id").to_numpy()[text], part.column("last_id").to_numpy()[text], _keys(part.column("key"))
+            for some in np.split(np.arange(len(start)), range(200_000, len(start), 200_000)):
+                windows = np.lib.stride_tricks.sliding_window_view(raw, wide)[start[some]]
+                windows = np.where(np.arange(wide) < (counts[some] + span - 1)[:, None], windows, np.uint8(0))
+                order, head = _fold(windows, counts[some], first[some])
+                times = np.diff(np.append(head, len(order)))
+                member = some[order]
+                low, top = first[member][head], np.maximum.reduceat(last[member], head)
+                group = np.repeat(np.arange(len(head)), times)
+                kind = (first[member] > low[group]).astype(np.uint8)  # 0: of the least id, 1: of a greater one
+                copied = np.flatnonzero(last[member] > first[member])  # and 3: of the text's later rows
+                group, member, kind = np.concatenate((group, group[copied])), np.concatenate((member, member[copied])), np.concatenate((kind, np.full(len(copied), 3, np.uint8)))
+                content = windows[order[head]]
+                to = bucket[some[order[head]]]
+                by_content = alone[some[order[head]]]
+                if by_content.any():
+                    to[by_content] = _code(_mixed(content[by_content]), buckets) >> 32
+                by = np.lexsort((group, to[group]))
+                at_group = np.argsort(to, kind="stable")
+                size = np.bincount(group, minlength=len(head)).astype("<u4")
+                cut = _heads(to[at_group])
+                ends = np.append(cut, len(at_group))
+                taken = np.concatenate(([0], np.cumsum(size[at_group], dtype=np.int64)))
+                at = (start[member] - (bounds[text[member]] - bounds[0])).astype("<u4")
+                for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    g, m = at_group[i:j], by[taken[i] : taken[j]]
+                    yield pa.RecordBatch.from_arrays(_blobs(int(to[g[0]]), content[g], counts[some[order[head[g]]]].astype(np.uint8), low[g], top[g], size[g], keys[text[member[m]]], at[m], kind[m]), names)
 
     def factors(key: tuple, table: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, int]] = []
-        seen: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-        for row in range(table.num_rows):
-            offs, held, ids, ks, starts = (table.column(n)[row].as_py() for n in ("offs", "pieces", "ids", "ks", "starts"))
-            held = held if held and held[0] is not None else None
-            if held is None:
-                out += [(k, i, a, a + n) for k, i, a, n in zip(ks, ids, starts, offs, strict=True)]
-            else:
-                for off, piece, ident, k, a in zip(offs, held, ids, ks, starts, strict=True):
-                    seen.setdefault((off, piece), []).append((ident, k, a))
-        by_core: dict[bytes, list[tuple[int, bytes]]] = {}
-        for (off, piece), found in seen.items():
-            low = min(found)[0]
-            out += [(k, ident, a, a + len(piece)) for ident, k, a in found if ident > low]
-            if off >= 0:
-                by_core.setdefault(piece[off : off + PIECE], []).append((off, piece))
-        batch: list[tuple[int, bytes]] = []
-
-        def sort() -> None:
-            lows = [min(seen[x])[0] for x in batch]
-            for x, low, lpf in zip(batch, lows, longest_previous_factor([p for _, p in batch], lows, span), strict=True):
-                hits = np.flatnonzero(lpf >= span)
-                if len(hits):
-                    cut = np.flatnonzero(np.diff(hits) > span)
-                    for i, j in zip(hits[np.concatenate(([0], cut + 1))].tolist(), hits[np.concatenate((cut, [len(hits) - 1]))].tolist(), strict=True):
-                        out.extend((k, ident, a + i, a + j + span) for ident, k, a in seen[x] if ident == low)
-
-        held = 0
-        for group in by_core.values():
-            if len(group) > 1:
-                batch += group
-                held += sum(len(p) - span + 1 for _, p in group)
-                if held > 200_000:  # what one sort holds
-                    sort()
-                    batch.clear()
-                    held = 0
-        if batch:
-            sort()
-        whole: dict[tuple[int, int], list] = {}
-        for k, ident, a, b in out:
-            whole.setdefault((k, ident), []).append((a, b))
-        flat = [(k, ident, a, b) for (k, ident), x in whole.items() for a, b in _merged(x)]
-        return pa.table({n: pa.array([x[i] for x in flat], pa.int64()) for i, n in enumerate(("k", "first_id", "from", "to"))})
-
-    at = flagged.groupBy("k").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    cut = texts.join(at, "k").select("k", "first_id", "text", "at").mapInArrow(pieces, "b int, offs array<int>, pieces array<binary>, ids array<long>, ks array<long>, starts array<long>")
-    return cut.groupBy("b").applyInArrow(factors, "k long, first_id long, from long, to long")
+        kinds = ("u1", "u1", "<i8", "<i8", "<u4", _KEY, "<u4", "u1")
+        windows, counts, low, top, times, keys, at, kind = (np.concatenate([np.frombuffer(x, k) for x in table.column(n).to_pylist()]) for n, k in zip(names[1:], kinds, strict=True))
+        windows, counts = windows.reshape(-1, wide), counts.astype(np.int64)
+        order, head = _fold(windows, counts, low)
+        least, most = low[order][head], np.maximum.reduceat(top[order], head)
+        folded = np.empty(len(order), np.int64)
+        folded[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+        content, runs = windows[order[head]], counts[order[head]]
+        two = np.flatnonzero(most > least)
+        again = np.full(len(head), -1)
+        again[two] = len(head) + np.arange(len(two))
+        rows, owners = np.concatenate((np.arange(len(head)), two)), np.concatenate((least, most[two]))
+        hits = longest_previous_factor(content[rows], runs[rows], owners, span) >= span
+        row = np.repeat(np.arange(len(rows)), runs[rows])[hits]
+        place = (np.arange(len(hits)) - np.repeat(np.cumsum(runs[rows]) - runs[rows], runs[rows]))[hits]
+        low_at, high_at = np.full(len(rows), wide), np.full(len(rows), -1)  # runs of a window are fewer than span apart, so hits join up
+        np.minimum.at(low_at, row, place)
+        np.maximum.at(high_at, row, place)
+        window = np.repeat(np.arange(len(order)), times)
+        first = (kind == 0) & (low[window] == least[folded[window]])
+        entry = np.where(first, folded[window], again[folded[window]])
+        found = np.flatnonzero(high_at[entry] >= 0)
+        later, entry = kind[found] == 3, entry[found]
+        a, b = at[found] + low_at[entry], at[found] + high_at[entry] + span
+        halves = keys[found].copy().view("<u8").reshape(-1, 2)
+        by = np.lexsort((a, later, halves[:, 1], halves[:, 0]))
+        keys, later, a, b = keys[found][by], later[by], a[by], b[by]
+        group = np.zeros(len(by), np.int64)
+        if len(by):
+            group[_heads(halves[by][:, 0], halves[by][:, 1], later)[1:]] = 1
+        group = np.cumsum(group)
+        reach = np.maximum.accumulate(b + (group << 40)) - (group << 40)
+        new = np.ones(len(by), bool)
+        new[1:] = (group[1:] != group[:-1]) | (a[1:] > reach[:-1])
+        heads = np.flatnonzero(new)
+        ends = reach[np.append(heads[1:] - 1, len(by) - 1)] if len(by) else reach
+        return pa.table({"key": _binary(keys[heads]), "later": later[heads], "from": a[heads], "to": ends})
+
+    at = flagged.groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    cut = texts.join(at, "key").select("key", "first_id", "last_id", "text", "at").mapInArrow(pieces, schema)
+    return cut.groupBy("b").applyInArrow(factors, "key binary, later boolean, from long, to long")
+
+
+def _mixed(windows: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes."""
+    words = np.ascontiguousarray(windows).view("<u8")
+    h = np.full(len(words), 0x165667B19E3779F9, np.uint64)
+    for k in range(words.shape[1]):
+        h = (h ^ words[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def _removed(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
+    """(text left, bytes removed, spans, SHA-256 of the bytes left)."""
+    kept, at, gone = [], 0, _merged(spans)
+    for a, b in gone:
+        kept.append(raw[at:a])
+        at = b
+    kept.append(raw[at:])
+    left = b"".join(kept)
+    return left.decode("utf-8", "ignore"), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest()
 
 
 def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, most_hot: int = 2_000_000, hot: int = 100_000) -> DataFrame:
@@ -329,52 +402,46 @@ def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text
     the text but counted in ``kept_sha256``, which is over the remaining bytes. A column of the input with the name of an
     added one is replaced. No rows give no rows.
 
-    Equal texts are taken once. Their table is bucketed by its key, so that text is shuffled once only. An
+    Equal texts are taken once, by 128 bits of their SHA-256, and stored bucketed by it in the shared folder, so that cutting needs no shuffle of texts. An
     anchor in very many texts reaches a task once per batch of texts; if it is in over ``hot`` texts (or over the share
-    that keeps their list under ``most_hot`` entries), its surroundings are dealt by content, run by run.
+    that keeps their list under ``most_hot`` entries), its runs are dealt one by one by their content, and sorted all the same.
     """
     require(docs, id_col, text_col)
+    if not PIECE <= span <= PIECE + 200:
+        raise ValueError(f"span must be from {PIECE} to {PIECE + 200} bytes")
     spark = docs.sparkSession
     text = text_or_empty(text_col)
     added = {"n_bytes", "n_removed", "n_spans", "kept_sha256"}
     rest = [c for c in docs.columns if c != text_col and c not in added]
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    keys = [F.xxhash64(text).alias("k"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")]
+    key = F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
     name = f"repeats_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = docs.select(*keys, ident.alias("first_id"), text.alias("text")).groupBy("k", "digest").agg(F.min("first_id").alias("first_id"), F.first("text").alias("text"))
-    distinct.repartition(parts, "k").write.bucketBy(parts, "k").sortBy("k").option("compression", "zstd").saveAsTable(name)
+    distinct = docs.select(key.alias("key"), ident.alias("id"), text.alias("text")).groupBy("key").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.first("text").alias("text"))
+    distinct.write.bucketBy(parts, "key").sortBy("key").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, math.ceil(total / bucket_bytes))
     hot = max(hot, total // 16 // most_hot)
     flagged = stored(_shared_anchors(texts, span, buckets, hot), "anchors")
-    often = frozenset(r.k % (1 << 64) for r in flagged.where("pos = -1").select("k").collect())  # at most most_hot
-    spans = _spans(texts, flagged.where("pos >= 0"), span, buckets, often)
-    by_text = spans.groupBy("k").agg(F.collect_list(F.struct("first_id", "from", "to")).alias("spans"))
-
-    rows = docs.select(*[F.col(c) for c in rest], *[k.alias(f"__{n}") for k, n in zip(keys, ("k", "digest"), strict=True)], ident.alias("__id"))
-    held = texts.join(by_text, "k", "left").select(F.col("k").alias("__k"), F.col("digest").alias("__same"), F.col("first_id").alias("__first"), F.col("text").alias("__text"), F.col("spans").alias("__spans"))
-    both = rows.join(held, "__k").where(~(F.col("__digest") != F.col("__same"))).select(*rest, "__id", "__first", "__text", "__spans")
-    out_schema = both.select(*rest, F.lit("").alias(text_col), F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.lit("").alias("kept_sha256")).schema
+    often = np.array([r.pos for r in flagged.where("key is null").select("pos").collect()], np.int64)  # at most most_hot
+    spans = _spans(texts, flagged.where("key is not null"), span, buckets, often)
+    by_text = spans.groupBy("key").agg(F.collect_list(F.struct("later", "from", "to")).alias("spans"))
 
     def apply(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            new: list[tuple] = []
-            for ident, first, raw, spans in zip(part.column("__id").to_pylist(), part.column("__first").to_pylist(), part.column("__text").cast(pa.binary()).to_pylist(), part.column("__spans").to_pylist(), strict=True):
-                if ident != first:  # an equal text has a smaller id
-                    gone = [[0, len(raw)]] if len(raw) >= span else []
-                else:
-                    gone = _merged([(s["from"], s["to"]) for s in spans or () if s["first_id"] == first])
-                kept, at = [], 0
-                for a, b in gone:
-                    kept.append(raw[at:a])
-                    at = b
-                kept.append(raw[at:])
-                bytes_ = b"".join(kept)
-                new.append((bytes_.decode("utf-8", "ignore"), len(raw), len(raw) - len(bytes_), len(gone), hashlib.sha256(bytes_).hexdigest()))
-            cols = list(zip(*new, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([part.column(c) for c in rest] + [pa.array(v, t) for v, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], [*rest, text_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return both.mapInArrow(apply, out_schema)
+        names = ["key", "first_id", "n_bytes", *[f"{x}{k}" for k in (1, 2) for x in ("text", "removed", "spans", "sha")]]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string())
+        for part in (some for whole in parts for some in byte_slices(whole, "text")):
+            out = []
+            for first, last, raw, found in zip(*(part.column(n).to_pylist() for n in ("first_id", "last_id")), part.column("text").cast(pa.binary()).to_pylist(), part.column("spans").to_pylist(), strict=True):
+                both = [_removed(raw, [(s["from"], s["to"]) for s in found or () if s["later"] == later]) if not later or last > first else (None,) * 4 for later in (False, True)]
+                out.append((len(raw), *both[0], *both[1]))
+            cols = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([part.column("key"), part.column("first_id"), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), *kinds, *kinds), strict=True)]], names)
+
+    done = texts.join(by_text, "key", "left").select("key", "first_id", "last_id", "text", "spans").mapInArrow(apply, "key binary, first_id long, n_bytes long, " + ", ".join(f"text{k} string, removed{k} long, spans{k} long, sha{k} string" for k in (1, 2)))
+    done = done.select(*[F.col(c).alias(f"__{c}") for c in done.columns])
+    rows = docs.select(*[F.col(c) for c in rest], key.alias("__key"), ident.alias("__id")).join(done, "__key")
+    of = lambda name: F.when(F.col("__id") == F.col("__first_id"), F.col(f"__{name}1")).otherwise(F.col(f"__{name}2"))
+    return rows.select(*rest, of("text").alias(text_col), F.col("__n_bytes").alias("n_bytes"), of("removed").alias("n_removed"), of("spans").alias("n_spans"), of("sha").alias("kept_sha256"))

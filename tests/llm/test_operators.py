@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -339,13 +340,30 @@ def test_crowded_passages_and_borders(spark, hot):
     passage, other = noise(300), noise(120)
     rows = [(i, noise(rng.randint(0, 80)) + passage[rng.randint(0, 40) : 300 - rng.randint(0, 40)] + noise(rng.randint(0, 80)) + (other if i % 3 == 0 else "")) for i in range(60)]
     rows += [(i, t) for i, t in rows[:10]] + [(100 + i, "ab" * 200) for i in range(4)] + [(200, "x" * 49), (201, "x" * 49), (202, "x" * 50), (203, "yx" + "x" * 50)]
+    rows += [(-1, noise(200)), (-1, noise(70) + passage), (300, passage[:90] * 40)]
     df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
     assert removal(df, hot=hot) == plain_removal([(i, t.encode()) for i, t in rows], 50)
 
 
-def test_longest_previous_factor():
-    got = repeated_passages.longest_previous_factor([b"abcdefgh", b"xxabcdefyy", b"abcde"], [3, 1, 2], 5)
-    assert [g.tolist() for g in got] == [[5, 5, 0, 0], [0] * 6, [5]]
+@pytest.mark.parametrize("most", [2, 100])
+def test_longest_previous_factor(most):
+    rng = np.random.RandomState(3)
+    rows, counts, owners = rng.randint(97, 99, (40, 16)).astype(np.uint8), rng.randint(0, 8, 40), rng.randint(0, 9, 40)
+    got = repeated_passages.longest_previous_factor(rows, counts, owners, 9, most).tolist()
+    runs = [(r[p : p + 9].tobytes(), o) for r, n, o in zip(rows, counts, owners, strict=True) for p in range(n)]
+    assert got == [9 if any(x == y and p < o for y, p in runs) else 0 for x, o in runs]
+
+
+def test_the_arrays_decide(spark, docs, monkeypatch):
+    rows = docs.select("doc_id", "text").union(docs.select(F.col("doc_id") + 100_000, "text").limit(50))
+    found = lambda: sum(r[2] for r in removal(rows))
+    assert found() > 0
+    cloudpickle.register_pickle_by_value(repeated_passages)
+    try:
+        monkeypatch.setattr(repeated_passages, "longest_previous_factor", lambda windows, counts, owners, width: np.zeros(int(counts.sum()), np.int64))
+        assert found() == 0  # without the arrays nothing goes, neither copies nor passages
+    finally:
+        cloudpickle.unregister_pickle_by_value(repeated_passages)
 
 
 # ---- decontamination ------------------------------------------------------------------------------------
