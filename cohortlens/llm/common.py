@@ -58,17 +58,17 @@ def text_or_empty(column: str | Column = "text") -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, most_chars: int, text_col: str, label_col: str, id_col: str) -> tuple[list[tuple[str, int]], dict[int, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, most_rows: int, text_col: str, label_col: str, id_col: str) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """((text, label) of at most ``most_rows`` labelled documents, half of each label by a hash of the id; how many ids each label has).
 
-    The ids are chosen first; at most ``most_rows`` of them are broadcast, so no text is shuffled. Texts above ``most_chars`` are left out.
+    The ids are chosen first; at most ``most_rows`` of them are broadcast, so no text is shuffled. Texts are whole. A null label or id counts as no label.
     """
     require(labels, id_col, label_col)
     held = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("int")).alias("__label"))
     seen = {r["__label"]: r["count"] for r in held.groupBy("__label").count().collect()}  # two rows
     order = [F.xxhash64("__id"), F.col("__id")]
     ids = held.where("__label = 0").orderBy(*order).limit(most_rows // 2).union(held.where("__label = 1").orderBy(*order).limit(most_rows // 2))
-    texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text")).where(F.length("__text") <= most_chars)
-    found = texts.join(F.broadcast(ids), "__id").collect()  # at most most_rows texts of most_chars
+    texts = docs.select(F.col(id_col).alias("__id"), text_or_empty(text_col).alias("__text"))
+    found = texts.join(F.broadcast(ids), "__id").distinct().collect()  # at most most_rows texts, but for repeated ids
     rows = sorted({(r["__id"], r["__text"], r["__label"]) for r in found}, key=lambda r: (r[0], r[1]))
     return [(text, label) for _, text, label in rows], seen

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.llm.common import labelled_sample, require, text_or_empty
+from cohortlens.llm.common import byte_slices, labelled_sample, require, text_or_empty
 
 #: Marks that count as symbols, and words that announce notices rather than content.
 SYMBOLS = b"#*$%&|<>"
@@ -162,18 +162,20 @@ def parsed(text: bytes) -> tuple[list[list[int]], list[int], int]:
     return features, sizes, again
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, most_lines: int = 60, most_chars: int = 50_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
-    """Trains on at most ``most_rows`` labelled documents of at most ``most_chars`` characters, half of each label, chosen by a hash of the id, and at most ``most_lines`` lines of each.
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 2000, stretch: int = 60, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Crf:
+    """Trains on at most ``most_rows`` labelled documents, half of each label, chosen by a hash of the id, with all their lines; a document of many lines is learned in stretches of ``stretch`` lines.
 
-    There are no line labels: a line has its document's, but a repeated line or one with a notice word is boilerplate. The bounds
-    hold for training alone. Without rows every line is content.
+    There are no line labels: a line has its document's, but a repeated line or one with a notice word is boilerplate. The bound
+    on rows holds for training alone. Without rows every line is content.
     """
     require(docs, id_col, text_col)
     bad = {_PLACE["repeated line"], _PLACE["notice"]}
     documents = []
-    for text, label in labelled_sample(docs, labels, most_rows, most_chars, text_col, label_col, id_col)[0]:
-        lines = parsed(text.encode())[0][:most_lines]
-        documents.append((lines, [label and int(bad.isdisjoint(f)) for f in lines]))
+    for text, label in labelled_sample(docs, labels, most_rows, text_col, label_col, id_col)[0]:
+        lines = parsed(text.encode())[0]
+        for at in range(0, len(lines), stretch):
+            some = lines[at : at + stretch]
+            documents.append((some, [label and int(bad.isdisjoint(f)) for f in some]))
     return train_crf(documents)
 
 
@@ -192,7 +194,7 @@ def judge(docs: DataFrame, crf: Crf, content_share: float = 0.5, id_col: str = "
 
     def counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in parts:
+        for part in (some for whole in parts for some in byte_slices(whole, "text")):
             out = []
             for text in part.column("text").cast(pa.binary()).to_pylist():
                 words = text.split()

@@ -94,7 +94,7 @@ class Model:
     known: dict[str, float] = field(default_factory=dict)
 
     def word_scores(self, words: set[str]) -> dict[str, float]:
-        if len(self.known) > 200_000:
+        if len(self.known) > 100_000:
             self.known.clear()
         new = [w for w in words if w not in self.known]
         for at in range(0, len(new), 4_000):
@@ -236,14 +236,13 @@ def train(rows: list[tuple[str, int]], landmarks: int = 160, decay: float = 0.6,
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, most_chars: int = 20_000, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
-    """Trains on at most ``most_rows`` labelled documents of at most ``most_chars`` characters, half of each label if there are so many.
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 2400, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
+    """Trains on at most ``most_rows`` labelled documents (``most_rows`` bounds the sample; texts are whole), half of each label if there are so many.
 
-    They are chosen by a hash of the id from ``labels`` alone, and their ids go to the documents, whose texts aren't shuffled. Both bounds keep what
-    the driver holds fixed. Null labels and repeated ids count once or not at all; the calibration undoes the change of shares.
+    They are chosen by a hash of the id from ``labels`` alone, and their ids go to the documents, whose texts aren't shuffled. Null labels and repeated ids count once or not at all; the calibration undoes the change of shares.
     """
     require(docs, text_col, id_col)
-    taken, seen = labelled_sample(docs, labels, most_rows, most_chars, text_col, label_col, id_col)
+    taken, seen = labelled_sample(docs, labels, most_rows, text_col, label_col, id_col)
     model = train(taken)
     kept = Counter(label for _, label in taken)
     if len(kept) == 2:
@@ -265,8 +264,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, text_col: str =
         import pandas as pd
 
         values, out = texts.tolist(), []
-        for at in range(0, len(values), 512):
-            out += shared.value.scores(values[at : at + 512])
+        held = done = 0
+        for k, text in enumerate(values):
+            held += len(text)
+            if held > 2_000_000 or k == len(values) - 1:  # by size, so that long texts don't meet
+                out += shared.value.scores(values[done : k + 1])
+                held, done = 0, k + 1
         return pd.Series(out, dtype="float64")
 
     return docs.withColumn("score", scored(text_or_empty(text_col))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
