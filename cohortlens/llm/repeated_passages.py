@@ -136,15 +136,15 @@ def longest_previous_factor(windows: np.ndarray, counts: np.ndarray, owners: np.
     Previous and next smaller owners in suffix order give the two candidates; the longer counts. Suffixes are sorted by their first eight bytes, and
     then about ``most`` at a time, never apart from those they share eight bytes with.
     """
-    row = np.repeat(np.arange(len(counts)), counts)
-    place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-    out = np.zeros(len(row), np.int64)
+    row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
+    out = np.zeros(len(row), np.int16)
     if not len(row):
         return out
     flat = np.ascontiguousarray(windows).reshape(-1)
-    views = np.lib.stride_tricks.sliding_window_view(flat, width)
-    at = row * windows.shape[1] + place
-    lead = np.lib.stride_tricks.sliding_window_view(flat, 8)[at].copy().view(">u8")[:, 0].astype(np.uint64)
+    views, eights = (np.lib.stride_tricks.sliding_window_view(flat, n) for n in (width, 8))
+    at = lambda some: row[some].astype(np.int64) * windows.shape[1] + place[some]
+    lead = np.concatenate([np.ascontiguousarray(eights[at(slice(k, k + most))]).view(">u8")[:, 0].astype(np.uint64) for k in range(0, len(row), most)])
     order = np.argsort(lead, kind="stable")
     edges = np.append(np.flatnonzero(np.diff(lead[order])) + 1, len(order))  # where a part may end
     done = 0
@@ -152,7 +152,7 @@ def longest_previous_factor(windows: np.ndarray, counts: np.ndarray, owners: np.
         end = int(edges[min(len(edges) - 1, np.searchsorted(edges, done + most))])
         some = order[done:end]
         owner = owners[row[some]]
-        inner, lcp = suffix_order(views[at[some]], owner)
+        inner, lcp = suffix_order(views[at(some)], owner)
         ranked = owner[inner]
         before = _nearest_smaller(ranked, lcp, width)
         after = _nearest_smaller(ranked[::-1], np.concatenate(([0], lcp[1:][::-1])), width)[::-1]
@@ -393,7 +393,7 @@ def _removed(raw: bytes, spans: list[tuple[int, int]]) -> tuple:
     return left.decode("utf-8", "ignore"), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest()
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 8 << 20, most_hot: int = 2_000_000, hot: int = 100_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 4 << 20, most_hot: int = 2_000_000, hot: int = 100_000) -> DataFrame:
     """The rows of ``docs`` with their text after removal, and n_bytes, n_removed, n_spans, kept_sha256.
 
     Removed is each byte of the UTF-8 text covered by a string of ``span`` bytes that also starts in a row of smaller id;
