@@ -7,6 +7,7 @@ those. A null text stays null.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,29 +102,59 @@ def _pieces(side: Column) -> Column:
     return F.split(strip(side), " ", -1)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is worked out once however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _last(pieces: Column, size: int) -> Column:
+    return F.slice(pieces, F.greatest(F.size(pieces) - size + 1, F.lit(1)), F.lit(size))
+
+
+def _whole_window(text: Column, start: Column, end: Column, size: int) -> Column:
+    """The words round a hit, looked up in the whole text."""
+    n = F.length(text)
+    a = start - F.length(F.substring_index(F.substring(text, F.lit(1), start), " ", -1))
+    rest = F.substring(text, end + 1, n)
+    gap = F.when(F.locate(" ", rest) > 0, F.locate(" ", rest) - 1).otherwise(n)
+    b = F.greatest(end, F.least(end + gap, n - 1))
+    left, right = _pieces(F.substring(text, F.lit(1), a)), _pieces(F.substring(text, b + 1, n))
+    return F.array_join(F.concat(_last(left, size), _pieces(F.substring(text, a + 1, b - a)), F.slice(right, 1, size)), " ")
+
+
+def _near_window(left: Column, right: Column, length: Column, start: Column, size: int) -> Column:
+    """The same from the characters before a hit, and from those of the hit and after it; null if they don't reach far enough."""
+    first, last = start <= _NEAR, F.length(right) < length + _NEAR  # the text's own ends are there
+    word = F.length(F.substring_index(left, " ", -1))
+    after = F.locate(" ", F.substring(right, length + 1, F.lit(_NEAR)))
+    until = F.when(after > 0, length + after - 1).otherwise(F.length(right))
+    until = F.when(last, F.greatest(length, F.least(until, F.length(right) - 1))).otherwise(until)
+
+    def cut(x: Column) -> Column:
+        before, behind = _pieces(F.substring(left, F.lit(1), F.length(left) - x["word"])), _pieces(F.substring(right, x["until"] + 1, F.lit(_NEAR)))
+        middle = F.concat(F.substring(left, F.length(left) - x["word"] + 1, x["word"]), F.substring(right, F.lit(1), x["until"]))
+
+        def joined(y: Column) -> Column:
+            enough = (first | ((x["word"] < F.length(left)) & (F.size(y["before"]) > size))) & (last | (x["found"] & (F.size(y["behind"]) > size)))
+            return F.when(enough, F.array_join(F.concat(_last(y["before"], size), _pieces(middle), F.slice(y["behind"], 1, size)), " "))
+
+        return _let(F.struct(before.alias("before"), behind.alias("behind")), joined)
+
+    return _let(F.struct(word.alias("word"), until.alias("until"), (after > 0).alias("found")), cut)
+
+
 def context_window(text: Column, start: Column, end: Column, size: int = 10, clean: bool = True, operators: bool = False) -> Column:
     """The words round text[start:end], ``size`` on either side; offsets count from 0.
 
     Only the ASCII space parts words, so several in a row make empty words that count. The span grows to the spaces round it;
     to the right it stops before the text's last character, which without a space counts as a word of its own.
-    Most windows are cut from the characters nearby, and only those that don't fit look at the whole text.
+    Most windows are cut from two stretches of characters nearby, and only those that don't fit look at the whole text.
     """
     if size < 1:
         raise ValueError("the window holds at least one word")
-    near = F.substring(text, F.greatest(start - _NEAR + 1, F.lit(1)), F.least(start, F.lit(_NEAR)))
-    before = F.when(F.instr(near, " ") > 0, F.length(F.substring_index(near, " ", -1))).otherwise(F.length(F.substring_index(F.substring(text, F.lit(1), start), " ", -1)))
-    a = start - before
-    n = F.length(text)
-    space = F.locate(" ", F.substring(text, end + 1, F.lit(_NEAR)))
-    rest = F.substring(text, end + 1, n)
-    gap = F.when(space > 0, space - 1).when(F.locate(" ", rest) > 0, F.locate(" ", rest) - 1).otherwise(n)
-    b = F.greatest(end, F.least(end + gap, n - 1))
-    left_near, right_near = _pieces(F.substring(text, F.greatest(a - _NEAR + 1, F.lit(1)), F.least(a, F.lit(_NEAR)))), _pieces(F.substring(text, b + 1, F.lit(_NEAR)))
-    left, right = _pieces(F.substring(text, F.lit(1), a)), _pieces(F.substring(text, b + 1, n))
-    last = lambda p: F.slice(p, F.greatest(F.size(p) - size + 1, F.lit(1)), F.lit(size))
-    left = F.when(F.size(left_near) > size, last(left_near)).otherwise(last(left))
-    right = F.when(F.size(right_near) > size, F.slice(right_near, 1, size)).otherwise(F.slice(right, 1, size))
-    out = F.array_join(F.concat(left, _pieces(F.substring(text, a + 1, b - a)), right), " ")
+    left, right = F.substring(text, F.greatest(start - _NEAR + 1, F.lit(1)), F.least(start, F.lit(_NEAR))), F.substring(text, start + 1, end - start + _NEAR)
+    near = _let(F.struct(left.alias("left"), right.alias("right")), lambda x: _near_window(x["left"], x["right"], end - start, start, size))
+    out = F.coalesce(near, _whole_window(text, start, end, size))
     if clean:
         out = normalize_text(clean_text(out))
     return strip_operators(out) if operators else out

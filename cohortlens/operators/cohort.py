@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.functions.text import title_case
 from cohortlens.operators.guards import none_left, require_columns
-from cohortlens.operators.search import rewindow, with_negation
+from cohortlens.operators.search import remove_keywords, rewindow, with_negation
 from cohortlens.operators.tokens import PhraseLearner, learned_on_train, token_views
 
 # The group of each of the hospital's race codes. Others stay as they are.
@@ -96,12 +97,12 @@ def cohort_metadata(admitted: DataFrame, people: DataFrame, codes: DataFrame) ->
 
 def service_timeline(services: DataFrame, keys: tuple[str, ...] = ("subject_id", "hadm_id"), ts: str = "transfertime") -> DataFrame:
     """Each service with its start and the start of the next, null for the last of an encounter."""
-    order = Window.partitionBy(*keys).orderBy(ts)
+    order = Window.partitionBy(*keys).orderBy(ts, "curr_service")  # equal times go by name
     return services.select(*keys, F.col(ts).alias("start"), F.lead(ts).over(order).alias("end"), "curr_service")
 
 
-def number_lone_transfers(transfers: DataFrame, order: tuple[str, ...] = ("intime",)) -> DataFrame:
-    """Transfers without an encounter get -1, -2, ... within their patient, by time."""
+def number_lone_transfers(transfers: DataFrame, order: tuple[str, ...] = ("intime", "outtime", "eventtype", "careunit")) -> DataFrame:
+    """Transfers without an encounter get -1, -2, ... within their patient, by time; equal times by their other columns."""
     lone = F.col("hadm_id").isNull()
     ordinal = F.row_number().over(Window.partitionBy("subject_id", lone).orderBy(*order))
     return transfers.withColumn("hadm_id", F.coalesce("hadm_id", -ordinal.cast("long")))
@@ -118,7 +119,7 @@ def service_and_unit(services: DataFrame, transfers: DataFrame, strict: bool = T
 
     The last stay must be a discharge; with ``strict`` another one raises ValueError, else the unit is null.
     """
-    last = services.groupBy("subject_id", "hadm_id").agg(F.max_by("curr_service", "transfertime").alias("service"))
+    last = services.groupBy("subject_id", "hadm_id").agg(F.max_by("curr_service", F.struct("transfertime", "curr_service")).alias("service"))
     stays = F.col("stays")
     n = F.size(stays)
     ended = transfer_timeline(transfers).select("subject_id", "hadm_id", F.get(stays, n - 1)["eventtype"].alias("final"), F.get(stays, n - 2)["careunit"].alias("unit"))
@@ -179,8 +180,9 @@ def prepare_model_data(annotations: DataFrame, metadata: DataFrame, id_col: str,
         learners[col] = PhraseLearner(phrase_passes, min_count, threshold)
         out = learned_on_train(out, learners[col], id_col, col)
     if remove:
-        gone = F.col("keyword").isin(remove) | F.col("keyword_negated").isin(remove)
-        out = out.where(~gone)
+        out, unknown = remove_keywords(out, remove)
+        if unknown:
+            warnings.warn(f"keywords to remove that no row has: {unknown}", stacklevel=2)
     return out, {"context": context, "phrase_passes": phrase_passes, "min_count": min_count, "threshold": threshold, "removed": list(remove or ()), "learners": learners}
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -120,14 +121,14 @@ def t_two_sided(t: Column, df: int) -> Column:
 def paired_t_tests(scores: DataFrame, folds: int, by: Sequence[str] = ("split", "metric", "keyword_category"), name: str = "identifier") -> DataFrame:
     """(by..., a, b, p_value) of paired t-tests over folds for all pairs of models; 1 on the diagonal and where folds never differ.
 
-    Models are few; what is joined are their scores per fold.
+    Degrees of freedom come from the folds that both models have (``folds`` at most); with one fold there is no value. Models are few; what is joined are their scores per fold.
     """
     a = scores.select(*by, "fold", F.col(name).alias("a"), F.col("score").alias("x"))
     b = scores.select(*by, "fold", F.col(name).alias("b"), F.col("score").alias("y"))
     d = F.col("x") - F.col("y")
     s = a.join(b, [*by, "fold"]).groupBy(*by, "a", "b").agg(F.avg(d).alias("m"), F.stddev_samp(d).alias("s"), F.count("*").alias("n"))
     t = F.try_divide(F.col("m") * F.sqrt("n"), F.col("s"))
-    p = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("s") == 0, F.when(F.col("m") == 0, 1.0).otherwise(0.0)).otherwise(t_two_sided(t, folds - 1))
+    p = F.when(F.col("a") == F.col("b"), 1.0).when(F.col("n") < 2, F.lit(None).cast("double")).when(F.col("s") == 0, F.when(F.col("m") == 0, 1.0).otherwise(0.0)).otherwise(reduce(lambda x, n: x.when(F.col("n") == n, t_two_sided(t, n - 1)), range(3, folds + 1), F.when(F.col("n") == 2, t_two_sided(t, 1))))
     return s.select(*by, "a", "b", p.alias("p_value"))
 
 

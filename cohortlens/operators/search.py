@@ -7,39 +7,56 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.text import clean_text, context_window, negated_keyword, normalize_text
+from cohortlens.functions.text import _let, clean_text, context_window, negated_keyword, normalize_text
 from cohortlens.operators.guards import require_columns
 from cohortlens.operators.lexicon import CLINICAL, Lexicon, check, lexicon_df, pattern
 
 HIT = "array<struct<keyword_category:string,start:int,end:int,keyword:string>>"
 
 
-def _next_hit(category: str) -> Callable[[Column, Column], Column]:
-    """The step of the running sum: the place after a gap and its hit, and the hits so far."""
+#: Hits whose offsets are summed up together; an array grows by copying, so it is kept short.
+_BLOCK = 64
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        hit = F.struct(F.lit(category).alias("keyword_category"), start.alias("start"), end.alias("end"), F.lower(x["hit"]).alias("keyword"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
 
-    return step
+def _running(values: Column) -> Column:
+    """The sums of the numbers before each one of an array."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(values, zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
+
+
+def _category_spans(text: Column, category: str, keywords: list[str]) -> Column:
+    """The hits of one category; see :func:`spans`."""
+    hits = F.regexp_extract_all(text, F.lit(pattern(keywords)), F.lit(0))
+    pairs = F.zip_with(F.slice(F.split(text, pattern(keywords), -1), 1, F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"), F.lower(hit).alias("keyword")))
+    width = lambda block: F.transform(block, lambda x: x["gap"] + x["hit"])
+
+    def placed(block: Column, base: Column) -> Column:
+        def hit(x: Column, before: Column) -> Column:
+            start = base + before + x["gap"]
+            return F.struct(F.lit(category).alias("keyword_category"), start.alias("start"), (start + x["hit"]).alias("end"), x["keyword"].alias("keyword"))
+
+        return F.zip_with(block, _running(width(block)), hit)
+
+    def in_blocks(pairs: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(_BLOCK)), lambda k: F.slice(pairs, k, F.lit(_BLOCK)))
+
+    def over_blocks(blocks: Column) -> Column:
+        return F.flatten(F.zip_with(blocks, _running(F.transform(blocks, lambda x: _sum(width(x)))), placed))
+
+    return _let(pairs, lambda x: _let(in_blocks(x), over_blocks))
 
 
 def spans(text: Column, lexicon: Lexicon) -> Column:
     """All leftmost hits of each category, found independently; offsets in characters from 0; null texts have none.
 
-    Texts between hits and hits alternate, so one running sum over their lengths gives the offsets.
+    Texts between hits and hits alternate, so a running sum over their lengths gives the offsets: inside blocks of hits, and over the blocks.
     """
-    found = []
-    for category, keywords in check(lexicon).items():
-        p = F.lit(pattern(keywords))
-        hits = F.regexp_extract_all(text, p, F.lit(0))
-        gaps = F.slice(F.split(text, pattern(keywords), -1), 1, F.size(hits))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(HIT).alias("out"))
-        found.append(F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), zero, _next_hit(category), lambda acc: acc["out"]))
-    empty = F.array().cast(HIT)
-    return F.coalesce(F.concat(*found), empty) if found else empty
+    found = [F.coalesce(_category_spans(text, category, keywords), F.array().cast(HIT)) for category, keywords in check(lexicon).items()]
+    return F.concat(*found) if found else F.array().cast(HIT)
 
 
 def find_hits(df: DataFrame, lexicon: Lexicon = CLINICAL, text_col: str = "text") -> DataFrame:
@@ -82,6 +99,16 @@ def coverage(df: DataFrame, lexicon: Lexicon = CLINICAL, text_col: str = "text")
     return df.agg(F.count("*").alias("n_documents"), F.coalesce(F.sum(any_hit), F.lit(0)).alias("n_matched"))
 
 
+def keyword_counts(df: DataFrame, lexicon: Lexicon = CLINICAL, text_col: str = "text") -> DataFrame:
+    """Hits per category and keyword of all texts, most first within a category, found without their offsets."""
+    def named(category: str) -> Callable[[Column], Column]:
+        return lambda x: F.struct(F.lit(category).alias("keyword_category"), F.lower(x).alias("keyword"))
+
+    each = [F.coalesce(F.transform(F.regexp_extract_all(F.col(text_col), F.lit(pattern(words)), F.lit(0)), named(c)), F.array().cast("array<struct<keyword_category:string,keyword:string>>")) for c, words in check(lexicon).items()]
+    hit = df.select(F.explode(F.concat(*each)).alias("hit")).select("hit.*")
+    return match_counts(hit)
+
+
 def match_counts(hits: DataFrame) -> DataFrame:
     """Hits per category and keyword, most first within a category."""
     return hits.groupBy("keyword_category", "keyword").agg(F.count("*").alias("n")).orderBy("keyword_category", F.desc("n"), "keyword")

@@ -59,8 +59,7 @@ def no_leak(df: DataFrame, group_col: str, split_col: str = "split") -> DataFram
 
 def k_folds(df: DataFrame, k: int, by: Sequence[str] = (), key: str = "id", seed: int = 42, draw: Column | None = None) -> DataFrame:
     """``df`` with fold from 0 to k - 1, of sizes at most one apart within each value of ``by``."""
-    order = [drawn(key, seed) if draw is None else draw, F.col(key)]
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) % k).cast("int"))
+    return numbered(df, drawn(key, seed) if draw is None else draw, key, by).withColumn("fold", ((F.col("__at") - 1) % k).cast("int")).drop("__at")
 
 
 def grouped_folds(df: DataFrame, group_col: str, k: int = 5, seed: int = 42, draw: Column | None = None) -> DataFrame:
@@ -74,7 +73,7 @@ def resamples(df: DataFrame, key: str, iterations: int, share: float, seed: int
     n = df.count()
     many = df.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     order = drawn(F.concat_ws("|", F.col(key), F.col("iteration")), seed) if draw is None else draw
-    return many.withColumn("__at", F.row_number().over(Window.partitionBy("iteration").orderBy(order, key))).where(F.col("__at") <= int(n * share)).drop("__at")
+    return numbered(many, order, key, ["iteration"]).where(F.col("__at") <= int(n * share)).drop("__at")
 
 
 def learning_curve(df: DataFrame, key: str, label_col: str, percents: Sequence[float] | int, iterations: int = 3, seed: int = 42, draw: Column | None = None) -> DataFrame:
@@ -88,10 +87,10 @@ def learning_curve(df: DataFrame, key: str, label_col: str, percents: Sequence[f
     each = F.array(*[F.struct(F.lit(p).alias("percent"), F.lit(i).alias("iteration"), F.lit(s).alias("size")) for p, i, s in sets])
     many = df.withColumn("__set", F.explode(each)).select(*df.columns, "__set.*")
     order = drawn(F.concat_ws("|", F.col(key), F.col("percent"), F.col("iteration")), seed) if draw is None else draw
-    first = F.row_number().over(Window.partitionBy("percent", "iteration", label_col).orderBy(order, key)) > 1
-    many = many.withColumn("__later", first)
-    at = F.row_number().over(Window.partitionBy("percent", "iteration").orderBy("__later", order, key))
-    return many.withColumn("__at", at).where(F.col("__at") <= F.col("size")).drop("__at", "__later")
+    many = numbered(many, order, key, ["percent", "iteration", label_col]).withColumn("__later", F.col("__at") > 1).drop("__at")
+    placed = numbered(many, order, key, ["percent", "iteration", "__later"])
+    before = F.when(F.col("__later"), F.lit(classes)).otherwise(0)  # each class's first row comes before all others
+    return placed.where(F.col("__at") + before <= F.col("size")).drop("__at", "__later")
 
 
 def constrained_resample(df: DataFrame, key: str, label_col: str, test_share: float = 0.2, min_train: int = 1, min_test: int = 1, seed: int = 42, draw: Column | None = None, most_exact: int = 1_000_000) -> DataFrame:
