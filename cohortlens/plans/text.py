@@ -23,7 +23,7 @@ def anchor_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def match_stats(spark: SparkSession, d: str) -> DataFrame:
-    return se.match_counts(se.find_hits(_docs(spark, d).select("text"), DEMO))
+    return se.keyword_counts(_docs(spark, d), DEMO)
 
 
 def doc_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -117,20 +117,20 @@ def title_case(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", tx.title_case(F.concat_ws("-", "p_name", F.upper("p_type"))).alias("title"))
 
 
-def _english(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text")
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
 
 
 def _simple(spark: SparkSession, d: str) -> DataFrame:
-    return _english(spark, d).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
+    return _texts(spark, d).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
 
 
-_SIMPLE = "t as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as tokens from documents where lang = 'en')"
+_SIMPLE = "t as (select doc_id, regexp_extract_all(lower(text), '[a-z]+') as tokens from documents)"
 _FLAT = "f as (select doc_id, unnest(tokens) as token, generate_subscripts(tokens, 1) as pos from t)"
 
 
 def tokens(spark: SparkSession, d: str) -> DataFrame:
-    return _english(spark, d).select("doc_id", F.array_join(tk.tokenize(F.col("text"), numbers="replace", negation=False), " ").alias("tokens"))
+    return _texts(spark, d).select("doc_id", F.array_join(tk.tokenize(F.col("text"), numbers="replace", negation=False), " ").alias("tokens"))
 
 
 def negation_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +139,7 @@ def negation_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def removed_keyword(spark: SparkSession, d: str) -> DataFrame:
-    return _english(spark, d).select("doc_id", tx.remove_keyword(F.replace("text", F.lit(" of "), F.lit(" not of ")), F.lit("of")).alias("text"))
+    return _texts(spark, d).select("doc_id", tx.remove_keyword(F.replace("text", F.lit(" of "), F.lit(" not of ")), F.lit("of")).alias("text"))
 
 
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
@@ -273,9 +273,9 @@ SQL = {
     "strip_operators": r"select conv_id, turn, regexp_replace(regexp_replace(concat('-+= ', text), '^[-+*/=]+', ''), '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g') as text from conversations",
     "transliterate": f"select doc_id, {_ascii_sql('text')} as ascii from documents",
     "title_case": "select p_partkey, array_to_string(list_transform(regexp_extract_all(concat_ws('-', p_name, upper(p_type)), '[A-Za-z]+|[^A-Za-z]+'), lambda x: upper(x[1]) || lower(x[2:])), '') as title from part",
-    "tokens": r"select doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[-''’][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]'), lambda x: not regexp_full_match(x, '[!-/:-@\[-`{-~]*')), lambda x: case when regexp_matches(x, '[0-9]') then '<NUM>' else x end), ' ') as tokens from documents where lang = 'en'",
+    "tokens": r"select doc_id, array_to_string(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+(?:[-''’][\p{L}\p{N}_]+)*|[^\s\p{L}\p{N}_]'), lambda x: not regexp_full_match(x, '[!-/:-@\[-`{-~]*')), lambda x: case when regexp_matches(x, '[0-9]') then '<NUM>' else x end), ' ') as tokens from documents",
     "negation_tokens": f"with {_SIMPLE}, {_FLAT}, n as (select *, lag(token) over (partition by doc_id order by pos) as before from f) select doc_id, coalesce(string_agg(case when before = 'the' then 'not_' || token else token end, ' ' order by pos) filter (token <> 'the'), '') as tokens from n group by doc_id union all select doc_id, '' from t where len(tokens) = 0",
-    "removed_keyword": r"select doc_id, regexp_replace(replace(text, ' of ', ' not of '), '(cannot|not|\w*n''t)?(\s)?\bof\b', '', 'g') as text from documents where lang = 'en'",
+    "removed_keyword": r"select doc_id, regexp_replace(replace(text, ' of ', ' not of '), '(cannot|not|\w*n''t)?(\s)?\bof\b', '', 'g') as text from documents",
     "ngrams": f"with {_SIMPLE}, {_FLAT} select concat_ws(' ', token, b, c) as gram, count(*) as n from (select token, lead(token) over w as b, lead(token, 2) over w as c from f window w as (partition by doc_id order by pos)) where c is not null group by 1 having count(*) >= 3",
     "vocabulary": f"with {_SIMPLE}, {_FLAT}, c as (select token, count(*) as n from f group by 1), r as (select *, row_number() over (order by n desc, token) as k from c) select token, n, row_number() over (order by n desc, token) - 1 as index from r where k > 10 and n between 3 and 500 and token not in ('with', 'by')",
     "cooccurrence": f"with {_SIMPLE}, {_FLAT} select x.token as a, y.token as b, count(*) as n from f x join f y on x.doc_id = y.doc_id and y.pos - x.pos in (-1, 1, 2) group by 1, 2 having count(*) >= 2",
