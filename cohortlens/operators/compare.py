@@ -54,6 +54,14 @@ def group_table(scores: DataFrame, metrics: Sequence[str] = ("accuracy", "f1", "
     return scores.groupBy("model_type", "split", "group_category", "group_subcategory").agg(*[F.avg(m).alias(m) for m in metrics], F.sum("support").alias("support"))
 
 
+def class_scores(scores: DataFrame) -> DataFrame:
+    """(metric, class, identifier, mean, std, std_error, support): scores over folds by class, "overall" for those without one, support summed; curves and grids are left out."""
+    v = F.col("score").cast("double")
+    std = F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0)))
+    kept = scores.where(~F.col("metric").isin("confusion", "roc_auc")).withColumn("class", F.coalesce("class", F.lit("overall")))
+    return kept.groupBy("metric", "class", "identifier").agg(F.avg(v).alias("mean"), std.alias("std"), (std / F.sqrt(F.count(v))).alias("std_error"), F.sum("support").alias("support"))
+
+
 def normalised_confusion(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts summed over folds, and each as a share of its true label's; 0 for a label without rows."""
     summed = counts.groupBy(*by, "y_true", "y_pred").agg(F.sum("n").alias("n"))

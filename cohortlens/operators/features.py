@@ -12,6 +12,8 @@ from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.guards import none_left
+
 
 def target_encoding(df: DataFrame, label_col: str) -> DataFrame:
     """(label, n, label_idx): labels by rising count, ties by label; null labels don't count. One row per label."""
@@ -78,6 +80,15 @@ def feature_index(features: DataFrame, names: Sequence[str]) -> DataFrame:
     return held.withColumn("at", inside).join(F.broadcast(starts.select("component", "first")), "component").select("component", "feature", (F.col("first") + F.col("at")).cast("int").alias("index"))
 
 
+def same_features(learned: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` itself; ValueError if its (component, feature) list isn't the learned one. Both are vocabularies of components, not rows."""
+    keys = ["component", "feature"]
+    missing = learned.select(*keys).distinct().join(found.select(*keys).distinct(), keys, "left_anti").withColumn("state", F.lit("missing"))
+    new = found.select(*keys).distinct().join(learned.select(*keys).distinct(), keys, "left_anti").withColumn("state", F.lit("unknown"))
+    none_left(missing.unionByName(new), "features that differ from the learned ones")
+    return found
+
+
 def to_vectors(rows: DataFrame, row_id: str, features: DataFrame, index: DataFrame, size: int) -> DataFrame:
     """``rows`` with a sparse vector column features; rows without any get an empty one."""
     make = F.udf(lambda ks, vs: Vectors.sparse(size, sorted(zip(ks, vs, strict=True))), VectorUDT())

@@ -68,6 +68,17 @@ def grouped_folds(df: DataFrame, group_col: str, k: int = 5, seed: int = 42, dra
     return df.join(k_folds(groups, k, key=group_col, seed=seed, draw=draw), group_col)
 
 
+def task_folds(df: DataFrame, categories: Sequence[str], k: int = 5, category_col: str = "keyword_category", split_col: str = "split", key: str = "id", seed: int = 42, draw: Column | None = None) -> DataFrame:
+    """The rows of a task's categories for each of ``k`` runs (column run): all test rows, the dev rows of one fold, the train rows of the others.
+
+    Folds are drawn within each category and split, whatever the task, so that tasks share them.
+    """
+    folds = k_folds(df, k, [category_col, split_col], key, seed, draw).where(F.col(category_col).isin(list(categories)))
+    runs = folds.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    same, split = F.col("fold") == F.col("run"), F.col(split_col)
+    return runs.where((split == "test") | ((split == "train") & ~same) | ((split == "dev") & same)).drop("fold")
+
+
 def resamples(df: DataFrame, key: str, iterations: int, share: float, seed: int = 42, draw: Column | None = None) -> DataFrame:
     """One set of rows per iteration, each floor(share * rows) of them without replacement; column iteration."""
     n = df.count()

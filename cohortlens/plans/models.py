@@ -11,9 +11,10 @@ from cohortlens.operators import domain as dm
 from cohortlens.operators import features as ft
 from cohortlens.operators import metrics as mt
 from cohortlens.operators import models as md
+from cohortlens.operators import splits as sp
 from cohortlens.operators.splits import k_folds
 from cohortlens.operators.tokens import vocabulary
-from cohortlens.plans.common import LABELLED, draw, labelled, table
+from cohortlens.plans.common import LABELLED, draw, draw_sql, labelled, table
 from cohortlens.sources.shared import use_shared_checkpoints
 
 
@@ -53,7 +54,13 @@ def tfidf(spark: SparkSession, d: str) -> DataFrame:
 
 def interaction(spark: SparkSession, d: str) -> DataFrame:
     t, counts = _counts(spark, d)
-    return ft.interactions(ft.one_hot(t, "doc_id", "lang", "lang"), counts.where("feature <= 'b'"), "lang x tokens")
+    return ft.interactions(ft.one_hot(t, "doc_id", "lang", "lang"), counts, "lang x tokens")
+
+
+def interaction_tfidf(spark: SparkSession, d: str) -> DataFrame:
+    t, counts = _counts(spark, d)
+    both = ft.interactions(ft.one_hot(t, "doc_id", "lang", "lang"), counts, "lang x tokens")
+    return ft.tfidf(both, ft.idf(both.where("row_id % 5 > 0"), t.where("doc_id % 5 > 0").count())).withColumn("value", F.round("value", 6))
 
 
 def represented(spark: SparkSession, d: str) -> DataFrame:
@@ -149,7 +156,7 @@ def group_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def errors(spark: SparkSession, d: str) -> DataFrame:
-    source = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("head"))
+    source = table(spark, d, "documents").select("doc_id", F.col("text").alias("note_text"))
     return mt.errors(_predicted(spark, d).select("doc_id", "y", "p", "fold"), "y", "p", "doc_id", source)
 
 
@@ -187,13 +194,27 @@ def confusion_to_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "precision", "recall", "f1")})
 
 
+#: The languages of the documents, the categories of the stand-in scores.
+LANGS = ("de", "en", "es", "fr")
+
+
+def class_scores(spark: SparkSession, d: str) -> DataFrame:
+    rows = _predicted(spark, d).groupBy("fold", F.col("lang").alias("identifier"), F.col("y").cast("string").alias("class")).agg(F.avg((F.col("y") == F.col("p")).cast("int")).alias("score"), F.count("*").alias("support"))
+    return cp.class_scores(rows.withColumn("metric", F.lit("recall"))).withColumns({c: F.round(c, 6) for c in ("mean", "std", "std_error")})
+
+
+def task_folds(spark: SparkSession, d: str) -> DataFrame:
+    rows = labelled(spark, d).select("doc_id", F.col("lang").alias("keyword_category"), F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 < 9, "dev").otherwise("test").alias("split"))
+    return sp.task_folds(rows, ["en", "fr"], 3, key="doc_id", draw=draw("doc_id"))
+
+
 def summary_pivot(spark: SparkSession, d: str) -> DataFrame:
-    out = cp.summary(_fold_scores(spark, d), ["de", "en"])
-    return out.withColumns({c: F.round(c, 6) for c in out.columns if c[:2] in ("de", "en")})
+    out = cp.summary(_fold_scores(spark, d), LANGS)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c[:2] in LANGS})
 
 
 def paired_ttest(spark: SparkSession, d: str) -> DataFrame:
-    return cp.paired_t_tests(_fold_scores(spark, d).where("keyword_category = 'en' and metric = 'macro_f1'"), 5).withColumn("p_value", F.round("p_value", 6))
+    return cp.paired_t_tests(_fold_scores(spark, d), 5).withColumn("p_value", F.round("p_value", 6))
 
 
 def label_bias(spark: SparkSession, d: str) -> DataFrame:
@@ -215,7 +236,7 @@ def metric_table(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_table(spark: SparkSession, d: str) -> DataFrame:
-    s = mt.union_all([mt.group_scores(_predicted(spark, d).where(f"fold = {f}"), "y", "p", ["lang"]) for f in (0, 1)])
+    s = mt.union_all([mt.group_scores(_predicted(spark, d).where(f"fold = {f}"), "y", "p", ["lang"]) for f in range(5)])
     out = cp.group_table(s.withColumns({"model_type": F.lit("m"), "split": F.lit("dev")}))
     return out.withColumns({c: F.round(c, 6) for c in ("accuracy", "f1", "precision", "recall")})
 
@@ -237,8 +258,8 @@ def available_splits(spark: SparkSession, d: str) -> DataFrame:
 
 def summary_display(spark: SparkSession, d: str) -> DataFrame:
     names = spark.createDataFrame([("m", "x", "b", 0), ("m", "x", "a", 1)], "model_type string, feature_set string, identifier string, ord int")
-    out = cp.display(cp.summary(_fold_scores(spark, d), ["en"]), names)
-    return out.withColumns({c: F.round(c, 6) for c in out.columns if c[:2] == "en"})
+    out = cp.display(cp.summary(_fold_scores(spark, d), LANGS), names)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c[:2] in LANGS})
 
 
 # ---- models that are fitted -----------------------------------------------------------------------------
@@ -361,7 +382,7 @@ SQL = {
     "onehot": f"with {LABELLED} select doc_id as row_id, 'source' as component, source as feature, 1.0::double as value from labelled where source in (select source from labelled where doc_id % 40 < 5)",
     "token_counts": f"with {LABELLED}, {_COUNTS} select * from counts",
     "tfidf": f"with {LABELLED}, {_COUNTS}, w as (select feature, ln((1 + (select count(*) from t where doc_id % 5 > 0)) / (1.0 + count(distinct row_id))) + 1 as idf from counts where row_id % 5 > 0 group by 1) select row_id, component, feature, round(value * idf / sqrt(sum(value * idf * value * idf) over (partition by row_id)), 6) as value from counts join w using (feature)",
-    "interaction": f"with {LABELLED}, {_COUNTS} select row_id, 'lang x tokens' as component, '(lang=' || lang || ')x(tokens=' || feature || ')' as feature, value from counts join t on doc_id = row_id where feature <= 'b'",
+    "interaction": f"with {LABELLED}, {_COUNTS} select row_id, 'lang x tokens' as component, '(lang=' || lang || ')x(tokens=' || feature || ')' as feature, value from counts join t on doc_id = row_id",
     "represented": f"with {LABELLED}, {_COUNTS}, a as (select 0 as k, 'lang' as component, lang as feature from t union select 1, component, feature from counts) select component, feature, (row_number() over (order by k, feature) - 1)::int as index from a",
     "standardize": "with s as (select avg(p_size) as m, stddev_pop(p_size) as sd from part where p_partkey % 2 = 0) select p_partkey, round((p_size - m) / sd, 6) as size, 0.0::double as same from part, s",
     "class_weights": f"with {LABELLED}, c as (select lang as task, y as label, count(*) as n from labelled group by all) select task, label, n, round((sum(n) over (partition by task)) / ((count(*) over (partition by task)) * n), 6)::double as weight from c",
@@ -378,23 +399,26 @@ SQL = {
     "roc_thinned": f"with {_PRED}, {_ROC}, s as (select *, fp - coalesce(lag(fp) over w, 0) as a, tp - coalesce(lag(tp) over w, 0) as b, lead(fp) over w - fp as c, lead(tp) over w - tp as e from r window w as (partition by lang order by threshold desc)) select lang, threshold, fp, tp from s where not coalesce(a * e = c * b, false)",
     "auc": f"with {_PRED}, {_ROC}, s as (select *, (fp - coalesce(lag(fp) over w, 0)) * (tp + coalesce(lag(tp) over w, 0)) / 2 as area from r window w as (partition by lang order by threshold desc)) select lang, round(sum(area) / nullif(max(n_neg)::double * max(n_pos), 0), 6) as auc from s group by 1",
     "group_scores": f"with {_PRED}, {_GROUPS}, m as (select group_category, group_subcategory, round(sum(h) / sum(t), 6)::double as accuracy, round(avg(2 * h / (t + q)), 6)::double as f1, round(avg(case when q > 0 then h / q else 0 end), 6)::double as precision, round(avg(case when t > 0 then h / t else 0 end), 6)::double as recall, sum(t)::bigint as support, string_agg(label || ':' || t, ',' order by label) filter (t > 0) as class_balance from cls group by all) select * from m",
-    "errors": f"with {_PRED} select pred.doc_id, y, p, fold, substr(text, 1, 40) as head from pred join documents using (doc_id) where y <> p",
+    "errors": f"with {_PRED} select pred.doc_id, y, p, fold, text as note_text from pred join documents using (doc_id) where y <> p",
     "std_error": f"with {_FOLDS} select identifier, keyword_category, metric, round(avg(score), 6) as mean, round(coalesce(stddev_samp(score), 0) / sqrt(count(*)), 6) as std_error from fold_scores group by all",
     "flatten_scores": f"with {_PRED}, {_CLS.format('fold, ')}, raw as (select fold, sum(correct) / sum(support) as a, avg(case when predicted > 0 then correct / predicted else 0 end) as b, avg(case when support > 0 then correct / support else 0 end) as c, avg(2 * correct / (support + predicted)) as e from cls group by 1) select fold, unnest(['accuracy', 'precision', 'recall', 'f1']) as metric, null::varchar as class, round(unnest([a, b, c, e])::double, 6) as score, null::bigint as support from raw union all select fold, unnest(['precision', 'recall', 'f1']), label::varchar, unnest([precision, recall, f1]), support from pc",
     "confusion_norm": f"with {_PRED} select y as y_true, p as y_pred, count(*) as n, round(count(*) / sum(count(*)) over (partition by y), 6)::double as share from pred group by y, p",
     "confusion_to_scores": f"with {_PRED}, side as (select lang, y as label, 1 as t, 0 as q, (y = p)::int as h from pred union all select lang, p, 0, 1, 0 from pred), cls as (select lang, label, sum(t) as t, sum(q) as q, sum(h) as h from side group by all having sum(t) > 0) select lang, round(sum(h) / sum(t), 6)::double as accuracy, round(avg(case when q > 0 then h / q else 0 end), 6)::double as precision, round(avg(h / t), 6)::double as recall, round(avg(2 * h / (t + q)), 6)::double as f1 from cls group by 1",
-    "summary_pivot": f"with {_FOLDS} select split, metric, identifier, round(avg(score) filter (keyword_category = 'de'), 6) as de_mean, round(stddev_samp(score) filter (keyword_category = 'de'), 6) as de_std, round(avg(score) filter (keyword_category = 'en'), 6) as en_mean, round(stddev_samp(score) filter (keyword_category = 'en'), 6) as en_std from fold_scores group by 1, 2, 3",
-    "summary_display": f"with {_FOLDS} select split, metric, identifier, round(avg(score) filter (keyword_category = 'en'), 6) as en_mean, round(stddev_samp(score) filter (keyword_category = 'en'), 6) as en_std from fold_scores group by 1, 2, 3",
-    "paired_ttest": f"with {_FOLDS}, s as (select * from fold_scores where keyword_category = 'en' and metric = 'macro_f1'), x as (select a.identifier as a, b.identifier as b, avg(a.score - b.score) as m, stddev_samp(a.score - b.score) as sd, count(*) as n from s a join s b using (fold) group by all), y as (select *, atan(abs(m * sqrt(n) / nullif(sd, 0)) / 2) as th from x) select 'dev' as split, 'macro_f1' as metric, 'en' as keyword_category, a, b, round(case when a = b then 1.0 else 1 - sin(th) * (1 + 0.5 * cos(th) * cos(th)) end, 6)::double as p_value from y",
+    "summary_pivot": f"with {_FOLDS} select split, metric, identifier, round(avg(score) filter (keyword_category = 'de'), 6) as de_mean, round(stddev_samp(score) filter (keyword_category = 'de'), 6) as de_std, round(avg(score) filter (keyword_category = 'en'), 6) as en_mean, round(stddev_samp(score) filter (keyword_category = 'en'), 6) as en_std, round(avg(score) filter (keyword_category = 'es'), 6) as es_mean, round(stddev_samp(score) filter (keyword_category = 'es'), 6) as es_std, round(avg(score) filter (keyword_category = 'fr'), 6) as fr_mean, round(stddev_samp(score) filter (keyword_category = 'fr'), 6) as fr_std from fold_scores group by 1, 2, 3",
+    "summary_display": f"with {_FOLDS} select split, metric, identifier, round(avg(score) filter (keyword_category = 'de'), 6) as de_mean, round(stddev_samp(score) filter (keyword_category = 'de'), 6) as de_std, round(avg(score) filter (keyword_category = 'en'), 6) as en_mean, round(stddev_samp(score) filter (keyword_category = 'en'), 6) as en_std, round(avg(score) filter (keyword_category = 'es'), 6) as es_mean, round(stddev_samp(score) filter (keyword_category = 'es'), 6) as es_std, round(avg(score) filter (keyword_category = 'fr'), 6) as fr_mean, round(stddev_samp(score) filter (keyword_category = 'fr'), 6) as fr_std from fold_scores group by 1, 2, 3",
+    "paired_ttest": f"with {_FOLDS}, x as (select a.metric, a.keyword_category, a.identifier as a, b.identifier as b, avg(a.score - b.score) as m, stddev_samp(a.score - b.score) as sd, count(*) as n from fold_scores a join fold_scores b using (metric, keyword_category, fold) group by all), y as (select *, atan(abs(m * sqrt(n) / nullif(sd, 0)) / 2) as th from x) select 'dev' as split, metric, keyword_category, a, b, round(case when a = b then 1.0 when sd = 0 then (m = 0)::int else 1 - sin(th) * (1 + 0.5 * cos(th) * cos(th)) end, 6)::double as p_value from y",
+    "class_scores": f"with {_PRED}, two as (select fold, lang as identifier, y as class, avg((y = p)::int) as score, count(*) as n from pred group by all) select 'recall' as metric, class::varchar as class, identifier, round(avg(score), 6) as mean, round(coalesce(stddev_samp(score), 0), 6) as std, round(coalesce(stddev_samp(score), 0) / sqrt(count(*)), 6) as std_error, sum(n)::bigint as support from two group by class, identifier",
+    "interaction_tfidf": f"with {LABELLED}, {_COUNTS}, i as (select row_id, '(lang=' || lang || ')x(tokens=' || feature || ')' as feature, value from counts join t on doc_id = row_id), w as (select feature, ln((1.0 + (select count(*) from t where doc_id % 5 > 0)) / (1.0 + count(distinct row_id))) + 1 as idf from i where row_id % 5 > 0 group by 1), x as (select row_id, feature, value * idf as v from i join w using (feature)) select row_id, 'lang x tokens' as component, feature, round(v / sqrt(sum(v * v) over (partition by row_id)), 6) as value from x",
+    "task_folds": f"with {LABELLED}, r as (select doc_id, lang as keyword_category, case when doc_id % 10 < 7 then 'train' when doc_id % 10 < 9 then 'dev' else 'test' end as split from labelled), k as (select *, (row_number() over (partition by keyword_category, split order by {draw_sql('doc_id')}, doc_id) - 1) % 3 as f from r), n as (select unnest([0, 1, 2]) as run) select doc_id, keyword_category, split, run::int as run from k, n where keyword_category in ('en', 'fr') and (split = 'test' or (split = 'train' and f <> run) or (split = 'dev' and f = run))",
     "label_bias": f"with {LABELLED}, r as (select lang as category, y::varchar as target, unnest([source, 'overall']) as feature from labelled), q as (select category, target, feature, count(*) as n from r group by all) select *, round(n / sum(n) over (partition by category, feature), 6)::double as share from q",
     "distribution_facets": f"with {LABELLED} select lang, quality::varchar as quality, source, toxic::varchar as value, count(*) as n, (1 - grouping(lang) + 2 * (1 - grouping(quality)) + 4 * (1 - grouping(source)))::int as facet_set, round(count(*) / sum(count(*)) over (partition by grouping(lang), grouping(quality), grouping(source), lang, quality, source), 6)::double as share from labelled group by grouping sets ((lang, toxic), (quality, toxic), (source, toxic), (lang, quality, toxic), (lang, source, toxic), (quality, source, toxic), (lang, quality, source, toxic))",
     "learning_curve_table": f"with {_FOLDS} select identifier, metric, 50.0::double as learning_curve_train_proportion, round(avg(score), 6) as mean, round(coalesce(stddev_samp(score), 0) / sqrt(count(*)), 6) as std_error, quantile_cont(100 + 3 * fold, 0.5)::double as train_size from fold_scores group by 1, 2",
     "metric_table": f"with {_FOLDS} select identifier, metric, round(avg(score), 6) as mean, round(coalesce(stddev_samp(score), 0) / sqrt(count(*)), 6) as std_error from fold_scores where fold < 4 group by 1, 2",
-    "group_table": f"with {_PRED}, h as (select fold, y, p, unnest([lang, 'overall']) as g from pred where fold < 2), side as (select fold, g, y as label, 1 as t, 0 as q, (y = p)::int as h from h union all select fold, g, p, 0, 1, 0 from h), cls as (select fold, g, label, sum(t) as t, sum(q) as q, sum(h) as h from side group by all), m as (select fold, g, sum(h) / sum(t) as a, avg(2 * h / (t + q)) as f, avg(case when q > 0 then h / q else 0 end) as pr, avg(case when t > 0 then h / t else 0 end) as r, sum(t) as s from cls group by all) select 'm' as model_type, 'dev' as split, 'lang' as group_category, g as group_subcategory, round(avg(a), 6)::double as accuracy, round(avg(f), 6)::double as f1, round(avg(pr), 6)::double as precision, round(avg(r), 6)::double as recall, sum(s)::bigint as support from m group by g",
+    "group_table": f"with {_PRED}, h as (select fold, y, p, unnest([lang, 'overall']) as g from pred), side as (select fold, g, y as label, 1 as t, 0 as q, (y = p)::int as h from h union all select fold, g, p, 0, 1, 0 from h), cls as (select fold, g, label, sum(t) as t, sum(q) as q, sum(h) as h from side group by all), m as (select fold, g, sum(h) / sum(t) as a, avg(2 * h / (t + q)) as f, avg(case when q > 0 then h / q else 0 end) as pr, avg(case when t > 0 then h / t else 0 end) as r, sum(t) as s from cls group by all) select 'm' as model_type, 'dev' as split, 'lang' as group_category, g as group_subcategory, round(avg(a), 6)::double as accuracy, round(avg(f), 6)::double as f1, round(avg(pr), 6)::double as precision, round(avg(r), 6)::double as recall, sum(s)::bigint as support from m group by g",
     "topk_coefficients": "with m as (select l_returnflag as label, 'f' || l_suppkey as feature, avg(l_quantity::double) as mean, coalesce(stddev_samp(l_quantity::double), 0) / sqrt(count(*)) as std_error from lineitem group by all), r as (select *, row_number() over (partition by label order by mean desc, feature) as place from m) select label, feature, round(mean, 6) as mean, round(std_error, 6) as std_error, place::int as place from r where place <= 5",
     "task_loss": f"with {_PRED} select lang as task, count(*) as n, round(avg(-ln((1 + doc_id % 9) / 10) * 2), 6)::double as loss from pred group by 1",
     "available_splits": "select o_orderpriority as keyword_category, string_agg(distinct o_orderstatus, ',' order by o_orderstatus) as splits from orders group by 1",
     "special_cases": f"with {_PRED} select doc_id as row_id, y as y_true, p as y_baseline from pred where y <> p and case when doc_id % 8 = 0 then y else 0 end = y",
 }
 
-QUERIES = {f.__name__: f for f in (target_encoding, onehot, token_counts, tfidf, interaction, represented, standardize, class_weights, task_weights, feature_crosses, mean_pool, prior, most_frequent, conditional_majority, metrics, per_class, confusion, roc, roc_thinned, auc, group_scores, errors, std_error, flatten_scores, confusion_norm, confusion_to_scores, summary_pivot, summary_display, paired_ttest, label_bias, distribution_facets, learning_curve_table, metric_table, group_table, topk_coefficients, task_loss, available_splits, logreg_predict, logreg_grid, rf_grid, coefficients, batch_scoring, batch_embedding, apply_predictions, model_sweep, domain_discrimination, domain_majorities, special_cases, pca_projection)}
+QUERIES = {f.__name__: f for f in (class_scores, task_folds, interaction_tfidf, target_encoding, onehot, token_counts, tfidf, interaction, represented, standardize, class_weights, task_weights, feature_crosses, mean_pool, prior, most_frequent, conditional_majority, metrics, per_class, confusion, roc, roc_thinned, auc, group_scores, errors, std_error, flatten_scores, confusion_norm, confusion_to_scores, summary_pivot, summary_display, paired_ttest, label_bias, distribution_facets, learning_curve_table, metric_table, group_table, topk_coefficients, task_loss, available_splits, logreg_predict, logreg_grid, rf_grid, coefficients, batch_scoring, batch_embedding, apply_predictions, model_sweep, domain_discrimination, domain_majorities, special_cases, pca_projection)}

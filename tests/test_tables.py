@@ -23,7 +23,7 @@ def test_every_query_with_sql_is_registered():
     assert len(plain) > 100 and len([k for k in plain if k in sql]) > 90
 
 
-@pytest.mark.parametrize("name", ["match_stats", "cohort_metadata", "unit_assignment", "kfold", "learning_curve", "tfidf", "group_scores", "paired_ttest", "distribution_facets", "conditional_majority", "phrase_merge", "constrained_resample"])
+@pytest.mark.parametrize("name", ["match_stats", "cohort_metadata", "unit_assignment", "kfold", "learning_curve", "tfidf", "group_scores", "paired_ttest", "distribution_facets", "conditional_majority", "phrase_merge", "constrained_resample", "class_scores", "task_folds", "interaction_tfidf", "group_table", "summary_pivot", "errors", "search_windows", "anchor_spans", "grouped_fold", "resample"])
 def test_queries_equal_their_sql(spark, sf_dir, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
@@ -40,6 +40,29 @@ def test_queries_equal_their_sql(spark, sf_dir, name):
     assert got == sorted(repr([flat(r[names.index(c)]) for c in cols]) for r in rows.fetchall())
 
 
+def test_features_must_be_the_learned_ones(spark):
+    a = spark.createDataFrame([("c", "x"), ("c", "y")], "component string, feature string")
+    assert ft.same_features(a, a).count() == 2
+    for b in (a.limit(1), a.union(spark.createDataFrame([("c", "z")], a.schema))):
+        with pytest.raises(ValueError):
+            ft.same_features(a, b)
+
+
+def test_t_test_counts_the_folds_it_finds(spark):
+    rows = [("a", f, 1.0 * f) for f in range(5)] + [("b", f, 1.0 * f + (0.1, 0.4, 0.2)[f]) for f in range(3)] + [("c", 0, 0.3)]
+    scores = spark.createDataFrame([("dev", "f1", "k", *r) for r in rows], "split string, metric string, keyword_category string, identifier string, fold int, score double")
+    p = {(r.a, r.b): r.p_value for r in cp.paired_t_tests(scores, 5).collect()}
+    assert abs(p["a", "b"] - 0.11808) < 1e-4 and p["a", "c"] is None and p["a", "a"] == 1.0
+
+
+def test_null_keywords_stay_when_others_are_removed(spark):
+    rows = spark.createDataFrame([(1, "good", "a good day"), (2, None, "none"), (3, "bad", "bad day")], "encounter_id long, keyword string, note_text string")
+    meta = spark.createDataFrame([(1,), (2,), (3,)], "encounter_id long")
+    with pytest.warns(UserWarning, match="absent"):
+        out, _ = co.prepare_model_data(rows, meta, "encounter_id", remove=["good", "absent"])
+    assert sorted(r.encounter_id for r in out.collect()) == [2, 3]
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
