@@ -156,6 +156,10 @@ def main_blocks(places: list[tuple[int, int, str, bool]], found: list[tuple[int,
     return [j for j, (k, token) in enumerate(found) if token not in fixed and (inside[k] and not out_of[k] if k >= 0 else main < 0)]
 
 
+#: Bytes of templates that are sent to every executor; larger tables are joined by shuffling the pages.
+_BROADCAST = 32 << 20
+
+
 def _host(url: str | None) -> str:
     m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
     return m[1].lower() if m else ""
@@ -206,16 +210,16 @@ def templates(found: DataFrame, text_share: float = 0.9, place_share: float = 0.
     ``place_share`` of the pages, or, for its texts, on ``text_share`` of the pages and one more. So few pages, or a group of
     copies, which is one page, make no text a template's. At most a page's tokens over the shares are gathered for a host. A place's mass is the characters of text in it on all pages.
     """
-    sizes = found.where("size(path) > 0 or size(token) > 0").groupBy("host").agg(F.count_distinct("page").alias("pages"))
-    # copies of a page have equal places and texts but for those beside: the greatest counts are the page's
-    places = found.select("host", "page", F.explode(F.arrays_zip("path", "times", "chars")).alias("t")).select("host", "page", F.col("t.path").alias("token"), F.lit(2).alias("tokens"), F.col("t.times").cast("long").alias("k"), F.col("t.chars").alias("n"))
-    texts = found.select("host", "page", F.explode("token").alias("token")).groupBy("host", "page", "token").agg(F.count("*").alias("k"))
-    copies = found.groupBy("host", "page").agg(F.count("*").alias("copies"))
-    texts = texts.join(copies, ["host", "page"]).select("host", "page", "token", F.lit(1).alias("tokens"), F.ceil(F.col("k") / F.col("copies")).alias("k"), F.lit(0).cast("long").alias("n"))
-    tokens = places.union(texts).groupBy("host", "page", "token", "tokens").agg(F.max("k").alias("k"), F.max("n").alias("n"))
-    vectors = tokens.groupBy("host", "token", "tokens").agg(F.count("*").alias("on"), F.sum("k").alias("times"), F.sum(F.xxhash64("page", "k").cast("decimal(20,0)")).alias("sign"), F.sum("n").alias("n"))
+    # copies of a page have equal blocks but for those beside: one of them stands for all
+    once = found.where("size(path) > 0 or size(token) > 0").select("host", "page", "path", "times", "chars", "token").dropDuplicates(["host", "page"])
+    once = once.select(F.xxhash64("host").alias("h"), "host", "page", "path", "times", "chars", "token")
+    sizes = once.groupBy("h").agg(F.count("*").alias("pages"), F.min("host").alias("host"))
+    places = F.transform(F.arrays_zip("path", "times", "chars"), lambda x: F.struct(x["path"].alias("token"), F.lit(2).alias("tokens"), x["times"].cast("long").alias("k"), x["chars"].alias("n")))
+    texts = F.transform(F.array_distinct("token"), lambda x: F.struct(x.alias("token"), F.lit(1).alias("tokens"), F.size(F.filter("token", lambda y: y == x)).cast("long").alias("k"), F.lit(0).cast("long").alias("n")))
+    tokens = once.select("h", "page", F.explode(F.concat(places, texts)).alias("t")).select("h", "page", "t.*")
+    vectors = tokens.groupBy("h", "token", "tokens").agg(F.count("*").alias("on"), F.sum("k").alias("times"), F.sum(F.xxhash64("page", "k").cast("decimal(20,0)")).alias("sign"), F.sum("n").alias("n"))
     often = (F.col("tokens") == 2) & (F.col("on") >= place_share * F.col("pages")) | (F.col("tokens") == 1) & (F.col("on") >= text_share * (F.col("pages") + 1))
-    frequent = vectors.join(sizes, "host").where(often)
+    frequent = vectors.join(sizes, "h").where(often)
     alike = Window.partitionBy("host", "on", "times", "sign")
     valid = frequent.withColumn("size", F.sum("tokens").over(alike)).where("size >= 2")
     place = F.when(F.col("tokens") == 2, F.struct("token", "n"))
@@ -234,7 +238,9 @@ def extract_main_text(pages: DataFrame, text_share: float = 0.9, place_share: fl
     """
     require(pages, id_col, url_col, html_col)
     found = stored(parsed_pages(pages, id_col, url_col, html_col), "blocks")
-    known = found.select("page_id", "url", "host", "above", "path", "element", "beside", "place", "token", "text").join(templates(found, text_share, place_share), "host", "left")
+    template = stored(templates(found, text_share, place_share), "templates")
+    held = template.agg(F.sum(40 + F.length("host") + 16 * F.size("paths") + 8 * F.size("fixed"))).first()[0] or 0
+    known = found.select("page_id", "url", "host", "above", "path", "element", "beside", "place", "token", "text").join(F.broadcast(template) if held <= _BROADCAST else template, "host", "left")
 
     def texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("above", "path", "element", "beside", "place", "token", "text", "paths", "masses", "fixed")

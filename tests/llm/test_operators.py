@@ -567,7 +567,9 @@ def test_main_text(spark, empty):
     assert page_text.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_copies_of_an_article_are_one_page_of_their_host(spark):
+@pytest.mark.parametrize("most", [32 << 20, -1])
+def test_copies_of_an_article_are_one_page_of_their_host(spark, monkeypatch, most):
+    monkeypatch.setattr(page_text, "_BROADCAST", most)  # both ways of joining templates
     rows = [(n, f"http://copies.example/{n}", PAGE.replace("{n}", "same")) for n in range(12)]
     rows += [(100 + n, f"http://mixed.example/{n}", PAGE.replace("{n}", f"n{n}" if n < 12 else "same")) for n in range(140)]
     text = {r.page_id: r.text for r in page_text.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
