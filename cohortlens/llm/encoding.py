@@ -52,8 +52,8 @@ class PieceCache:
     Words and marks that normaliser and pattern pass on whole go straight to the library's model; other pieces are encoded in full.
     """
 
-    def __init__(self, path: str, value: Callable, joined: Callable, lower: bool):
-        self.value, self.joined, self.lower = value, joined, lower
+    def __init__(self, path: str, value: Callable, joined: Callable):
+        self.value, self.joined = value, joined
         self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
         self.pieces, self.words = {}, {}
@@ -80,7 +80,7 @@ class PieceCache:
                 elif m[1] is None:
                     known[p] = self._word(m[2])
                 else:
-                    word = self._word(m[1].lower() if self.lower else m[1])
+                    word = self._word(m[1])
                     known[p] = word if m[2] is None else self.joined(word, self._word(m[2]))
         for (p, _), e in zip(rest, self.tokenizer.encode_batch_fast([s for _, s in rest], add_special_tokens=False), strict=True):
             known[p] = self.value(e.ids)
@@ -94,7 +94,7 @@ _ids: dict[tuple[str, str], dict[bytes, bytes]] = {}
 def count_tokens(path: str, texts: list[str]) -> list[int]:
     """Tokens of each text under a byte-level BPE file without normaliser, as encoding the whole text gives them."""
     if path not in _counts:
-        _counts[path] = PieceCache(path, len, int.__add__, False)
+        _counts[path] = PieceCache(path, len, int.__add__)
     cache = _counts[path]
     units = [_UNIT.findall(t) for t in texts]
     known = cache(set().union(*units))
