@@ -41,8 +41,3 @@ def write_predictions(predictions: DataFrame, path: str, keep_text: bool = True)
     """A folder per category; without the notes' text if asked."""
     out = predictions if keep_text else predictions.drop("note_text")
     out.write.mode("overwrite").partitionBy("keyword_category").parquet(path)
-
-
-def score_display(scores: DataFrame) -> DataFrame:
-    """Scores rounded for reading."""
-    return scores.withColumn("score", F.round("score", 4))
