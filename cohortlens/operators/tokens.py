@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlens.sources.shared import stored
+
 from cohortlens.functions.text import remove_keyword
 
 #: A word with inner hyphens or apostrophes, or one mark.
@@ -126,21 +128,23 @@ def phrase_scores(df: DataFrame, tokens_col: str = "tokens", min_count: int = 5,
 
 
 def merge_phrases(df: DataFrame, phrases: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
-    """(id, tokens): tokens with phrases joined by a space, greedily from the left.
+    """(id, tokens): tokens with phrases joined by a space, greedily from the left; ids are unique, null tokens give none.
 
-    In a run of places where a phrase starts, every other one, from the first, is where the greedy scan joins.
+    Only the places where a phrase starts leave their row. In a run of such places every other one, from the first, is where the greedy scan joins.
     """
-    t = df.select(id_col, F.posexplode(tokens_col).alias("pos", "a"))
+    t, n = F.col(tokens_col), F.size(tokens_col)
+    pairs = F.arrays_zip(t.alias("a"), F.slice(t, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("b"))
+    places = df.select(id_col, F.posexplode(pairs).alias("pos", "pair")).select(id_col, "pos", "pair.a", "pair.b")
+    hits = places.join(phrases.select("a", "b"), ["a", "b"], "left_semi").select(id_col, "pos")
     row = Window.partitionBy(id_col).orderBy("pos")
-    t = t.withColumn("b", F.lead("a").over(row))
-    t = t.join(phrases.select("a", "b", F.lit(True).alias("hit")), ["a", "b"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    t = t.withColumn("run", F.sum((~F.col("hit")).cast("int")).over(row))
-    nth = Window.partitionBy(id_col, "run", "hit").orderBy("pos")
-    t = t.withColumn("starts", F.col("hit") & (F.row_number().over(nth) % 2 == 1))
-    t = t.withColumn("gone", F.coalesce(F.lag("starts").over(row), F.lit(False)))
-    merged = t.where(~F.col("gone")).select(id_col, "pos", F.when(F.col("starts"), F.concat_ws(" ", "a", "b")).otherwise(F.col("a")).alias("token"))
-    lists = merged.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias(tokens_col))
-    return df.select(id_col).join(lists, id_col, "left").withColumn(tokens_col, F.coalesce(tokens_col, F.array().cast("array<string>")))
+    nth = F.row_number().over(Window.partitionBy(id_col, "run").orderBy("pos"))
+    starts = hits.withColumn("run", F.col("pos") - F.row_number().over(row)).withColumn("nth", nth).where("nth % 2 = 1")
+    starts = starts.groupBy(id_col).agg(F.array_sort(F.collect_list("pos")).alias("__at"))
+    at = F.col("__at")
+    upto = F.concat(F.slice(at, F.lit(2), F.size(at) - 1), F.array(n))
+    joined = F.zip_with(at, upto, lambda i, j: F.concat(F.array(F.concat_ws(" ", F.get(t, i), F.get(t, i + 1))), F.slice(t, i + 3, j - i - 2)))
+    merged = F.when(at.isNull(), t).otherwise(F.concat(F.slice(t, F.lit(1), F.get(at, F.lit(0))), F.flatten(joined)))
+    return df.select(id_col, tokens_col).join(starts, id_col, "left").select(id_col, F.coalesce(merged, F.array().cast("array<string>")).alias(tokens_col))
 
 
 class PhraseLearner:
@@ -150,16 +154,18 @@ class PhraseLearner:
         self.passes, self.min_count, self.threshold, self.rounds = passes, min_count, threshold, []
 
     def fit_transform(self, df: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
-        """Learns on ``df`` and returns (id, tokens); each round's tokens are checkpointed."""
+        """Learns on ``df`` and returns (id, tokens); each round's phrases and the tokens that it reads are stored in the shared folder."""
         self.rounds = []
         tokens = df.select(id_col, tokens_col)
         for _ in range(self.passes):
-            found = phrase_scores(tokens, tokens_col, self.min_count, self.threshold).checkpoint()
+            tokens = stored(tokens, "tokens")
+            found = stored(phrase_scores(tokens, tokens_col, self.min_count, self.threshold), "phrases")
             self.rounds.append(found)
-            tokens = merge_phrases(tokens, found, id_col, tokens_col).checkpoint()
+            tokens = merge_phrases(tokens, found, id_col, tokens_col)
         return tokens
 
     def fit(self, df: DataFrame, id_col: str, tokens_col: str = "tokens") -> PhraseLearner:
+        """Learns on ``df``; the last round's tokens aren't made."""
         self.fit_transform(df, id_col, tokens_col)
         return self
 

@@ -15,7 +15,7 @@ from cohortlens.operators import splits as sp
 from cohortlens.operators.splits import k_folds
 from cohortlens.operators.tokens import vocabulary
 from cohortlens.plans.common import LABELLED, draw, draw_sql, labelled, table
-from cohortlens.sources.shared import use_shared_checkpoints
+from cohortlens.sources.shared import stored
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -324,14 +324,13 @@ def apply_predictions(spark: SparkSession, d: str) -> DataFrame:
     """The apply job on all documents: the features and model of four fifths of the labelled ones, probabilities and the likeliest label; y is null without a label."""
     labels = table(spark, d, "labels").select("doc_id", (2 * F.col("quality") + F.col("toxic")).cast("int").alias("y"))
     t = table(spark, d, "documents").join(labels, "doc_id", "left").select("doc_id", "y", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
-    use_shared_checkpoints(spark)
     is_train = "y is not null and doc_id % 5 > 0"
     train = t.where(is_train)
     v = vocabulary(train, rm_top=0, min_freq=20, stopwords=["the"])
-    counts = ft.count_features(t, "doc_id", "tokens", v).checkpoint()
+    counts = stored(ft.count_features(t, "doc_id", "tokens", v), "counts")
     learned = counts.join(train.select(F.col("doc_id").alias("row_id")).distinct(), "row_id", "left_semi")
-    index = ft.feature_index(learned, ["tokens"]).checkpoint()
-    rows = ft.to_vectors(t.select("doc_id", "y"), "doc_id", ft.tfidf(counts, ft.idf(learned, train.count())), index, index.count()).withColumn("label_idx", F.col("y").cast("double")).checkpoint()
+    index = stored(ft.feature_index(learned, ["tokens"]), "index")
+    rows = stored(ft.to_vectors(t.select("doc_id", "y"), "doc_id", ft.tfidf(counts, ft.idf(learned, train.count())), index, index.count()).withColumn("label_idx", F.col("y").cast("double")), "vectors")
     model = md.logistic(rows.where(is_train), 1.0, max_iter=50)
     return md.predict_vectors(model, rows, list(range(model.numClasses))).drop("features")
 

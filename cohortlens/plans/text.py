@@ -11,6 +11,7 @@ from cohortlens.operators import tokens as tk
 from cohortlens.operators.features import anchor_mask, label_ids, select_groups
 from cohortlens.operators.lexicon import CLINICAL, DEMO, lexicon_df, recover_category, show_categories
 from cohortlens.plans.common import table
+from cohortlens.sources.shared import shared_dir, stored
 from cohortlens.streaming.search import read_texts, stream_search
 
 
@@ -159,15 +160,12 @@ def phrase_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def phrase_merge(spark: SparkSession, d: str) -> DataFrame:
-    t = _simple(spark, d)
+    t = stored(_simple(spark, d), "tokens")  # read three times
     found = tk.cooccurrence(t).where("n >= 20").select("a", "b")
     return tk.merge_phrases(t, found, "doc_id").select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 
 def phrase_rounds(spark: SparkSession, d: str) -> DataFrame:
-    from cohortlens.sources.shared import use_shared_checkpoints
-
-    use_shared_checkpoints(spark)
     words = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
     learner = tk.PhraseLearner(2, 5, 10.0).fit(words, "doc_id")
     return learner.phrases()
@@ -199,8 +197,6 @@ def lexicon_ranks(spark: SparkSession, d: str) -> DataFrame:
 def stream_search_hits(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
-    from cohortlens.sources.shared import shared_dir
-
     from pyspark.sql.functions import col
 
     batch = table(spark, d, "conversations")
