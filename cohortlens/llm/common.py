@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -21,10 +22,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; without one intermediate rows have no safe place."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Where it is unset, a session on one machine gets a temporary folder, and one on a cluster a ValueError."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
