@@ -42,6 +42,11 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in shown)}
 
 
+def byte_of_letter() -> dict[str, int]:
+    """The byte that each letter of a byte-level model stands for."""
+    return {c: b for b, c in _byte_letters().items()}
+
+
 _LETTERS = _byte_letters()
 _BYTE_LETTERS = {b: c for b, c in _LETTERS.items() if chr(b) != c}
 

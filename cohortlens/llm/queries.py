@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortlens.llm import decontamination, near_duplicates, packing, page_text, quality, repeated_passages, sharding, token_counts, token_files, toxicity
+from cohortlens.llm import decontamination, importance, near_duplicates, packing, page_text, quality, rare_features, repeated_passages, sharding, token_alignment, token_counts, token_files, toxicity
 from cohortlens.llm.common import read
 
 
@@ -63,6 +63,19 @@ def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract_main_text(read(spark, sf_dir, "pages"))
 
 
+def rare_feature_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return rare_features.edit_likeness(docs, rare_features.rarity(docs))
+
+
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": best_fit_packing,
@@ -75,6 +88,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxic_documents,
         "op9_suffix_array_dedup": suffix_array_dedup,
         "op10_html_extraction": main_text,
+        "op11_document_fingerprints": rare_feature_fingerprints,
+        "op12_importance_resampling": importance_resampling,
+        "op13_cross_tokenizer_alignment": cross_tokenizer_alignment,
     }
 
 
