@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -257,25 +258,28 @@ def in_order(docs: DataFrame, ranges: int, id_col: str, text_col: str) -> DataFr
     sample = sorted(tuple(r.k) for r in docs.select(key.alias("k")).where(F.pmod(F.xxhash64("k.id", "k.h"), F.lit(share)) == 0).distinct().collect())  # about 20 a range
     bounds = sample[:: max(1, math.ceil(len(sample) / ranges))]
 
-    def literal(keys: list[tuple]) -> Column:
-        return F.array(*[F.struct(F.lit(a).alias("has"), F.lit(b).cast("long").alias("id"), F.lit(c).cast("long").alias("h")) for a, b, c in keys]).cast(kind)
+    def literal(value: list, kind: str) -> Column:
+        return F.from_json(F.lit(json.dumps(value)), kind)  # folded into one constant
+
+    def named(k: tuple) -> dict:
+        return dict(zip(("has", "id", "h"), k, strict=True))
 
     def upto(keys: Column, k: Column) -> Column:
         return F.size(F.filter(keys, lambda x: x <= k))
 
     # the range is the number of bounds up to the key: first by every sqrt(n)-th bound, then among those before the next
     step = max(1, math.isqrt(len(bounds)))
-    blocks = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    blocks = [list(map(named, bounds[k : k + step])) for k in range(0, len(bounds), step)] or [[]]
     rows = docs.select(key.alias("k"), F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    block = F.greatest(upto(literal([b[0] for b in blocks]), F.col("k")) - 1, F.lit(0)) if blocks else F.lit(0)
-    inner = F.element_at(F.array(*[literal(b) for b in blocks]), F.col("block") + 1) if blocks else F.array().cast(kind)
-    ranged = rows.withColumn("block", block).withColumn("range", F.greatest(F.col("block") * step + upto(inner, F.col("k")) - 1, F.lit(0)))
+    ranged = rows.withColumn("block", F.greatest(upto(literal([b[0] for b in blocks if b], kind), F.col("k")) - 1, F.lit(0)))
+    inner = F.get(literal(blocks, f"array<{kind}>"), F.col("block"))
+    ranged = ranged.withColumn("range", F.greatest(F.col("block") * step + upto(inner, F.col("k")) - 1, F.lit(0)))
     firsts = sorted((r["range"], tuple(r["k"])) for r in ranged.groupBy("range").agg(F.min("k").alias("k")).collect())  # a row per range
-    # where the first row of a range goes besides: to the range before it
-    sent = F.array(*[F.struct(*[F.lit(v) for v in key_], F.lit(firsts[k - 1][0]).alias("to")) for k, (_, key_) in enumerate(firsts)]) if firsts else F.array()
-    sent = sent.cast("array<struct<has:boolean,id:bigint,h:bigint,to:int>>")
-    starts = F.element_at(F.create_map(*[x for k, (r, _) in enumerate(firsts) for x in (F.lit(r), F.element_at(sent, k + 1))]), F.col("range")) if firsts else F.get(sent, F.lit(0))
-    again = ranged.withColumn("start", starts)
+    # by range, its first row's key and the range before it, where that row goes besides
+    starts: list[dict | None] = [None] * (len(bounds) + 1)
+    for k, (r, first) in enumerate(firsts):
+        starts[r] = named(first) | {"to": firsts[k - 1][0]}
+    again = ranged.withColumn("start", F.get(literal(starts, "array<struct<has:boolean,id:bigint,h:bigint,to:int>>"), F.col("range")))
     is_first = (F.col("start.has") == F.col("k.has")) & (F.col("start.id") == F.col("k.id")) & (F.col("start.h") == F.col("k.h"))
     here = F.struct(F.col("range"), F.lit(False).alias("after"))
     there = F.struct(F.col("start.to").alias("range"), F.lit(True).alias("after"))
