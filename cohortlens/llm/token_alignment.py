@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
 from collections.abc import Iterator
@@ -41,6 +42,16 @@ def successors(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         after = further
 
 
+def _past(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _sums(values: np.ndarray, past: np.ndarray) -> np.ndarray:
+    """Sums of ``values`` between neighbouring places of ``past``."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    return total[past[1:]] - total[past[:-1]]
+
+
 class Units:
     """Both tokenizers' tokens of units of text, their groups and links; each distinct unit is aligned once while it is kept."""
 
@@ -60,6 +71,8 @@ class Units:
             self.a_bytes[k] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        self.digits = list(map(str, range(max(len(self.a_bytes), len(self.b_bytes)))))
         self.blank = self.b.piece_to_id("▁")
         # units part at spaces and line feeds: wrong if a piece holds a line feed, or a space after something else
         self.parts = not any("\n" in p or re.search("[^▁]▁", p) for p in pieces)
@@ -81,38 +94,38 @@ class Units:
         if not units:
             return
         ids_a, ids_b = [e.ids for e in self.a.encode_batch_fast(units, add_special_tokens=False)], self._encode_b(units)
-        rows, good = np.zeros((len(units), 4), np.int64), []
-        for k, u in enumerate(units):
-            want = u.encode()
-            if b"".join(map(self.a_bytes.__getitem__, ids_a[k])) == want == b"".join(map(self.b_bytes.__getitem__, ids_b[k])):
-                good.append(k)
-        flat_a, flat_b = [t for k in good for t in ids_a[k]], [t for k in good for t in ids_b[k]]
-        ends_a = np.cumsum([len(self.a_bytes[t]) for t in flat_a], dtype=np.int64)
-        ends_b = np.cumsum([len(self.b_bytes[t]) for t in flat_b], dtype=np.int64)
-        groups, links, counts = [""] * len(units), [], np.zeros(len(units), np.int64)
-        if good:
-            n = len(flat_a)
-            last = successors(ends_a, ends_b) - n
-            label_a, label_b = last[:n], last[n:]
+        want = [u.encode() for u in units]
+        n_a, n_b, size = (np.fromiter(map(len, x), np.int64, len(units)) for x in (ids_a, ids_b, want))
+        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
+        good = (_sums(self.a_size[flat_a], _past(n_a)) == size) & (_sums(self.b_size[flat_b], _past(n_b)) == size)
+        flat_a, flat_b = flat_a[np.repeat(good, n_a)], flat_b[np.repeat(good, n_b)]
+        # sizes agree unit by unit, so the bytes of all units together differ if those of one do
+        whole = b"".join(itertools.compress(want, good))
+        if b"".join(map(self.a_bytes.__getitem__, flat_a.tolist())) != whole or b"".join(map(self.b_bytes.__getitem__, flat_b.tolist())) != whole:
+            good &= [b"".join(map(self.a_bytes.__getitem__, a)) == w == b"".join(map(self.b_bytes.__getitem__, b)) for a, b, w in zip(ids_a, ids_b, want, strict=True)]
+            flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(itertools.compress(x, good)), np.int64, int(n[good].sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
+        groups, links, counts = [""] * len(units), np.zeros(0, np.int64), np.zeros(len(units), np.int64)
+        if len(flat_b):
+            last = successors(np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])) - len(flat_a)
+            label_a, label_b = last[: len(flat_a)], last[len(flat_a) :]
             terminal = np.flatnonzero(label_b == np.arange(len(flat_b)))
-            until_a, until_b = np.searchsorted(label_a, terminal, "right").tolist(), (terminal + 1).tolist()
-            sizes_b = np.cumsum([len(ids_b[k]) for k in good])
-            until_unit = np.searchsorted(terminal, sizes_b - 1, "right").tolist()
-            g = a = b = 0
-            for k, stop in zip(good, until_unit, strict=True):
-                texts = []
-                for at in range(g, stop):
-                    texts.append(f"{','.join(map(str, flat_a[a : until_a[at]]))}|{','.join(map(str, flat_b[b : until_b[at]]))}")
-                    a, b = until_a[at], until_b[at]
-                    links.append(flat_a[a - 1] * len(self.b_bytes) + flat_b[b - 1])
-                rows[k] = len(ids_a[k]), len(ids_b[k]), stop - g, 1
-                groups[k], counts[k], g = ";".join(texts), stop - g, stop
+            until_a, until_b = np.searchsorted(label_a, terminal, "right"), terminal + 1
+            links = flat_a[until_a - 1] * len(self.b_bytes) + flat_b[until_b - 1]
+            text_a, text_b = list(map(self.digits.__getitem__, flat_a.tolist())), list(map(self.digits.__getitem__, flat_b.tolist()))
+            at_a, at_b = [0, *until_a.tolist()], [0, *until_b.tolist()]
+            texts = [f"{','.join(text_a[a:b])}|{','.join(text_b[c:d])}" for a, b, c, d in zip(at_a, at_a[1:], at_b, at_b[1:], strict=False)]
+            until_unit = np.searchsorted(terminal, np.cumsum(n_b[good]) - 1, "right")
+            counts[good] = np.diff(until_unit, prepend=0)
+            stops = until_unit.tolist()
+            for k, a, b in zip(np.flatnonzero(good).tolist(), [0, *stops], stops, strict=False):
+                groups[k] = texts[a] if b == a + 1 else ";".join(texts[a:b])
+        rows = np.stack((n_a, n_b, counts, np.ones(len(units), np.int64)), axis=1) * good[:, None]
         self.index.update(zip(units, range(len(self.groups), len(self.groups) + len(units)), strict=True))
         self.chars += sum(map(len, units)) + 100 * len(units)
         self.groups += groups
         self.sizes = np.concatenate((self.sizes, rows))
         self.first_link = np.concatenate((self.first_link, self.first_link[-1] + np.cumsum(counts)))
-        self.links = np.concatenate((self.links, np.array(links, np.int64)))
+        self.links = np.concatenate((self.links, links))
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(the places of all texts' units, where each text's units start and the last ones end)."""
@@ -127,12 +140,6 @@ class Units:
 _units: dict[tuple[str, str], Units] = {}
 
 
-def _sums(values: np.ndarray, past: np.ndarray) -> np.ndarray:
-    """Sums of ``values`` between neighbouring places of ``past``."""
-    total = np.concatenate(([0], np.cumsum(values)))
-    return total[past[1:]] - total[past[:-1]]
-
-
 def aligned(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One stored row per document: how many tokens of A and B, groups and links it has, the groups' digest, and its linked pairs.
 
