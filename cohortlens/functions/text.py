@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 WS = "[\\s\\x1c-\\x1f]"
 
 
+def _lstrip(c: Column) -> Column:
+    return F.regexp_replace(c, f"(?U)^{WS}+", "")
+
+
+def _rstrip(c: Column) -> Column:
+    return F.regexp_replace(c, f"(?U)(?<!{WS}){WS}+\\z", "")
+
+
 def strip(c: Column) -> Column:
     """Without white space at the ends."""
-    return F.regexp_replace(c, f"(?U)^{WS}+|{WS}+$", "")
+    return F.regexp_replace(c, f"(?U)^{WS}+|(?<!{WS}){WS}+\\z", "")
 
 
 def _latin() -> tuple[str, str, dict[str, str]]:
@@ -95,6 +103,50 @@ def remove_keyword(text: Column, keyword: Column) -> Column:
 
 # ---- context windows ------------------------------------------------------------------------------------
 
+#: White space that parts no words, and what else is none.
+_BLANK, _SOLID = "[\\s\\x1c-\\x1f&&[^ ]]", "[^\\s\\x1c-\\x1f]"
+
+
+def word_units(text: Column) -> Column:
+    """The words of a text that aren't blank, each with the blank words after it; only the ASCII space parts words.
+
+    Joined by spaces they are the text without its leading white space.
+    """
+    return F.regexp_extract_all(text, F.lit(f"(?U)(?<!{_BLANK}){_BLANK}*{_SOLID}[^ ]*{WS}*(?= |\\z)"), F.lit(0))
+
+
+def units_begun(c: Column) -> Column:
+    """How many units begin behind a space of a piece of text."""
+    return F.regexp_count(c, F.lit(f"(?U) {_BLANK}*{_SOLID}"))
+
+
+def ends_blank(c: Column) -> Column:
+    """Whether only white space stands behind the last space of a piece of text."""
+    return c.rlike(f"(?U) {_BLANK}*\\z")
+
+
+def unit_window(units: Column, length: Column, first: Column, last: Column, end: Column, size: int) -> Column:
+    """:func:`context_window` without cleaning, of a hit that ends at ``end`` and lies in the units ``first`` to ``last`` (from 0) of a text of ``length`` characters.
+
+    Every unit holds a word at least, so ``size`` of them on either side are enough, whatever blank words they bring.
+    """
+    n, low = F.size(units), F.greatest(first - size, F.lit(0))
+    before = _rstrip(F.array_join(F.slice(units, low + 1, first - low), " "))
+    before = F.split(F.when(low == 0, _lstrip(before)).otherwise(before), " ", -1)
+    behind = _lstrip(F.array_join(F.slice(units, last + 2, F.lit(size)), " "))
+    behind = F.split(F.when(last + 1 + size >= n, _rstrip(behind)).otherwise(behind), " ", -1)
+
+    def joined(word: Column) -> Column:
+        closed = (last + 1 == n) & (F.locate(" ", F.get(units, last)) == 0)  # the text ends with this word
+        cut = closed & (end < length)
+        inside = F.concat(F.array_join(F.slice(units, first + 1, last - first), " "), F.when(last > first, " ").otherwise(""), F.when(cut, F.substring(word, F.lit(1), F.length(word) - 1)).otherwise(word))
+        right = F.when(cut, F.array(strip(F.right(word, F.lit(1))))).when(last + 1 == n, F.array(F.lit(""))).otherwise(F.slice(behind, 1, size))
+        left = F.when(first == 0, F.array(F.lit(""))).otherwise(_last(before, size))
+        return F.array_join(F.concat(left, _pieces(inside), right), " ")
+
+    return _let(F.substring_index(F.get(units, last), " ", 1), joined)
+
+
 _NEAR = 480
 
 

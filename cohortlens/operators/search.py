@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortlens.functions.text import _let, clean_text, context_window, negated_keyword, normalize_text
+from cohortlens.functions.text import _let, clean_text, context_window, ends_blank, negated_keyword, normalize_text, unit_window, units_begun, word_units
 from cohortlens.operators.guards import require_columns
 from cohortlens.operators.lexicon import CLINICAL, Lexicon, check, lexicon_df, pattern
 
@@ -28,24 +28,43 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
 
 
-def _category_spans(text: Column, category: str, keywords: list[str]) -> Column:
-    """The hits of one category; see :func:`spans`."""
+def _category_spans(text: Column, category: str, keywords: list[str], units: Column | None = None, size: int = 0) -> Column:
+    """The hits of one category, with their windows if there are ``units``; see :func:`spans` and :func:`windows`."""
     hits = F.regexp_extract_all(text, F.lit(pattern(keywords)), F.lit(0))
-    pairs = F.zip_with(F.slice(F.split(text, pattern(keywords), -1), 1, F.size(hits)), hits, lambda gap, hit: F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"), F.lower(hit).alias("keyword")))
+    gaps = F.slice(F.split(text, pattern(keywords), -1), 1, F.size(hits))
+
+    def pair(gap: Column, hit: Column) -> Column:
+        begun = [] if units is None else [(units_begun(gap) + ends_blank(gap).cast("int")).alias("before"), units_begun(hit).alias("inside")]
+        return F.struct(F.length(gap).alias("gap"), F.length(hit).alias("hit"), F.lower(hit).alias("keyword"), *begun)
+
+    if units is not None:  # the text's first word begins behind a space too
+        gaps = F.transform(gaps, lambda gap, i: F.when(i == 0, F.concat(F.lit(" "), gap)).otherwise(gap))
+    pairs = F.zip_with(gaps, hits, pair)
+    shift = 0 if units is None else 1
     width = lambda block: F.transform(block, lambda x: x["gap"] + x["hit"])
+    words = lambda block: F.transform(block, lambda x: x["before"] + x["inside"])
 
     def placed(block: Column, base: Column) -> Column:
         def hit(x: Column, before: Column) -> Column:
-            start = base + before + x["gap"]
-            return F.struct(F.lit(category).alias("keyword_category"), start.alias("start"), (start + x["hit"]).alias("end"), x["keyword"].alias("keyword"))
+            start = base["at"] + before["at"] + x["gap"] - shift
+            out = [F.lit(category).alias("keyword_category"), start.alias("start"), (start + x["hit"]).alias("end"), x["keyword"].alias("keyword")]
+            if units is not None:
+                first = base["word"] + before["word"] + x["before"] - 1
+                out.append(unit_window(units, F.length(text), first, first + x["inside"], start + x["hit"], size).alias("window"))
+            return F.struct(*out)
+
+        return F.zip_with(block, sums(width(block), words(block)), hit)
 
-        return F.zip_with(block, _running(width(block)), hit)
+    def sums(widths: Column, counts: Column) -> Column:
+        if units is None:
+            return F.transform(_running(widths), lambda at: F.struct(at.alias("at")))
+        return F.zip_with(_running(widths), _running(counts), lambda at, word: F.struct(at.alias("at"), word.alias("word")))
 
     def in_blocks(pairs: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(_BLOCK)), lambda k: F.slice(pairs, k, F.lit(_BLOCK)))
 
     def over_blocks(blocks: Column) -> Column:
-        return F.flatten(F.zip_with(blocks, _running(F.transform(blocks, lambda x: _sum(width(x)))), placed))
+        return F.flatten(F.zip_with(blocks, sums(F.transform(blocks, lambda x: _sum(width(x))), F.transform(blocks, lambda x: _sum(words(x))) if units is not None else F.lit(None)), placed))
 
     return _let(pairs, lambda x: _let(in_blocks(x), over_blocks))
 
@@ -59,6 +78,23 @@ def spans(text: Column, lexicon: Lexicon) -> Column:
     return F.concat(*found) if found else F.array().cast(HIT)
 
 
+def windows(text: Column, lexicon: Lexicon, size: int) -> Column:
+    """:func:`spans` with each hit's window, not cleaned yet.
+
+    The text is cut into words once. Which word a hit is in follows from how many begin in the texts before it, a running sum like that of the offsets;
+    a window is a slice of the words, so the time grows with the text and the hits and not with their product.
+    """
+    if size < 1:
+        raise ValueError("the window holds at least one word")
+    kind = HIT.replace("keyword:string", "keyword:string,window:string")
+
+    def each(units: Column) -> Column:
+        found = [F.coalesce(_category_spans(text, category, keywords, units, size), F.array().cast(kind)) for category, keywords in check(lexicon).items()]
+        return F.concat(*found) if found else F.array().cast(kind)
+
+    return _let(word_units(text), each)
+
+
 def find_hits(df: DataFrame, lexicon: Lexicon = CLINICAL, text_col: str = "text") -> DataFrame:
     """``df`` with one row per hit: keyword_category, start, end and keyword added. No shuffle."""
     hit = df.withColumn("hit", F.explode(spans(F.col(text_col), lexicon)))
@@ -68,8 +104,8 @@ def find_hits(df: DataFrame, lexicon: Lexicon = CLINICAL, text_col: str = "text"
 def search(df: DataFrame, lexicon: Lexicon = CLINICAL, context_size: int = 10, id_col: str = "document_id", text_col: str = "text") -> DataFrame:
     """document_id, keyword_category, start, end, keyword and the cleaned window of every hit; offsets refer to the raw text."""
     require_columns(df, id_col, text_col)
-    hits = find_hits(df.select(F.col(id_col).alias("document_id"), F.col(text_col).alias("text")), lexicon)
-    return hits.select("document_id", "keyword_category", "start", "end", "keyword", context_window(F.col("text"), F.col("start"), F.col("end"), context_size).alias("text"))
+    hits = df.select(F.col(id_col).alias("document_id"), F.explode(windows(F.col(text_col), lexicon, context_size)).alias("hit"))
+    return hits.select("document_id", "hit.keyword_category", "hit.start", "hit.end", "hit.keyword", normalize_text(clean_text(F.col("hit.window"))).alias("text"))
 
 
 def format_for_model(found: DataFrame, keyword_category: str) -> DataFrame:
@@ -89,8 +125,11 @@ def search_corpus(notes: DataFrame, lexicon: Lexicon = CLINICAL, window: int = 1
         notes = notes.join(only.select(id_col).distinct(), id_col, "left_semi")
     text = F.col(text_col)
     notes = notes.withColumn(text_col, normalize_text(clean_text(text))) if offsets_on == "clean" else notes
-    hits = find_hits(notes, lexicon, text_col)
-    return hits.withColumn(text_col, context_window(F.col(text_col), F.col("start"), F.col("end"), window, clean=offsets_on == "raw"))
+    others = [c for c in notes.columns if c != text_col]
+    hits = notes.select(*others, F.explode(windows(F.col(text_col), lexicon, window)).alias("__hit"))
+    found = F.col("__hit.window")
+    found = (normalize_text(clean_text(found)) if offsets_on == "raw" else found).alias(text_col)
+    return hits.select(*[found if c == text_col else c for c in notes.columns], "__hit.keyword_category", "__hit.start", "__hit.end", "__hit.keyword")
 
 
 def coverage(df: DataFrame, lexicon: Lexicon = CLINICAL, text_col: str = "text") -> DataFrame:

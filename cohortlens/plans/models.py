@@ -405,7 +405,7 @@ SQL = {
     "confusion_to_scores": f"with {_PRED}, side as (select lang, y as label, 1 as t, 0 as q, (y = p)::int as h from pred union all select lang, p, 0, 1, 0 from pred), cls as (select lang, label, sum(t) as t, sum(q) as q, sum(h) as h from side group by all having sum(t) > 0) select lang, round(sum(h) / sum(t), 6)::double as accuracy, round(avg(case when q > 0 then h / q else 0 end), 6)::double as precision, round(avg(h / t), 6)::double as recall, round(avg(2 * h / (t + q)), 6)::double as f1 from cls group by 1",
     "summary_pivot": f"with {_FOLDS} select split, metric, identifier, round(avg(score) filter (keyword_category = 'de'), 6) as de_mean, round(stddev_samp(score) filter (keyword_category = 'de'), 6) as de_std, round(avg(score) filter (keyword_category = 'en'), 6) as en_mean, round(stddev_samp(score) filter (keyword_category = 'en'), 6) as en_std, round(avg(score) filter (keyword_category = 'es'), 6) as es_mean, round(stddev_samp(score) filter (keyword_category = 'es'), 6) as es_std, round(avg(score) filter (keyword_category = 'fr'), 6) as fr_mean, round(stddev_samp(score) filter (keyword_category = 'fr'), 6) as fr_std from fold_scores group by 1, 2, 3",
     "summary_display": f"with {_FOLDS} select split, metric, identifier, round(avg(score) filter (keyword_category = 'de'), 6) as de_mean, round(stddev_samp(score) filter (keyword_category = 'de'), 6) as de_std, round(avg(score) filter (keyword_category = 'en'), 6) as en_mean, round(stddev_samp(score) filter (keyword_category = 'en'), 6) as en_std, round(avg(score) filter (keyword_category = 'es'), 6) as es_mean, round(stddev_samp(score) filter (keyword_category = 'es'), 6) as es_std, round(avg(score) filter (keyword_category = 'fr'), 6) as fr_mean, round(stddev_samp(score) filter (keyword_category = 'fr'), 6) as fr_std from fold_scores group by 1, 2, 3",
-    "paired_ttest": f"with {_FOLDS}, x as (select a.metric, a.keyword_category, a.identifier as a, b.identifier as b, avg(a.score - b.score) as m, stddev_samp(a.score - b.score) as sd, count(*) as n from fold_scores a join fold_scores b using (metric, keyword_category, fold) group by all), y as (select *, atan(abs(m * sqrt(n) / nullif(sd, 0)) / 2) as th from x) select 'dev' as split, metric, keyword_category, a, b, round(case when a = b then 1.0 when sd = 0 then (m = 0)::int else 1 - sin(th) * (1 + 0.5 * cos(th) * cos(th)) end, 6)::double as p_value from y",
+    "paired_ttest": f"with {_FOLDS}, x as (select a.metric, a.keyword_category, a.identifier as a, b.identifier as b, avg(a.score - b.score) as m, stddev_samp(a.score - b.score) as sd, count(*) as n from fold_scores a join fold_scores b using (metric, keyword_category, fold) group by all), y as (select *, atan(abs(m * sqrt(n) / nullif(sd, 0)) / sqrt(n - 1)) as th from x) select 'dev' as split, metric, keyword_category, a, b, round(case when a = b then 1.0 when sd = 0 then (m = 0)::int when n = 5 then 1 - sin(th) * (1 + 0.5 * cos(th) * cos(th)) when n = 4 then 1 - 2 / pi() * (th + sin(th) * cos(th)) when n = 3 then 1 - sin(th) when n = 2 then 1 - 2 * th / pi() end, 6)::double as p_value from y",
     "class_scores": f"with {_PRED}, two as (select fold, lang as identifier, y as class, avg((y = p)::int) as score, count(*) as n from pred group by all) select 'recall' as metric, class::varchar as class, identifier, round(avg(score), 6) as mean, round(coalesce(stddev_samp(score), 0), 6) as std, round(coalesce(stddev_samp(score), 0) / sqrt(count(*)), 6) as std_error, sum(n)::bigint as support from two group by class, identifier",
     "interaction_tfidf": f"with {LABELLED}, {_COUNTS}, i as (select row_id, '(lang=' || lang || ')x(tokens=' || feature || ')' as feature, value from counts join t on doc_id = row_id), w as (select feature, ln((1.0 + (select count(*) from t where doc_id % 5 > 0)) / (1.0 + count(distinct row_id))) + 1 as idf from i where row_id % 5 > 0 group by 1), x as (select row_id, feature, value * idf as v from i join w using (feature)) select row_id, 'lang x tokens' as component, feature, round(v / sqrt(sum(v * v) over (partition by row_id)), 6) as value from x",
     "task_folds": f"with {LABELLED}, r as (select doc_id, lang as keyword_category, case when doc_id % 10 < 7 then 'train' when doc_id % 10 < 9 then 'dev' else 'test' end as split from labelled), k as (select *, (row_number() over (partition by keyword_category, split order by {draw_sql('doc_id')}, doc_id) - 1) % 3 as f from r), n as (select unnest([0, 1, 2]) as run) select doc_id, keyword_category, split, run::int as run from k, n where keyword_category in ('en', 'fr') and (split = 'test' or (split = 'train' and f <> run) or (split = 'dev' and f = run))",

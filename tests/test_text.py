@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -59,6 +60,26 @@ def test_spans_and_windows_equal_a_plain_scan(spark, texts):
             for m in re.finditer("|".join(rf"\b({re.escape(w)})\b" for w in words), t, re.I):
                 want.add((i, c, m.start(), m.end(), m[0].lower(), python_window(t, m.start(), m.end(), 2)))
     assert {(r.document_id, r.keyword_category, r.start, r.end, r.keyword, r.w) for r in hits} == want
+    found = rows.select("document_id", F.explode(se.windows(F.col("text"), lexicon, 2)).alias("h")).select("document_id", "h.*").collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(hits)
+
+
+def test_windows_among_blank_words_and_at_the_ends(spark):
+    draw, words = random.Random(5), ["the", "of it", "and", "foo", "x-the", "the.", "\nthe", "and\n", "", "", "\t", "\n", " ", "bar\nand", "the-and", "z", "\u2003", "\x1c", "and, the", "q."]
+    texts = [" ".join(draw.choice(words) for _ in range(draw.randint(0, 30))) for _ in range(600)] + [" " * 100_000 + "and", "\n" * 100_000 + " and " + "\n" * 100_000, "some and others " * 20_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "document_id long, text string")
+    for size in (1, 4):
+        got = rows.select("document_id", F.explode(se.windows(F.col("text"), {"a": ["the", "of it"], "b": ["and"]}, size)).alias("h")).select("document_id", "h.start", "h.end", "h.window").collect()
+        near = lambda t, a, b: python_window(t, a, b, size)
+        for d, a, b, w in got:
+            t, low = texts[d], 0
+            if d == 602:  # a long text: what lies far off can't change its windows
+                low = max(0, a // 16 * 16 - 1600)
+                t = t[low : a + 1600]
+            assert w == near(t, a - low, b - low)
+        assert len([1 for r in got if r[0] == 602]) == 20_000
+    with pytest.raises(ValueError):
+        se.windows(F.col("text"), {"a": ["the"]}, 0)
 
 
 def test_nulls_and_no_hits_give_no_rows(spark):
