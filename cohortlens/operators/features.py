@@ -8,7 +8,6 @@ from functools import reduce
 
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,15 +88,6 @@ def same_features(learned: DataFrame, found: DataFrame) -> DataFrame:
     return found
 
 
-def to_vectors(rows: DataFrame, row_id: str, features: DataFrame, index: DataFrame, size: int) -> DataFrame:
-    """``rows`` with a sparse vector column features; rows without any get an empty one."""
-    make = F.udf(lambda ks, vs: Vectors.sparse(size, sorted(zip(ks, vs, strict=True))), VectorUDT())
-    pairs = features.join(index, ["component", "feature"]).groupBy("row_id", "index").agg(F.sum("value").alias("value"))
-    held = pairs.groupBy("row_id").agg(F.collect_list(F.struct("index", "value")).alias("__p")).withColumnRenamed("row_id", row_id)
-    p = F.coalesce("__p", F.array().cast("array<struct<index:int,value:double>>"))
-    return rows.join(held, row_id, "left").withColumn("features", make(F.transform(p, lambda x: x["index"]), F.transform(p, lambda x: x["value"]))).drop("__p")
-
-
 def standardize(df: DataFrame, cols: Sequence[str], train: Column | None = None, center: bool = True, scale: bool = True) -> DataFrame:
     """Columns less the train rows' mean, over their population deviation; constant columns are divided by 1."""
     fit = df if train is None else df.where(train)

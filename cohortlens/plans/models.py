@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,10 +15,11 @@ from cohortlens.operators import features as ft
 from cohortlens.operators import metrics as mt
 from cohortlens.operators import models as md
 from cohortlens.operators import splits as sp
+from cohortlens.operators import stages as sg
 from cohortlens.operators.splits import k_folds
 from cohortlens.operators.tokens import vocabulary
 from cohortlens.plans.common import LABELLED, draw, draw_sql, labelled, table
-from cohortlens.sources.shared import stored
+from cohortlens.sources.shared import shared_dir, stored
 
 
 def _tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -321,18 +325,16 @@ def batch_embedding(spark: SparkSession, d: str) -> DataFrame:
 
 
 def apply_predictions(spark: SparkSession, d: str) -> DataFrame:
-    """The apply job on all documents: the features and model of four fifths of the labelled ones, probabilities and the likeliest label; y is null without a label."""
+    """The apply job on all documents: features and model of four fifths of the labelled ones are saved and loaded; probabilities and the likeliest label; y is null without a label."""
     labels = table(spark, d, "labels").select("doc_id", (2 * F.col("quality") + F.col("toxic")).cast("int").alias("y"))
-    t = table(spark, d, "documents").join(labels, "doc_id", "left").select("doc_id", "y", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
-    is_train = "y is not null and doc_id % 5 > 0"
-    train = t.where(is_train)
-    v = vocabulary(train, rm_top=0, min_freq=20, stopwords=["the"])
-    counts = stored(ft.count_features(t, "doc_id", "tokens", v), "counts")
-    learned = counts.join(train.select(F.col("doc_id").alias("row_id")).distinct(), "row_id", "left_semi")
-    index = stored(ft.feature_index(learned, ["tokens"]), "index")
-    rows = stored(ft.to_vectors(t.select("doc_id", "y"), "doc_id", ft.tfidf(counts, ft.idf(learned, train.count())), index, index.count()).withColumn("label_idx", F.col("y").cast("double")), "vectors")
-    model = md.logistic(rows.where(is_train), 1.0, max_iter=50)
-    return md.predict_vectors(model, rows, list(range(model.numClasses))).drop("features")
+    docs, tokens = table(spark, d, "documents").select("doc_id", "text"), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    train = stored(docs.join(labels.where("doc_id % 5 > 0"), "doc_id").select("doc_id", tokens.alias("tokens"), F.col("y").cast("double").alias("label_idx")), "train")
+    stage = sg.FeatureStage(components=json.dumps([{"name": "tokens", "column": "tokens", "kind": "tfidf", "rm_top": 0, "min_freq": 20, "stopwords": ["the"]}]), representation=["tokens"])
+    model = sg.fit_task(train, stage)
+    path = f"{shared_dir(spark)}/task-{uuid.uuid4().hex}"
+    sg.save_task(spark, model, path, [str(k) for k in range(model.stages[-1].numClasses)])
+    scored = sg.apply_saved(docs.select("doc_id", tokens.alias("tokens")), path, as_columns=False).drop("tokens")  # texts stay where they are
+    return scored.join(labels, "doc_id", "left").select("doc_id", "y", F.col("y").cast("double").alias("label_idx"), "probabilities", F.col("predicted_label").cast("int").alias("predicted_label"))
 
 
 def model_sweep(spark: SparkSession, d: str) -> DataFrame:
