@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.sources.shared import stored
 
-from cohortlens.functions.text import remove_keyword
+from cohortlens.functions.text import _let, remove_keyword
 
 #: A word with inner hyphens or apostrophes, or one mark.
 TOKEN = "(?U)\\w+(?:[-'’]\\w+)*|[^\\w\\s]"
@@ -117,34 +118,124 @@ def cooccurrence(df: DataFrame, tokens_col: str = "tokens", left: int = 0, right
     return df.select(F.explode(F.concat(*parts)).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
 
 
-def phrase_scores(df: DataFrame, tokens_col: str = "tokens", min_count: int = 5, threshold: float = 10.0) -> DataFrame:
-    """(a, b, n, score) of neighbouring tokens whose score, (n - min_count) * |vocabulary| / (n_a * n_b), is above the threshold."""
-    counts = token_counts(df, tokens_col)
+def _scored(counts: DataFrame, pairs: DataFrame, min_count: int, threshold: float) -> DataFrame:
+    """(a, b, n, score) of pairs above the threshold, from the counts of tokens and of pairs."""
     size = counts.count()
-    pairs = cooccurrence(df, tokens_col).where(F.col("n") > min_count)
     one = lambda c: counts.select(F.col("token").alias(c), F.col("n").alias(f"n_{c}"))
-    scored = pairs.join(one("a"), "a").join(one("b"), "b").withColumn("score", (F.col("n") - min_count) * F.lit(float(size)) / (F.col("n_a") * F.col("n_b")))
+    scored = pairs.where(F.col("n") > min_count).join(one("a"), "a").join(one("b"), "b").withColumn("score", (F.col("n") - min_count) * F.lit(float(size)) / (F.col("n_a") * F.col("n_b")))
     return scored.where(F.col("score") > threshold).select("a", "b", "n", "score")
 
 
-def merge_phrases(df: DataFrame, phrases: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
-    """(id, tokens): tokens with phrases joined by a space, greedily from the left; ids are unique, null tokens give none.
+def phrase_scores(df: DataFrame, tokens_col: str = "tokens", min_count: int = 5, threshold: float = 10.0) -> DataFrame:
+    """(a, b, n, score) of neighbouring tokens whose score, (n - min_count) * |vocabulary| / (n_a * n_b), is above the threshold."""
+    return _scored(token_counts(df, tokens_col), cooccurrence(df, tokens_col), min_count, threshold)
+
+
+#: Bits of the filter of frequent tokens, and the most characters of phrases that rows look up for themselves.
+_BITS, _IN_ROWS = 1 << 20, 8 << 20
+
+
+def _frequent(counts: DataFrame, min_count: int) -> Callable[[Column], Column]:
+    """A test that every token above ``min_count`` passes, and few others: a bit per hash, in at most _BITS / 64 numbers."""
+    h = F.pmod(F.xxhash64("token"), F.lit(_BITS)).cast("int")
+    words = [0] * (_BITS // 64)
+    for r in counts.where(F.col("n") > min_count).groupBy(F.shiftright(h, 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)))).alias("bits")).collect():
+        words[r.w] = r.bits
+    held = F.from_json(F.lit(json.dumps(words)), "array<bigint>")  # folded into one constant
+
+    def passes(token: Column) -> Column:
+        at = F.pmod(F.xxhash64(token), F.lit(_BITS)).cast("int")
+        return F.getbit(F.get(held, F.shiftright(at, 6)), at.bitwiseAND(F.lit(63))) == 1
+
+    return passes
+
+
+def _frequent_pairs(df: DataFrame, tokens_col: str, counts: DataFrame, min_count: int) -> DataFrame:
+    """:func:`cooccurrence` of the next token, without most pairs that hold a token of ``min_count`` or fewer: those are no phrases."""
+    passes = _frequent(counts, min_count)
+    marked = F.transform(tokens_col, lambda t: F.when(passes(t), t))
+    pairs = _let(marked, lambda t: F.filter(F.arrays_zip(t.alias("a"), F.slice(t, F.lit(2), F.greatest(F.size(t) - 1, F.lit(0))).alias("b")), lambda p: p["a"].isNotNull() & p["b"].isNotNull()))
+    return df.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
+
 
-    Only the places where a phrase starts leave their row. In a run of such places every other one, from the first, is where the greedy scan joins.
+def _phrase_places(tokens: Column, buckets: Column, n_buckets: int) -> Column:
+    """Where the greedy scan from the left joins two tokens: every other place of a run of places where a phrase starts, from the first.
+
+    ``buckets`` holds the phrases by the hash of their tokens, so a place is looked up among one or two of them. The scan goes by blocks of places, as an array grows by copying.
     """
-    t, n = F.col(tokens_col), F.size(tokens_col)
-    pairs = F.arrays_zip(t.alias("a"), F.slice(t, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("b"))
+    key = lambda i: F.concat_ws("\x1f", F.get(tokens, i), F.get(tokens, i + 1))
+    known = lambda k: F.array_contains(F.get(buckets, F.pmod(F.xxhash64(k), F.lit(n_buckets)).cast("int")), k)
+    held = F.filter(F.transform(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 2, F.lit(0))), lambda i: F.when(_let(key(i), known), i)), lambda i: i.isNotNull())
+
+    def joined(places: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(places), F.lit(1)), F.lit(64)), lambda k: F.slice(places, k, F.lit(64)))
+
+        def one(last: Column, block: Column) -> Column:
+            zero = F.struct(last.alias("last"), F.array().cast("array<int>").alias("out"))
+            return F.aggregate(block, zero, lambda acc, i: F.when(i == acc["last"] + 1, acc).otherwise(F.struct(i.alias("last"), F.concat(acc["out"], F.array(i)).alias("out"))))
+
+        zero = F.struct(F.lit(-2).alias("last"), F.array().cast("array<array<int>>").alias("out"))
+        step = lambda acc, block: _let(one(acc["last"], block), lambda x: F.struct(x["last"].alias("last"), F.concat(acc["out"], F.array(x["out"])).alias("out")))
+        return F.aggregate(blocks, zero, step, lambda acc: F.flatten(acc["out"]))
+
+    return F.when(F.size(tokens) > 1, _let(held, joined)).otherwise(F.array().cast("array<int>"))
+
+
+def _merged(t: Column, at: Column) -> Column:
+    """Tokens with those at each place of ``at`` and after it joined by a space."""
+    n = F.size(t)
+    upto = F.concat(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(n))
+    joined = F.zip_with(at, upto, lambda i, j: F.concat(F.array(F.concat_ws(" ", F.get(t, i), F.get(t, i + 1))), F.slice(t, i + 3, F.greatest(j - i - 2, F.lit(0)))))
+    return F.when(F.size(at) == 0, t).otherwise(F.concat(F.slice(t, F.lit(1), F.get(at, F.lit(0))), F.flatten(joined)))
+
+
+def _placed(df: DataFrame, phrases: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
+    """(id, tokens, __at): where phrases are joined. Rows look phrases up in a constant of checked size; more of them are joined with the places."""
+    t = F.coalesce(F.col(tokens_col), F.array().cast("array<string>")).alias(tokens_col)
+    size = phrases.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("a") + F.length("b")), F.lit(0)).alias("chars")).first()
+    if size.chars + 8 * size.n <= _IN_ROWS:
+        m = max(1, size.n)
+        buckets = [[] for _ in range(m)]
+        key = F.concat_ws("\x1f", "a", "b")
+        for r in phrases.select(key.alias("k"), F.pmod(F.xxhash64(key), F.lit(m)).cast("int").alias("h")).collect():  # of checked size
+            buckets[r.h].append(r.k)
+        held = F.from_json(F.lit(json.dumps(buckets)), "array<array<string>>")
+        return df.select(id_col, t).withColumn("__at", _phrase_places(F.col(tokens_col), held, m))
+    n = F.size(tokens_col)
+    pairs = F.arrays_zip(F.col(tokens_col).alias("a"), F.slice(tokens_col, F.lit(2), F.greatest(n - 1, F.lit(0))).alias("b"))
     places = df.select(id_col, F.posexplode(pairs).alias("pos", "pair")).select(id_col, "pos", "pair.a", "pair.b")
     hits = places.join(phrases.select("a", "b"), ["a", "b"], "left_semi").select(id_col, "pos")
     row = Window.partitionBy(id_col).orderBy("pos")
     nth = F.row_number().over(Window.partitionBy(id_col, "run").orderBy("pos"))
     starts = hits.withColumn("run", F.col("pos") - F.row_number().over(row)).withColumn("nth", nth).where("nth % 2 = 1")
     starts = starts.groupBy(id_col).agg(F.array_sort(F.collect_list("pos")).alias("__at"))
-    at = F.col("__at")
-    upto = F.concat(F.slice(at, F.lit(2), F.size(at) - 1), F.array(n))
-    joined = F.zip_with(at, upto, lambda i, j: F.concat(F.array(F.concat_ws(" ", F.get(t, i), F.get(t, i + 1))), F.slice(t, i + 3, j - i - 2)))
-    merged = F.when(at.isNull(), t).otherwise(F.concat(F.slice(t, F.lit(1), F.get(at, F.lit(0))), F.flatten(joined)))
-    return df.select(id_col, tokens_col).join(starts, id_col, "left").select(id_col, F.coalesce(merged, F.array().cast("array<string>")).alias(tokens_col))
+    return df.select(id_col, t).join(starts, id_col, "left").withColumn("__at", F.coalesce("__at", F.array().cast("array<int>")))
+
+
+def merge_phrases(df: DataFrame, phrases: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
+    """(id, tokens): tokens with phrases joined by a space, greedily from the left; null tokens give none.
+
+    A map over rows while the phrases take up to 8 MB; beyond that the places where phrases start are joined with them, and ids have to be unique.
+    """
+    return _placed(df, phrases, id_col, tokens_col).select(id_col, _merged(F.col(tokens_col), F.col("__at")).alias(tokens_col))
+
+
+def _changes(placed: DataFrame, tokens_col: str) -> DataFrame:
+    """(a, b, n): what joining at the places of ``__at`` adds to the counts of pairs, and with b null to those of tokens. Only neighbours of joined places change."""
+    t, at = F.col(tokens_col), F.col("__at")
+
+    def pairs(x: Column, near: Column, sign: int) -> Column:
+        inside = F.filter(F.array_distinct(near), lambda p: (p >= 0) & (p < F.size(x) - 1))
+        return F.transform(inside, lambda p: F.struct(F.get(x, p).alias("a"), F.get(x, p + 1).alias("b"), F.lit(sign).alias("n")))
+
+    def alone(token: Callable[[Column], Column], sign: int) -> Column:
+        return F.transform(at, lambda i: F.struct(token(i).alias("a"), F.lit(None).cast("string").alias("b"), F.lit(sign).alias("n")))
+
+    gone = F.flatten(F.transform(at, lambda i: F.array(i - 1, i, i + 1)))
+    come = F.flatten(F.transform(at, lambda i, k: F.array(i - k - 1, i - k)))
+    single = [alone(lambda i: F.get(t, i), -1), alone(lambda i: F.get(t, i + 1), -1), alone(lambda i: F.concat_ws(" ", F.get(t, i), F.get(t, i + 1)), 1)]
+    every = _let(_merged(t, at), lambda x: F.concat(pairs(t, gone, -1), pairs(x, come, 1), *single))
+    return placed.where(F.size("__at") > 0).select(F.explode(every).alias("c")).groupBy("c.a", "c.b").agg(F.sum("c.n").cast("long").alias("n")).where("n != 0")
 
 
 class PhraseLearner:
@@ -154,14 +245,27 @@ class PhraseLearner:
         self.passes, self.min_count, self.threshold, self.rounds = passes, min_count, threshold, []
 
     def fit_transform(self, df: DataFrame, id_col: str, tokens_col: str = "tokens") -> DataFrame:
-        """Learns on ``df`` and returns (id, tokens); each round's phrases and the tokens that it reads are stored in the shared folder."""
+        """Learns on ``df`` and returns (id, tokens); the tokens, and each round's counts and phrases, are stored in the shared folder.
+
+        Only the first round counts the corpus; each later one adds what joining changed. Pairs of ``min_count`` or fewer are held only if a phrase is part
+        of them: no others can become more.
+        """
         self.rounds = []
-        tokens = df.select(id_col, tokens_col)
-        for _ in range(self.passes):
-            tokens = stored(tokens, "tokens")
-            found = stored(phrase_scores(tokens, tokens_col, self.min_count, self.threshold), "phrases")
+        if not self.passes:
+            return df.select(id_col, tokens_col)
+        tokens = stored(df.select(id_col, tokens_col), "tokens")
+        counts = stored(token_counts(tokens, tokens_col), "counts")
+        live = (F.col("n") > self.min_count) | F.contains("a", F.lit(" ")) | F.contains("b", F.lit(" "))
+        pairs = stored(_frequent_pairs(tokens, tokens_col, counts, self.min_count).where(live), "pairs")
+        for k in range(self.passes):
+            found = stored(_scored(counts, pairs, self.min_count, self.threshold), "phrases")
             self.rounds.append(found)
-            tokens = merge_phrases(tokens, found, id_col, tokens_col)
+            placed = _placed(tokens, found, id_col, tokens_col)
+            tokens = placed.select(id_col, _merged(F.col(tokens_col), F.col("__at")).alias(tokens_col))
+            if k + 1 < self.passes:
+                changes = stored(_changes(placed, tokens_col), "changes")
+                counts = stored(counts.unionByName(changes.where("b is null").select(F.col("a").alias("token"), "n")).groupBy("token").agg(F.sum("n").alias("n")).where("n > 0"), "counts")
+                pairs = stored(pairs.unionByName(changes.where("b is not null")).groupBy("a", "b").agg(F.sum("n").alias("n")).where((F.col("n") > 0) & live), "pairs")
         return tokens
 
     def fit(self, df: DataFrame, id_col: str, tokens_col: str = "tokens") -> PhraseLearner:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -134,13 +135,51 @@ def greedy(tokens, pairs):
     return out
 
 
-@settings(max_examples=10, deadline=None)
+@settings(max_examples=4, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), max_size=12), min_size=1, max_size=12))
 def test_phrase_merge_equals_the_greedy_scan(spark, lists):
     pairs = {("a", "b"), ("b", "b"), ("b", "a")}
     df = spark.createDataFrame(list(enumerate(lists)), "id int, tokens array<string>")
-    got = {r.id: r.tokens for r in tk.merge_phrases(df, spark.createDataFrame(list(pairs), "a string, b string"), "id").collect()}
-    assert got == {i: greedy(t, pairs) for i, t in enumerate(lists)}
+    phrases = spark.createDataFrame(list(pairs), "a string, b string")
+    for room in (tk._IN_ROWS, 0):  # looked up in rows, and joined
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(tk, "_IN_ROWS", room)
+            got = {r.id: r.tokens for r in tk.merge_phrases(df, phrases, "id").collect()}
+        assert got == {i: greedy(t, pairs) for i, t in enumerate(lists)}
+
+
+def test_long_rows_and_null_tokens_are_merged(spark):
+    draw = random.Random(3)
+    lists = [[draw.choice("abbb") for _ in range(5000)], None, [], ["b"]]
+    got = {r.id: r.tokens for r in tk.merge_phrases(spark.createDataFrame(list(enumerate(lists)), "id int, tokens array<string>"), spark.createDataFrame([("b", "b"), ("a", "b")], "a string, b string"), "id").collect()}
+    assert got == {i: greedy(t or [], {("b", "b"), ("a", "b")}) for i, t in enumerate(lists)}
+
+
+def plain_rounds(lists, passes, min_count, threshold):
+    """Every round counts everything again."""
+    out = []
+    for _ in range(passes):
+        one, two = Counter(t for x in lists for t in x), Counter(p for x in lists for p in zip(x, x[1:], strict=False))
+        found = {p: (n - min_count) * len(one) / (one[p[0]] * one[p[1]]) for p, n in two.items() if n > min_count}
+        found = {p: s for p, s in found.items() if s > threshold}
+        out.append(found)
+        lists = [greedy(x, found) for x in lists]
+    return out, lists
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rounds_by_changes_equal_a_full_recount(spark, seed):
+    draw = random.Random(seed)
+    words = [["new", "york", "city"], ["b", "b"], ["b"], ["heart", "attack"], ["of"], ["x"], ["y"]]
+    lists = [[t for _ in range(draw.randint(0, 30)) for t in (draw.choice(words) if draw.random() < 0.9 else [f"w{draw.randint(0, 300)}"])] for _ in range(120)]
+    learner = tk.PhraseLearner(3, 3, 0.1)
+    got = {r.id: r.tokens for r in learner.fit_transform(spark.createDataFrame(list(enumerate(lists)), "id int, tokens array<string>"), "id").collect()}
+    rounds, want = plain_rounds(lists, 3, 3, 0.1)
+    assert got == dict(enumerate(want)) and sum(map(len, rounds[1:])) > 0
+    for k, found in enumerate(rounds):
+        held = {(r.a, r.b): r.score for r in learner.rounds[k].collect()}
+        assert held.keys() == found.keys() and all(abs(held[p] - found[p]) < 1e-9 for p in held)
+
 
 
 def test_phrase_rounds_build_longer_phrases(spark):
