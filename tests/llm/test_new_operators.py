@@ -17,6 +17,7 @@ from cohortlens.llm import importance as im
 from cohortlens.llm import queries
 from cohortlens.llm import rare_features as rf
 from cohortlens.llm import token_alignment as ta
+from cohortlens.llm import token_counts
 from cohortlens.llm.common import read
 from cohortlens.llm.encoding import byte_of_letter
 
@@ -308,3 +309,16 @@ def test_long_texts(spark):
     assert len(rf.edit_likeness(long, rf.rarity(long)).collect()) == 3
     assert len(im.resample(long, long).collect()) == 3
     assert {r.doc_id: r.n_groups > 0 for r in ta.alignment(long, BYTES, PIECES).collect()} == {1: True, 2: True, 3: True}
+
+
+# ---- token counts ---------------------------------------------------------------------------------------
+
+
+def test_an_entry_held_twice_counts_once_and_texts_of_megabytes(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "some text here"), (2, "some text here"), (3, "long words of a text " * 100_000), (4, None)], "doc_id long, text string")
+    cache = f"{tmp_path}/cache"
+    once = sorted(map(tuple, token_counts.cached_counts(docs, BYTES, cache).collect()))
+    spark.read.parquet(cache).write.parquet(f"{tmp_path}/copy")
+    spark.read.parquet(f"{tmp_path}/copy").write.mode("append").parquet(cache)
+    assert sorted(map(tuple, token_counts.cached_counts(docs, BYTES, cache).collect())) == once and len(once) == 4
+    assert {r[0]: r[2] for r in once} == {i: len(Tokenizer.from_file(BYTES).encode(t or "").ids) for i, t in [(r.doc_id, r.text) for r in docs.collect()]}
