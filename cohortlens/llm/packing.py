@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import itertools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,7 +23,12 @@ def bin_cost(size: int, overhead: float = 64.0, quadratic: float = 2.0**-18) ->
     return size + overhead + quadratic * size * size
 
 
-def pack_lengths(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[list[int], list[int], list[int], list[int]]:
+def attention_cost(size: int) -> float:
+    """:func:`bin_cost` where attention counts for more: a full bin is cheapest per token at 1024, where the fixed charge and the square weigh alike."""
+    return bin_cost(size, quadratic=2.0**-14)
+
+
+def pack_lengths(lengths: Sequence[int], sizes: Sequence[int] = SIZES, price_of: Callable[[int], float] = bin_cost) -> tuple[list[int], list[int], list[int], list[int]]:
     """Best fit of ``lengths`` (longest first, none above the largest size) into bins: (bin of each; of each bin its final size, fill, and the size it opened at).
 
     An item goes to the open bin with the least room that holds it. With none, a bin opens at the size of least cost per token
@@ -31,7 +36,7 @@ def pack_lengths(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[
     ties take the smaller. Other bins may get those items, so at the end each bin shrinks to the least permitted size that holds its contents.
     """
     sizes = sorted(sizes)
-    cost = {c: bin_cost(c) for c in sizes}
+    cost = {c: price_of(c) for c in sizes}
     room: dict[int, list[int]] = {}
     open_rooms = 0  # bit r is set while a bin with room r exists
     bins, fill, opened = [], [], []
@@ -63,8 +68,8 @@ def pack_lengths(lengths: Sequence[int], sizes: Sequence[int] = SIZES) -> tuple[
     return bins, [next(c for c in sizes if c >= f) for f in fill], fill, opened
 
 
-def pack(docs: DataFrame, length: str | Column | None = None, sizes: Sequence[int] = SIZES, group_rows: int = 50_000, id_col: str = "doc_id") -> DataFrame:
-    """Each document's pieces with the bin that holds them.
+def pack(docs: DataFrame, length: str | Column | None = None, sizes: Sequence[int] = SIZES, group_rows: int = 50_000, id_col: str = "doc_id", price_of: Callable[[int], float] = attention_cost) -> DataFrame:
+    """Each document's pieces with the bin that holds them; ``price_of`` a size is what one bin of it costs.
 
     ``length`` is the number of tokens of a row; by default the words of ``text`` plus one end mark. A
     document above the largest size is cut into pieces of that size and a rest; one of length 0 or less
@@ -90,7 +95,7 @@ def pack(docs: DataFrame, length: str | Column | None = None, sizes: Sequence[in
         rows = zip(frame["doc_id"], frame["has_id"], frame["n"], frame["copies"], strict=True)
         items = [(-min(top, n - k * top), has, doc, k) for doc, has, n, copies in rows for k in range(max(1, math.ceil(n / top))) for _ in range(copies)]
         items.sort()
-        bins, caps, fill, opened = pack_lengths([-x[0] for x in items], sizes)
+        bins, caps, fill, opened = pack_lengths([-x[0] for x in items], sizes, price_of)
         at, pos, out = [0] * len(fill), [0] * len(fill), []
         for (minus, has, doc, k), b in zip(items, bins, strict=True):
             out.append((doc, has, k, k * top, -minus, (int(key[0]) << 32) + b, pos[b], at[b], caps[b], fill[b], opened[b]))

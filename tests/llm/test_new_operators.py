@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cohortlens.llm import importance as im
-from cohortlens.llm import queries
+from cohortlens.llm import packing, queries
 from cohortlens.llm import rare_features as rf
 from cohortlens.llm import token_alignment as ta
 from cohortlens.llm import token_counts
@@ -322,3 +322,28 @@ def test_an_entry_held_twice_counts_once_and_texts_of_megabytes(spark, tmp_path)
     spark.read.parquet(f"{tmp_path}/copy").write.mode("append").parquet(cache)
     assert sorted(map(tuple, token_counts.cached_counts(docs, BYTES, cache).collect())) == once and len(once) == 4
     assert {r[0]: r[2] for r in once} == {i: len(Tokenizer.from_file(BYTES).encode(t or "").ids) for i, t in [(r.doc_id, r.text) for r in docs.collect()]}
+
+
+# ---- packing --------------------------------------------------------------------------------------------
+
+
+def test_several_sizes_open_and_cost_less_than_one_rule(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents")
+    bins = {r.bin_id: r for r in packing.pack(docs).collect()}.values()
+    assert len({r.opened_size for r in bins}) >= 3
+    ours = sum(packing.attention_cost(r.bin_size) for r in bins)
+    lengths = [(r.piece_len) for r in packing.pack(docs).collect()]
+
+    def by_rule(size_of):
+        room, fill = [], []
+        for n in sorted(lengths, reverse=True):
+            fits = [(r, b) for b, r in enumerate(room) if r >= n]
+            b = min(fits)[1] if fits else len(room)
+            if not fits:
+                room.append(size_of(n))
+                fill.append(0)
+            room[b] -= n
+            fill[b] += n
+        return sum(packing.attention_cost(next(c for c in packing.SIZES if c >= f)) for f in fill)
+
+    assert ours < by_rule(lambda n: next(c for c in packing.SIZES if c >= n)) and ours < by_rule(lambda n: packing.SIZES[-1])
