@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortlens.llm.common import byte_slices, require, stored, text_or_empty
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|textarea|noscript|template|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S | re.I)
+#: Comments, marks, elements whose content is no text, and tags. What the page's end cuts goes to the end, so every character is looked at a bounded number of times.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|textarea|noscript|template|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+(?:>|\Z)",
+    re.S | re.I,
+)
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _CUE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""\shidden(?:[\s>=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
@@ -46,25 +52,65 @@ def _label(name: str, tag: str) -> tuple[str, bool]:
     return label, name in ASIDE or bool(_HIDDEN.search(tag)) or cued and not main
 
 
-def blocks(page: str) -> tuple[list[tuple[int, str, str, bool, int]], list[tuple[int, str]]]:
-    """The page's places and its blocks of text.
+def _hash(text: str | bytes) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
 
-    A place is (place above it or -1, path of labels, element, beside the article or not, how many elements are there); places come after those
-    above them. A block is (place or -1, text) in page order. Character references are decoded, and white space is one space. Scripts, styles, titles and HTML
-    comments hold no text. Missing end tags are supplied, and those without a start are ignored.
+
+class _Open:
+    """The open elements. Lists of where each name, each element that isn't inside a line, and each that holds others is open make every look-up a constant one."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []  # element, and its place (that of the element round it for those inside a line)
+        self.named: dict[str, list[int]] = {}
+        self.outside: list[int] = []
+        self.holds: list[int] = []
+
+    def lists(self, name: str) -> Iterator[list[int]]:
+        yield self.named.setdefault(name, [])
+        if name not in INLINE:
+            yield self.outside
+        if name in _HOLDS:
+            yield self.holds
+
+    def push(self, name: str, place: int) -> None:
+        for some in self.lists(name):
+            some.append(len(self.stack))
+        self.stack.append((name, place))
+
+    def cut(self, size: int) -> None:
+        while len(self.stack) > size:
+            for some in self.lists(self.stack.pop()[0]):
+                some.pop()
+
+    def last(self, name: str) -> int:
+        return self.named[name][-1] if self.named.get(name) else -1
+
+    def place(self) -> int:
+        return self.stack[-1][1] if self.stack else -1
+
+
+def blocks(page: str) -> tuple[list[tuple[int, int, str, bool, int]], list[tuple[int, str]], list[tuple[bool, int]]]:
+    """The page's places, its blocks of text, and both in the order in which they start.
+
+    A place is (place above it or -1, hash of its path of labels, element, beside the article or not, how many elements are there); places come after those
+    above them. A block is (place or -1, text) in page order. The order has (is a place, number of the place or block). Character references are decoded, and white space is one space. Scripts, styles,
+    titles and HTML comments hold no text. Missing end tags are supplied, and those without a start are ignored. A tag that the page's end cuts holds no text. Time grows with the page's length, whatever its tags.
     """
-    found: dict[str, int] = {}
+    found: dict[int, int] = {}
     places: list[list] = []
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = []  # element, and its place (that of the element round it for those inside a line)
+    order: list[tuple[bool, int]] = []
+    open_ = _Open()
     piece: list[str] = []
+    labels: dict[str, tuple[str, bool]] = {}  # of the page's tags
     at = 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(piece)).split())
         piece.clear()
         if text:
-            out.append((stack[-1][1] if stack else -1, text))
+            order.append((False, len(out)))
+            out.append((open_.place(), text))
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
@@ -75,79 +121,76 @@ def blocks(page: str) -> tuple[list[tuple[int, str, str, bool, int]], list[tuple
             if m[1]:
                 flush()
             continue
+        if tag[-1] != ">":  # the page's end cuts it
+            continue
         name = _NAME.match(tag)[1].lower()
         if tag[1] == "/":
-            if any(n == name for n, _ in stack):
-                if name not in INLINE or any(n not in INLINE for n, _ in stack[len(stack) - 1 - [n for n, _ in reversed(stack)].index(name) :]):
+            start = open_.last(name)
+            if start >= 0:
+                if name not in INLINE or open_.outside and open_.outside[-1] > start:
                     flush()
-                while stack.pop()[0] != name:
-                    pass
+                open_.cut(start)
             elif name not in INLINE:
                 flush()
             continue
-        label, beside = _label(name, tag)
+        if tag not in labels:
+            labels[tag] = _label(name, tag)
+        label, beside = labels[tag]
         if name not in INLINE or beside:
             flush()
         if name in VOID or tag.endswith("/>"):
             continue
-        ends = _CLOSES.get(name)
+        held = open_.holds[-1] if open_.holds else -1
+        ends = [some[bisect_right(some, held)] for some in map(open_.named.get, _CLOSES.get(name, ())) if some and some[-1] > held]
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
-                    del stack[k:]
-                    break
-                if stack[k][0] in _HOLDS:
-                    break
-        above = stack[-1][1] if stack else -1
+            open_.cut(min(ends))
+        above = open_.place()
         if name in INLINE and not beside:
-            stack.append((name, above))
+            open_.push(name, above)
             continue
-        path = (places[above][1] if above >= 0 else "") + "/" + label
+        path = _hash((places[above][1].to_bytes(8, "little", signed=True) if above >= 0 else b"") + label.encode("utf-8", "surrogatepass"))
         if path not in found:
             found[path] = len(places)
+            order.append((True, len(places)))
             places.append([above, path, name, beside, 0])
         places[found[path]][4] += 1
-        stack.append((name, found[path]))
+        open_.push(name, found[path])
     if at < len(page):
-        rest = page[at:]
-        cut = re.search(r"<[a-zA-Z/!][^<]*\Z", rest)  # a tag that the page's end cuts
-        piece.append(rest[: cut.start()] if cut else rest)
+        piece.append(page[at:])
     flush()
-    return [tuple(x) for x in places], out
+    return [tuple(x) for x in places], out, order
 
 
-def main_blocks(places: list[tuple[int, int, str, bool]], found: list[tuple[int, int]], mass: dict[int, float], fixed: set[int]) -> list[int]:
-    """Which blocks (place, token) of a page are its main text, by its host's template: ``mass`` of each place in it, and the ``fixed`` texts.
+def main_blocks(places: list[tuple[int, int, str, bool]], found: list[tuple[int, int]], mass: dict[int, int], fixed: set[int]) -> list[int]:
+    """Which blocks (place, token) of a page are its main text, by its template: the ``mass`` of each place in it, which is the text in its slots that differs between pages, and the ``fixed`` texts.
 
-    A place is (place above it, its hash, element, beside). Each block is in the slot of the nearest place of the template round it; blocks without one are in
-    the page's own. From the page on down, the main region is the place in the template with most of the slot text of those below, as long as it
-    holds four fifths of it, or is an article or main element; it ends at an article, and never is one line. Slots in the region count, but for those that their names put
-    beside the article.
+    A place is (place above it, its hash, element, beside). What an element beside the article holds is left out. Each other block is in the slot of the nearest place of the template round it. From the page
+    on down, the main region is the place of the template with most of the differing text of those below, as long as it holds four fifths of it and the lines beside it on the way down are at most a twentieth of the whole, or
+    as it is an article or main element; it ends at an article, and never is one line. Slots in the region are the text, without the template's own texts.
     """
-    slot, out_of = [], []  # of each place: the nearest place of the template from it upwards, and whether one of those is beside
+    slot, out_of = [], []  # of each place: the nearest place of the template from it upwards, and whether it is in one that is beside
     for k, (above, token, _, beside) in enumerate(places):
-        mine = token in mass
-        slot.append(k if mine else slot[above] if above >= 0 else -1)
-        out_of.append((above >= 0 and out_of[above]) or (mine and beside))
+        slot.append(k if token in mass else slot[above] if above >= 0 else -1)
+        out_of.append(beside or (above >= 0 and out_of[above]))
+    region = [mass.get(x[1], 0) for x in places]
+    lines = region.copy()  # of each place of the template: what differs in its own slot and in those of the lines in it
     below: dict[int, list[int]] = {}
-    for k, (above, token, element, _) in enumerate(places):
-        if slot[k] == k and not out_of[k] and element not in TEXT_LEVEL:
-            below.setdefault(slot[above] if above >= 0 else -1, []).append(k)
-    main, names = -1, ("article", "main")
-    region = {k: mass[places[k][1]] for k in range(len(places)) if slot[k] == k}
-    for k in reversed(range(len(places))):  # what is beside doesn't count above
-        if slot[k] == k and out_of[k]:
-            above = places[k][0]
-            top = above < 0 or not out_of[above]
-            while top and above >= 0:
-                if slot[above] == above:
-                    region[above] -= mass[places[k][1]]
-                above = places[above][0]
+    for k in reversed(range(len(places))):  # places come after those above them
+        above, _, element, _ = places[k]
+        if slot[k] == k and not out_of[k]:
+            up = slot[above] if above >= 0 else -1
+            if up >= 0:
+                region[up] += region[k]
+                lines[up] += region[k] if element in TEXT_LEVEL else 0
+            if element not in TEXT_LEVEL:
+                below.setdefault(up, []).append(k)
+    main, names, lost = -1, ("article", "main"), 0
     while below.get(main) and not (main >= 0 and places[main][2] == "article"):
         some = below[main]
         best = max(some, key=lambda k: (region[k], places[k][2] in names, -k))
         whole = region[main] if main >= 0 else sum(region[k] for k in some)
-        if region[best] < 0.8 * whole and places[best][2] not in names:
+        lost += lines[main] if main >= 0 else 0
+        if places[best][2] not in names and (region[best] < 0.8 * whole or 20 * lost > sum(region[k] for k in below[-1])):
             break
         main = best
     inside = [False] * len(places)
@@ -165,94 +208,183 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-BLOCKS = "page_id long, url string, host string, page long, above array<int>, path array<long>, element array<string>, beside array<boolean>, times array<int>, chars array<long>, place array<int>, token array<long>, text array<string>"
+#: Of a page: its places, its blocks, and its distinct tokens (places and texts at their places) in the order of their first occurrence.
+BLOCKS = (
+    "page_id long, url string, host string, layout long, page long, above array<int>, path array<long>, element array<string>, beside array<boolean>, place array<int>, block array<long>, text array<string>, "
+    "token array<long>, is_place array<boolean>, parent array<long>, times array<int>, chars array<int>"
+)
+_KINDS = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], fields: str) -> pa.RecordBatch:
+    names, kinds = zip(*(f.split() for f in fields.split(", ")), strict=True)
+    types = [pa.list_(_KINDS[k[6:-1]]) if k.startswith("array") else _KINDS[k] for k in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], list(names))
+
+
+def _parsed(page_id: int | None, url: str | None, page: str) -> tuple:
+    places, found, order = blocks(page)
+    beside, depth, shape = [], [], set()
+    for above, path, element, own, _ in places:
+        beside.append(own or (above >= 0 and beside[above]))
+        depth.append(depth[above] + 1 if above >= 0 else 1)
+        if depth[-1] <= 3 and element not in TEXT_LEVEL:
+            shape.add(path)
+    up = [places[k][1] if k >= 0 else 0 for k, _ in found]  # 0: no place
+    block = [_hash(f"{p}\n{text}".encode("utf-8", "surrogatepass")) for p, (_, text) in zip(up, found, strict=True)]
+    content = xxhash.xxh64()
+    for t, (k, _) in zip(block, found, strict=True):
+        if k < 0 or not beside[k]:
+            content.update(t.to_bytes(8, "little", signed=True))
+    often = Counter(block)
+    tokens = {}
+    for is_place, k in order:
+        if is_place:
+            above, path, _, _, times = places[k]
+            tokens[path] = (True, places[above][1] if above >= 0 else 0, times, 0)
+        else:
+            tokens.setdefault(block[k], (False, up[k], often[block[k]], len(found[k][1])))
+    above, path, element, own, _ = map(list, zip(*places, strict=True)) if places else ([],) * 5
+    is_place, parent, times, chars = map(list, zip(*tokens.values(), strict=True)) if tokens else ([],) * 4
+    layout = _hash(b"".join(p.to_bytes(8, "little", signed=True) for p in sorted(shape)))
+    return (page_id, url, _host(url), layout, content.intdigest() - (1 << 63), above, path, element, own, [k for k, _ in found], block, [t for _, t in found], list(tokens), is_place, parent, times, chars)
 
 
 def parsed_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """``BLOCKS`` of every page: its places with how often they occur and the characters in them, and its blocks of text; ``page`` is a hash of the blocks not beside the article."""
+    """``BLOCKS`` of every page; ``page`` is a hash of the blocks not beside the article, ``layout`` one of the containers in its three upper levels."""
 
     def parse(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [(c.split()[0], c.split()[1]) for c in BLOCKS.split(", ")]
-        kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
         for part in (some for whole in parts for some in byte_slices(whole, "html", 1 << 20)):
-            rows = []
-            for page_id, url, page in zip(*(part.column(n).to_pylist() for n in ("page_id", "url", "html")), strict=True):
-                places, found = blocks(page)
-                paths = [xxhash.xxh64_intdigest(p) - (1 << 63) for _, p, _, _, _ in places]
-                chars, content, beside = [0] * len(places), xxhash.xxh64(), []
-                for above, _, _, b, _ in places:
-                    beside.append(b or (above >= 0 and beside[above]))
-                tokens = []
-                for k, text in found:
-                    token = xxhash.xxh64_intdigest(f"{paths[k] if k >= 0 else ''}\n{text}") - (1 << 63)
-                    tokens.append(token)
-                    if k < 0 or not beside[k]:
-                        content.update(token.to_bytes(8, "little", signed=True))
-                    while k >= 0:
-                        chars[k] += len(text)
-                        k = places[k][0]
-                above, _, element, own, times = map(list, zip(*places, strict=True)) if places else ([],) * 5
-                rows.append((page_id, url, _host(url), content.intdigest() - (1 << 63), above, paths, element, own, times, chars, [k for k, _ in found], tokens, [t for _, t in found]))
-            if rows:
-                cols = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(kinds[k[6:-1]]) if k.startswith("array") else kinds[k]) for c, (_, k) in zip(cols, fields, strict=True)], [n for n, _ in fields])
+            yield _batch([_parsed(*x) for x in zip(*(part.column(n).to_pylist() for n in ("page_id", "url", "html")), strict=True)], BLOCKS)
 
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_or_empty(html_col).alias("html"))
     return rows.mapInArrow(parse, BLOCKS)
 
 
-def templates(found: DataFrame, text_share: float = 0.9, place_share: float = 0.01) -> DataFrame:
-    """(host, paths, masses, fixed): the places and texts of each host's template.
-
-    Tokens are places, each with its start and end tags, and texts at their places. A token's occurrence vector over the
-    host's distinct pages is kept as sums (pages, occurrences, and hashes of page and count), so that tokens with equal vectors meet without any
-    vector being gathered. A class of equal vectors is valid if it has two tokens or more (a place alone has two, its tags) and occurs often: on
-    ``place_share`` of the pages, or, for its texts, on ``text_share`` of the pages and one more. So few pages, or a group of
-    copies, which is one page, make no text a template's. At most a page's tokens over the shares are gathered for a host. A place's mass is the characters of text in it on all pages.
+def split_classes(token: list[int], parent: list[int], vector: list[int]) -> list[int]:
+    """Each token's class: those of equal vector whose nearest place round them that has another vector is the same one, so that a class lies in one slot of the class above it. 0 for tokens that are alone."""
+    kind = dict(zip(token, vector, strict=True))
+    up = dict(zip(token, parent, strict=True))
+    outer: dict[int, int] = {}
+    for t in token:
+        chain = []
+        while t not in outer:
+            chain.append(t)
+            above = up[t]
+            if kind.get(above) != kind[t]:
+                outer[t] = above
+            else:
+                t = above
+        for c in chain:
+            outer[c] = outer[t]
+    key = [_hash(kind[t].to_bytes(8, "little", signed=True) + outer[t].to_bytes(8, "little", signed=True)) or 1 for t in token]
+    size = Counter(key)
+    return [k if size[k] >= 2 else 0 for k in key]
+
+
+def templates(found: DataFrame, text_share: float = 0.9, place_share: float = 0.05, least_pages: int = 3, order_share: float = 0.9) -> DataFrame:
+    """(host, layout, paths, masses, fixed): the template of each host, or, where layout isn't null, of the pages of one layout on hosts of fewer than ``least_pages`` distinct pages.
+
+    Tokens are places and texts at their places. A token's occurrence vector over the distinct pages is kept as sums (pages, occurrences, and hashes of page and count), so that tokens with
+    equal vectors meet without any vector being gathered. Frequent are places on ``place_share`` of the pages and on ``least_pages`` of them, and texts on ``text_share`` of the pages and one more. A class is the
+    frequent tokens of equal vector in one slot of the class above (:func:`split_classes`). It is valid if it has two tokens or more, which start in one order on ``order_share`` of its pages. The valid
+    classes, nested by their places, are the template. A place's mass is the characters of the distinct texts in its slots: what all pages say counts once, what differs counts for each. At most a page's tokens over the shares are gathered for a template.
     """
-    # copies of a page have equal blocks but for those beside: one of them stands for all
-    once = found.where("size(path) > 0 or size(token) > 0").select("host", "page", "path", "times", "chars", "token").dropDuplicates(["host", "page"])
-    once = once.select(F.xxhash64("host").alias("h"), "host", "page", "path", "times", "chars", "token")
-    sizes = once.groupBy("h").agg(F.count("*").alias("pages"), F.min("host").alias("host"))
-    places = F.transform(F.arrays_zip("path", "times", "chars"), lambda x: F.struct(x["path"].alias("token"), F.lit(2).alias("tokens"), x["times"].cast("long").alias("k"), x["chars"].alias("n")))
-    texts = F.transform(F.array_distinct("token"), lambda x: F.struct(x.alias("token"), F.lit(1).alias("tokens"), F.size(F.filter("token", lambda y: y == x)).cast("long").alias("k"), F.lit(0).cast("long").alias("n")))
-    tokens = once.select("h", "page", F.explode(F.concat(places, texts)).alias("t")).select("h", "page", "t.*")
-    vectors = tokens.groupBy("h", "token", "tokens").agg(F.count("*").alias("on"), F.sum("k").alias("times"), F.sum(F.xxhash64("page", "k").cast("decimal(20,0)")).alias("sign"), F.sum("n").alias("n"))
-    often = (F.col("tokens") == 2) & (F.col("on") >= place_share * F.col("pages")) | (F.col("tokens") == 1) & (F.col("on") >= text_share * (F.col("pages") + 1))
-    frequent = vectors.join(sizes, "h").where(often)
-    alike = Window.partitionBy("host", "on", "times", "sign")
-    valid = frequent.withColumn("size", F.sum("tokens").over(alike)).where("size >= 2")
-    place = F.when(F.col("tokens") == 2, F.struct("token", "n"))
-    held = valid.groupBy("host").agg(F.collect_list(place).alias("places"), F.collect_list(F.when(F.col("tokens") == 1, F.col("token"))).alias("fixed"))
-    return held.select("host", F.col("places.token").alias("paths"), F.col("places.n").alias("masses"), "fixed")
-
-
-def extract_main_text(pages: DataFrame, text_share: float = 0.9, place_share: float = 0.01, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    arrays = ("token", "is_place", "parent", "times", "chars")
+    # copies of a page have equal blocks but for those beside: one of them, always the same, stands for all
+    once = found.where("size(token) > 0").groupBy("host", "page").agg(F.min_by(F.struct("layout", *arrays), F.xxhash64("layout", *arrays)).alias("t")).select("host", "page", "t.*")
+    small = once.groupBy("host").agg(F.count("*").alias("n")).select("host", (F.col("n") < least_pages).alias("small"))
+    once = stored(once.join(small, "host").select(F.when(~F.col("small"), F.col("host")).alias("host"), F.when(F.col("small"), F.col("layout")).alias("layout"), "page", *arrays).withColumn("h", F.xxhash64("host", "layout")), "pages")
+    sizes = once.groupBy("h").agg(F.count("*").alias("pages"), F.min("host").alias("host"), F.min("layout").alias("layout"))
+    tokens = once.select("h", "page", F.explode(F.arrays_zip("token", "is_place", "parent", "times")).alias("t")).select("h", "page", "t.*")
+    vectors = tokens.groupBy("h", "token", "is_place", "parent").agg(F.count("*").alias("on"), F.sum("times").alias("times"), F.sum(F.xxhash64("page", "times").cast("decimal(20,0)")).alias("sign"))
+    often = F.col("is_place") & (F.col("on") >= F.greatest(F.lit(least_pages), place_share * F.col("pages"))) | ~F.col("is_place") & (F.col("on") >= text_share * (F.col("pages") + 1))
+    frequent = vectors.join(sizes.select("h", "pages"), "h").where(often).select("h", "token", "is_place", "parent", F.xxhash64("on", "times", "sign").alias("vector"))
+    gathered = frequent.groupBy("h").agg(F.collect_list(F.struct("token", "is_place", "parent", "vector")).alias("t")).select("h", *(F.col(f"t.{n}").alias(f"t_{n}") for n in ("token", "is_place", "parent", "vector")))
+
+    def classes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = [(h, t, is_place, split_classes(t, parent, vector)) for h, t, is_place, parent, vector in zip(*(part.column(n).to_pylist() for n in ("h", "t_token", "t_is_place", "t_parent", "t_vector")), strict=True)]
+            if rows:
+                yield _batch(rows, "h long, t_token array<long>, t_is_place array<boolean>, t_class array<long>")
+
+    def orders(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (whole.slice(at, 256) for whole in parts for at in range(0, whole.num_rows, 256)):
+            rows = []
+            for h, token, t, c in zip(*(part.column(n).to_pylist() for n in ("h", "token", "t_token", "t_class")), strict=True):
+                of, seen = dict(zip(t, c, strict=True)), {}
+                for x in token:
+                    if of.get(x):
+                        seen.setdefault(of[x], []).append(x)
+                rows += [(h, k, _hash(b"".join(x.to_bytes(8, "little", signed=True) for x in some))) for k, some in seen.items()]
+            if rows:
+                yield _batch(rows, "h long, class long, order long")
+
+    def slots(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (whole.slice(at, 256) for whole in parts for at in range(0, whole.num_rows, 256)):
+            rows = []
+            for h, token, is_place, parent, chars, paths in zip(*(part.column(n).to_pylist() for n in ("h", *arrays[:3], "chars", "paths")), strict=True):
+                mine, slot = set(paths), {0: 0}
+                for x, p, up, n in zip(token, is_place, parent, chars, strict=True):  # places come after those above them
+                    slot[x] = x if p and x in mine else slot[up]
+                    if not p and slot[x]:
+                        rows.append((h, slot[x], x, n))
+            if rows:
+                yield _batch(rows, "h long, slot long, token long, n int")
+
+    nested = stored(gathered.mapInArrow(classes, "h long, t_token array<long>, t_is_place array<boolean>, t_class array<long>"), "classes")
+    ordered = once.select("h", "token").join(nested, "h").mapInArrow(orders, "h long, class long, order long").groupBy("h", "class", "order").count()
+    valid = ordered.groupBy("h", "class").agg(F.max("count").alias("most"), F.sum("count").alias("all")).where(F.col("most") >= order_share * F.col("all")).select("h", "class")
+    flat = nested.select("h", F.explode(F.arrays_zip("t_token", "t_is_place", "t_class")).alias("t")).select("h", F.col("t.t_token").alias("token"), F.col("t.t_is_place").alias("is_place"), F.col("t.t_class").alias("class"))
+    kept = stored(flat.join(valid, ["h", "class"]).groupBy("h").agg(F.collect_list(F.when(F.col("is_place"), F.col("token"))).alias("paths"), F.collect_list(F.when(~F.col("is_place"), F.col("token"))).alias("fixed")), "kept")
+    differing = once.select("h", "token", "is_place", "parent", "chars").join(kept.select("h", "paths"), "h").mapInArrow(slots, "h long, slot long, token long, n int")
+    mass = differing.groupBy("h", "slot", "token").agg(F.max("n").alias("n")).groupBy("h", "slot").agg(F.sum("n").alias("n")).groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("n"))
+    masses = F.transform("paths", lambda p: F.coalesce(F.try_element_at("n", p), F.lit(0).cast("long")))
+    return kept.join(mass, "h", "left").join(sizes, "h").select("host", "layout", "paths", masses.alias("masses"), "fixed")
+
+
+def own_template(places: list[tuple[int, int, str, bool]], found: list[tuple[int, int]], text: list[str]) -> dict[int, int]:
+    """The mass of every place of a page that has no template: the characters of its own text."""
+    mass = {x[1]: 0 for x in places}
+    for (k, _), t in zip(found, text, strict=True):
+        if k >= 0:
+            mass[places[k][1]] += len(t)
+    return mass
+
+
+def extract_main_text(pages: DataFrame, text_share: float = 0.9, place_share: float = 0.05, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Every page's page_id, url, text and n_chars.
 
-    The template of a page's host (see :func:`templates`) nests by containment and cuts the page into slots; the main region is chosen among its
-    places (see :func:`main_blocks`), and what the slots in it hold, but for the template's own texts, is the page's text. Names only label
-    slots that the template has. On a host with few pages, each page's own places are part of it; a page without pages beside it goes by its own.
+    The template of a page's host, or on hosts with few pages of its layout (see :func:`templates`), nests by containment and cuts the page into slots; the main region is the place of the
+    template whose slots differ most between pages (see :func:`main_blocks`), and what these slots hold is the page's text. Elements whose names say that they are beside the article are left out. A page with nothing
+    of a template goes by its own places.
 
     Null html is empty, a page without url belongs to the host ''; repeated rows are each returned; no rows give no rows.
     """
     require(pages, id_col, url_col, html_col)
     found = stored(parsed_pages(pages, id_col, url_col, html_col), "blocks")
     template = stored(templates(found, text_share, place_share), "templates")
-    held = template.agg(F.sum(40 + F.length("host") + 16 * F.size("paths") + 8 * F.size("fixed"))).first()[0] or 0
-    known = found.select("page_id", "url", "host", "above", "path", "element", "beside", "place", "token", "text").join(F.broadcast(template) if held <= _BROADCAST else template, "host", "left")
+    held = template.agg(F.sum(40 + F.coalesce(F.length("host"), F.lit(0)) + 16 * F.size("paths") + 8 * F.size("fixed"))).first()[0] or 0
+    known = found.select("page_id", "url", "host", "layout", "above", "path", "element", "beside", "place", "block", "text")
+    for of in ("host", "layout"):
+        some = template.where(F.col(of).isNotNull()).select(of, *(F.col(n).alias(f"{of}_{n}") for n in ("paths", "masses", "fixed")))
+        known = known.join(F.broadcast(some) if held <= _BROADCAST else some, of, "left")
+    known = known.select("*", *(F.coalesce(f"host_{n}", f"layout_{n}").alias(n) for n in ("paths", "masses", "fixed")))
 
     def texts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("above", "path", "element", "beside", "place", "token", "text", "paths", "masses", "fixed")
+        names = ("above", "path", "element", "beside", "place", "block", "text", "paths", "masses", "fixed")
         for part in (whole.slice(at, 256) for whole in parts for at in range(0, whole.num_rows, 256)):
-            hosts, held, out = part.column("host").to_pylist(), {}, []
-            for k, host in enumerate(hosts):
+            keys, held, out = list(zip(part.column("host").to_pylist(), part.column("layout").to_pylist(), strict=True)), {}, []
+            for k, key in enumerate(keys):
                 above, path, element, beside, place, token, text, *_ = (part.column(n)[k].as_py() for n in names[:7])
-                if host not in held:
+                if key not in held:
                     paths, masses, fixed = (part.column(n)[k].as_py() or [] for n in names[7:])
-                    held[host] = dict(zip(paths, masses, strict=True)), set(fixed)
-                main = main_blocks(list(zip(above, path, element, beside, strict=True)), list(zip(place, token, strict=True)), *held[host])
-                out.append(" ".join([text[j] for j in main]))
+                    held[key] = dict(zip(paths, masses, strict=True)), set(fixed)
+                places, some = list(zip(above, path, element, beside, strict=True)), list(zip(place, token, strict=True))
+                mass, fixed = held[key]
+                if not any(p in mass and e not in ("html", "head", "body") for p, e in zip(path, element, strict=True)):
+                    mass = own_template(places, some, text)
+                out.append(" ".join([text[j] for j in main_blocks(places, some, mass, fixed)]))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
-    return known.mapInArrow(texts, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return known.select("page_id", "url", "host", "layout", "above", "path", "element", "beside", "place", "block", "text", "paths", "masses", "fixed").mapInArrow(texts, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
