@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cohortlens.operators.many import Fit, Rows
 from cohortlens.operators.metrics import scores
+from cohortlens.operators.splits import learning_curve
+from cohortlens.sources.shared import stored
 
 C_GRID = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 5.0, 10.0)
 
@@ -200,7 +204,6 @@ def load(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str], dict
 
 def sweep(rows: DataFrame, categories: Sequence[str], folds: Sequence[int], fits: Mapping[str, Callable[[DataFrame, DataFrame], DataFrame]], label_col: str = "label", threads: int = 4) -> DataFrame:
     """Scores of every category, fold and model. A fit takes train and dev rows and returns dev with predicted_label; independent fits run side by side."""
-    from functools import reduce
 
     def one(what: tuple[str, int, str]) -> DataFrame:
         category, fold, name = what
@@ -211,3 +214,47 @@ def sweep(rows: DataFrame, categories: Sequence[str], folds: Sequence[int], fits
     todo = [(c, f, n) for c in categories for f in folds for n in fits]
     with ThreadPoolExecutor(threads) as pool:
         return reduce(DataFrame.unionByName, pool.map(one, todo))
+
+
+def logistic_sweep(rows: DataFrame, features: Sequence[str], category_col: str = "keyword_category", label_col: str = "label", row_id: str = "row_id", fold_col: str = "fold", grid: Sequence[float] = C_GRID, percents: Sequence[float] = (100,), iterations: int = 1, draw: Column | None = None, most_passes: int = 300) -> tuple[DataFrame, DataFrame]:
+    """Logistic regressions of every category, fold, vector column of ``features``, learning-curve step and strength, fitted together.
+
+    The first table has (keyword_category, feature_set, fold, percent, iteration, size, c, chosen, metric, score): the scores on the fold's rows of the model that learned from
+    the step's rows of the other folds; chosen marks the strength of best macro F1, the least of several. The second has the chosen models' (keyword_category, feature_set, fold, percent, iteration, row_id, y_true, y_pred).
+    Labels are numbered by name within their category, null ones go. Row ids are unique. A fold without rows to learn from or to score has no scores.
+    """
+    rows = rows.where(F.col(label_col).isNotNull() & F.col(category_col).isNotNull() & F.col(fold_col).isNotNull())
+    named = {}
+    for r in rows.select(category_col, label_col).distinct().orderBy(category_col, label_col).collect():  # a row per class
+        named.setdefault(r[0], []).append(r[1])
+    folds = [r[0] for r in rows.select(fold_col).distinct().orderBy(fold_col).collect()]
+    runs = F.filter(F.array(*map(F.lit, folds)), lambda f: f != F.col(fold_col))
+    spread = rows.select(row_id, category_col, label_col, F.explode(runs).alias("__run"))
+    sets = learning_curve(spread, row_id, label_col, percents, iterations, by=[category_col, "__run"], draw=draw)
+    name = F.concat_ws("|", "__run", "percent", "iteration")
+    part_of = sets.groupBy(row_id).agg(F.collect_set(name).alias("__sets"))  # at most a name per fold and step
+    sizes = {(r[0], r[1], r.percent, r.iteration): r["size"] for r in sets.groupBy(category_col, "__run", "percent", "iteration").agg(F.first("size").alias("size")).collect()}
+    place = reduce(lambda w, c: w.when(F.col(category_col) == c, F.array_position(F.array(*map(F.lit, named[c])), F.col(label_col)) - 1), named, F.when(F.lit(False), F.lit(0)))
+    held = rows.join(part_of, row_id, "left").withColumn("__y", place)
+    masks = {f"train {k}": (F.col(category_col) == k[0]) & F.array_contains("__sets", "|".join(map(str, k[1:]))) for k in sizes}
+    masks |= {f"dev {(c, f)}": (F.col(category_col) == c) & (F.col(fold_col) == f) for c, f in dict.fromkeys(k[:2] for k in sizes)}
+    fits = [Fit((*k, v, c), v, f"train {k}", c) for k in sizes for v in features for c in sorted(grid)]
+    laid = Rows(held, row_id, "__y", masks, features)
+    try:
+        fitted = laid.fit(fits, most_passes=most_passes)
+        predicted = stored(laid.predict(fitted, [f"dev {f.name[:2]}" for f in fits]).drop("probabilities"), "sweep")
+    finally:
+        laid.close()
+    spark = rows.sparkSession
+    kinds = rows.schema
+    what = spark.createDataFrame([(i, *f.name, sizes[f.name[:4]]) for i, f in enumerate(fits)], f"fit int, keyword_category {kinds[category_col].dataType.simpleString()}, fold {kinds[fold_col].dataType.simpleString()}, percent double, iteration int, feature_set string, c double, size long")  # a row per model
+    found = scores(predicted, "y", "predicted", ["fit"]).join(F.broadcast(what), "fit")
+    f1 = F.max(F.when(F.col("metric") == "macro_f1", F.col("score"))).over(Window.partitionBy("fit"))
+    task = Window.partitionBy("keyword_category", "feature_set", "fold", "percent", "iteration")
+    best = F.max_by("fit", F.struct(F.col("__f1"), -F.col("c"))).over(task)
+    found = stored(found.withColumn("__f1", f1).withColumn("chosen", F.col("fit") == best).drop("__f1"), "sweep-scores")
+    label = reduce(lambda w, c: w.when(F.col("keyword_category") == c, F.element_at(F.array(*map(F.lit, named[c])), F.col("__k") + 1)), named, F.when(F.lit(False), F.lit(None).cast(kinds[label_col].dataType)))
+    said = predicted.join(F.broadcast(found.where("chosen and metric = 'macro_f1'").select("fit", "keyword_category", "feature_set", "fold", "percent", "iteration")), "fit").withColumnRenamed("row_id", row_id)
+    said = said.withColumn("__k", F.col("y")).withColumn("y_true", label).withColumn("__k", F.col("predicted")).withColumn("y_pred", label)
+    keys = ["keyword_category", "feature_set", "fold", "percent", "iteration"]
+    return found.select(*keys, "size", "c", "chosen", "metric", "score"), said.select(*keys, row_id, "y_true", "y_pred")

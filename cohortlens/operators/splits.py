@@ -87,21 +87,26 @@ def resamples(df: DataFrame, key: str, iterations: int, share: float, seed: int
     return numbered(many, order, key, ["iteration"]).where(F.col("__at") <= int(n * share)).drop("__at")
 
 
-def learning_curve(df: DataFrame, key: str, label_col: str, percents: Sequence[float] | int, iterations: int = 3, seed: int = 42, draw: Column | None = None) -> DataFrame:
-    """Row sets of growing size with at least one row per class: columns percent, iteration and size.
+def learning_curve(df: DataFrame, key: str, label_col: str, percents: Sequence[float] | int, iterations: int = 3, seed: int = 42, draw: Column | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Row sets of growing size with at least one row per class: columns percent, iteration and size; within each value of ``by``, if given.
 
     ``percents`` lists shares of 100 (100 is added), or is a number of equal steps. The whole set comes once.
     """
     steps = [100.0 * (i + 1) / percents for i in range(percents)] if isinstance(percents, int) else sorted({*map(float, percents), 100.0})
-    n, classes = df.agg(F.count("*"), F.count_distinct(label_col)).first()
-    sets = [(p, i, max(int(n * p / 100), classes) if p < 100 else n) for p in steps for i in range(iterations if p < 100 else 1)]
-    each = F.array(*[F.struct(F.lit(p).alias("percent"), F.lit(i).alias("iteration"), F.lit(s).alias("size")) for p, i, s in sets])
-    many = df.withColumn("__set", F.explode(each)).select(*df.columns, "__set.*")
-    order = drawn(F.concat_ws("|", F.col(key), F.col("percent"), F.col("iteration")), seed) if draw is None else draw
-    many = numbered(many, order, key, ["percent", "iteration", label_col]).withColumn("__later", F.col("__at") > 1).drop("__at")
-    placed = numbered(many, order, key, ["percent", "iteration", "__later"])
-    before = F.when(F.col("__later"), F.lit(classes)).otherwise(0)  # each class's first row comes before all others
-    return placed.where(F.col("__at") + before <= F.col("size")).drop("__at", "__later")
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"), F.count_distinct(label_col).alias("__k"))  # a row per value of ``by``
+    if by:
+        df = df.join(F.broadcast(sizes), [*by])
+    else:
+        n, classes = sizes.first()
+        df = df.withColumns({"__n": F.lit(n), "__k": F.lit(classes)})
+    size = lambda p: F.greatest(F.floor(F.col("__n") * p / 100), F.col("__k")) if p < 100 else F.col("__n")
+    each = F.array(*[F.struct(F.lit(p).alias("percent"), F.lit(i).alias("iteration"), size(p).cast("long").alias("size")) for p in steps for i in range(iterations if p < 100 else 1)])
+    many = df.withColumn("__set", F.explode(each)).select(*df.columns, "__set.*").drop("__n")
+    order = drawn(F.concat_ws("|", F.col(key), F.col("percent"), F.col("iteration"), *[F.col(c) for c in by]), seed) if draw is None else draw
+    many = numbered(many, order, key, [*by, "percent", "iteration", label_col]).withColumn("__later", F.col("__at") > 1).drop("__at")
+    placed = numbered(many, order, key, [*by, "percent", "iteration", "__later"])
+    before = F.when(F.col("__later"), F.col("__k")).otherwise(0)  # each class's first row comes before all others
+    return placed.where(F.col("__at") + before <= F.col("size")).drop("__at", "__later", "__k")
 
 
 def constrained_resample(df: DataFrame, key: str, label_col: str, test_share: float = 0.2, min_train: int = 1, min_test: int = 1, seed: int = 42, draw: Column | None = None, most_exact: int = 1_000_000) -> DataFrame:

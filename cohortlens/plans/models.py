@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import uuid
+from itertools import combinations
 
+from pyspark.ml.feature import Normalizer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlens.functions import text as tx
 from cohortlens.operators import compare as cp
 from cohortlens.operators import domain as dm
 from cohortlens.operators import features as ft
@@ -347,17 +350,45 @@ def model_sweep(spark: SparkSession, d: str) -> DataFrame:
     return md.sweep(rows, categories, range(3), fits)
 
 
+def logistic_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """Counts of words and one-hots of the source, by language: strengths, folds and a step of half the rows."""
+    rows = labelled(spark, d).select(F.col("doc_id").alias("row_id"), F.col("y").alias("label"), F.col("lang").alias("keyword_category"), "source", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("tokens"))
+    made = _word_vectors(rows, {"words": "tokens"})
+    stage = sg.FeatureStage(components=json.dumps([{"name": "source", "column": "source", "kind": "binary"}]), representation=["source"], outputCol="origin")
+    made = stage.fit(made).transform(made).select("row_id", "label", "keyword_category", "words", "origin")
+    folds = stored(k_folds(made, 3, ["keyword_category"], "row_id"), "sweep-rows")
+    return md.logistic_sweep(folds, ["words", "origin"], grid=(0.3, 3.0), percents=[50])[0]
+
+
+def _word_vectors(rows: DataFrame, columns: dict[str, str], least: int = 20) -> DataFrame:
+    """``rows`` with a vector of length 1 of word counts for each column of tokens."""
+    for out, col in columns.items():
+        stage = sg.FeatureStage(components=json.dumps([{"name": out, "column": col, "kind": "counts", "rm_top": 0, "min_freq": least, "stopwords": ["the"]}]), representation=[out], outputCol=f"{out} counts")
+        rows = Normalizer(p=2.0, inputCol=f"{out} counts", outputCol=out).transform(stage.fit(rows).transform(rows)).drop(f"{out} counts", col)
+    return rows
+
+
 def _discriminated(spark: SparkSession, d: str) -> DataFrame:
-    e = _vectors(spark, d).select(F.col("vec_id").alias("row_id"), F.floor(F.col("vec_id") / 3).alias("group"), "y", "label", "features", (F.col("label") > 4).alias("high"))
-    return dm.discriminate(e, "group", "y", ["high", "label"], ["features"], 3, draw=draw("group"))
+    """Ten discriminators of a document's toxicity: its commonest value; source, quality and language alone; their pairs and triple; words, and words of its neutral text."""
+    words = lambda text: F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
+    rows = labelled(spark, d).select(F.col("doc_id").alias("row_id"), F.floor(F.col("doc_id") / 3).alias("group"), "toxic", "source", "quality", "lang", words("text").alias("plain"), words(tx.swap_identifiers("text")).alias("neutral"))
+    rows = _word_vectors(rows, {"words": "plain", "words_neutral": "neutral"})
+    given = ["source", "quality", "lang"]
+    crosses = [c for k in (2, 3) for c in combinations(given, k)]
+    return dm.discriminate(rows, "group", "toxic", given, ["words", "words_neutral"], 5, draw=draw("group"), crosses=crosses)
 
 
 def domain_discrimination(spark: SparkSession, d: str) -> DataFrame:
-    f1, table_, _ = dm.discrimination_scores(_discriminated(spark, d).cache())
-    tests = cp.paired_t_tests(f1.withColumn("split", F.lit("all")), 3, ["split"], "discriminator").where("b = 'most_frequent'").select(F.col("a").alias("discriminator"), "p_value")
+    f1, table_, _ = dm.discrimination_scores(stored(_discriminated(spark, d), "discriminators"))
+    tests = cp.paired_t_tests(f1.withColumn("split", F.lit("all")), 5, ["split"], "discriminator").where("b = 'most_frequent'").select(F.col("a").alias("discriminator"), "p_value")
     return table_.join(tests, "discriminator")
 
 
+def domain_confusion(spark: SparkSession, d: str) -> DataFrame:
+    """Confusion of each discriminator, summed over its folds."""
+    return dm.discrimination_scores(stored(_discriminated(spark, d), "discriminators"))[2]
+
+
 def domain_majorities(spark: SparkSession, d: str) -> DataFrame:
     rows = _predicted(spark, d).select(F.col("doc_id").alias("row_id"), "source", "y", "lang")
     return dm.discriminate(rows, "source", "y", ["lang"], (), 4, draw=F.length("source") * 1000 + F.ascii(F.substring("source", -1, 1)))
@@ -422,4 +453,4 @@ SQL = {
     "special_cases": f"with {_PRED} select doc_id as row_id, y as y_true, p as y_baseline from pred where y <> p and case when doc_id % 8 = 0 then y else 0 end = y",
 }
 
-QUERIES = {f.__name__: f for f in (class_scores, task_folds, interaction_tfidf, target_encoding, onehot, token_counts, tfidf, interaction, represented, standardize, class_weights, task_weights, feature_crosses, mean_pool, prior, most_frequent, conditional_majority, metrics, per_class, confusion, roc, roc_thinned, auc, group_scores, errors, std_error, flatten_scores, confusion_norm, confusion_to_scores, summary_pivot, summary_display, paired_ttest, label_bias, distribution_facets, learning_curve_table, metric_table, group_table, topk_coefficients, task_loss, available_splits, logreg_predict, logreg_grid, rf_grid, coefficients, batch_scoring, batch_embedding, apply_predictions, model_sweep, domain_discrimination, domain_majorities, special_cases, pca_projection)}
+QUERIES = {f.__name__: f for f in (class_scores, task_folds, interaction_tfidf, target_encoding, onehot, token_counts, tfidf, interaction, represented, standardize, class_weights, task_weights, feature_crosses, mean_pool, prior, most_frequent, conditional_majority, metrics, per_class, confusion, roc, roc_thinned, auc, group_scores, errors, std_error, flatten_scores, confusion_norm, confusion_to_scores, summary_pivot, summary_display, paired_ttest, label_bias, distribution_facets, learning_curve_table, metric_table, group_table, topk_coefficients, task_loss, available_splits, logreg_predict, logreg_grid, rf_grid, coefficients, batch_scoring, batch_embedding, apply_predictions, model_sweep, logistic_sweep, domain_confusion, domain_discrimination, domain_majorities, special_cases, pca_projection)}

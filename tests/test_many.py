@@ -7,7 +7,9 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cohortlens.operators import many as mm
+from cohortlens.operators import metrics as mt
 from cohortlens.operators import models as md
+from cohortlens.operators import splits as sp
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +70,64 @@ def test_a_weighted_row_counts_like_repeated_ones(spark):
     fits = [mm.Fit((c,), "v", "all", c) for c in (0.5, 5.0)]
     a, b = mm.Rows(df, "id", "y", {"all": F.lit(True)}, ["v"], weight="w").fit(fits), mm.Rows(times, "id", "y", {"all": F.lit(True)}, ["v"]).fit(fits)
     assert all(np.allclose(x.coefficients, y.coefficients, atol=1e-5) for x, y in zip(a, b, strict=True))
+
+
+def test_the_sweep_equals_separate_fits(spark, rows):
+    df = rows.select(F.col("vec_id").alias("row_id"), F.concat(F.lit("c"), F.col("label_idx").cast("int")).alias("label"), F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd").alias("keyword_category"), ((F.col("vec_id") / 2).cast("int") % 2).alias("fold"), "few")
+    table, said = md.logistic_sweep(df, ["few"], grid=(0.1, 2.0), percents=[50])
+    got = {(r.keyword_category, r.fold, r.percent, r.c): r for r in table.where("metric = 'macro_f1'").collect()}
+    assert len(got) == 2 * 2 * 2 * 2
+    for task in {k[:3] for k in got}:
+        chosen = [r.c for k, r in got.items() if k[:3] == task and r.chosen]
+        best = max(r.score for k, r in got.items() if k[:3] == task)
+        assert chosen == [min(r.c for k, r in got.items() if k[:3] == task and r.score == best)]
+    spread = df.select("row_id", "keyword_category", "label", F.explode(F.array(F.lit(0), F.lit(1))).alias("__run"), "fold").where("__run <> fold").drop("fold")
+    sets = sp.learning_curve(spread, "row_id", "label", [50], 1, by=["keyword_category", "__run"])
+    idx = df.withColumns({"label_idx": F.substring("label", 2, 1).cast("double"), "features": F.col("few")}).cache()
+    for (category, fold, percent, c), r in got.items():
+        if category == "even" and fold == 1:
+            held = sets.where((F.col("keyword_category") == category) & (F.col("__run") == fold) & (F.col("percent") == percent))
+            train, dev = idx.join(held, "row_id", "left_semi").cache(), idx.where((F.col("keyword_category") == category) & (F.col("fold") == fold))
+            assert train.count() == r["size"] and not train.where("fold = 1 or keyword_category = 'odd'").count()
+            predicted = md.predict_vectors(md.logistic(train, c, max_iter=500), dev, ["c0", "c1", "c2"])
+            want = mt.scores(predicted, "label", "predicted_label").where("metric = 'macro_f1'").first().score
+            assert abs(r.score - want) < 1e-9
+    per_task = said.groupBy("keyword_category", "fold", "percent").count().collect()
+    assert len(per_task) == 8 and sum(r["count"] for r in per_task) == 2 * df.count()
+
+
+def test_curves_within_groups(spark):
+    df = spark.range(400).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 7).alias("y"))
+    curve = sp.learning_curve(df, "id", "y", [1, 25], 2, by=["g"])
+    n = {r.g: r["count"] for r in df.groupBy("g").count().collect()}
+    for r in curve.groupBy("g", "percent", "iteration").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("y").alias("k"), F.max("size").alias("size")).collect():
+        assert r.n == r.ids == r["size"] == max(int(n[r.g] * r.percent / 100), 7) and r.k == 7
+    assert sp.learning_curve(df.limit(0), "id", "y", [50], by=["g"]).count() == 0
+
+
+def test_ten_discriminators(spark, sf_dir):
+    """Names, whole groups, and each regression on crosses by the shares of its train rows' tuples: a saturated model's optimum."""
+    from cohortlens.plans.common import labelled
+    from cohortlens.plans.models import _discriminated
+
+    docs = {r.doc_id: r for r in labelled(spark, sf_dir).select("doc_id", "toxic", "source", "quality", "lang").collect()}
+    got = _discriminated(spark, sf_dir).collect()
+    said = {}
+    for r in got:
+        assert (r.discriminator, r.row_id) not in said and r.y_true == docs[r.row_id].toxic
+        said[r.discriminator, r.row_id] = r
+    names = {n for n, _ in said}
+    crosses = [("source", "quality"), ("source", "lang"), ("quality", "lang"), ("source", "quality", "lang")]
+    assert names == {"most_frequent", *(f"majority_given_{c}" for c in ("source", "quality", "lang")), *(f"logistic_{'_x_'.join(c)}" for c in crosses), "logistic_words", "logistic_words_neutral"}
+    assert len(said) == 10 * len(docs)
+    fold = {i: said["most_frequent", i].fold for i in docs}
+    assert all(r.fold == fold[r.row_id] for r in got) and set(fold.values()) == set(range(5))
+    assert all(fold[i] == fold[j] for i in docs for j in docs if i // 3 == j // 3)
+    for some in crosses:
+        held = 0
+        for i, d in docs.items():
+            same = [o.toxic for j, o in docs.items() if fold[j] != fold[i] and all(o[c] == d[c] for c in some)]
+            if same and 2 * sum(same) != len(same):
+                held += 1
+                assert said[f"logistic_{'_x_'.join(some)}", i].y_pred == (2 * sum(same) > len(same))
+        assert held > len(docs) / 3
