@@ -7,11 +7,13 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlens.operators.guards import none_left
+from cohortlens.sources.shared import stored
 
 
 def target_encoding(df: DataFrame, label_col: str) -> DataFrame:
@@ -70,13 +72,17 @@ def represent(components: Mapping[str, DataFrame], names: Sequence[str]) -> Data
 
 
 def feature_index(features: DataFrame, names: Sequence[str]) -> DataFrame:
-    """(component, feature, index): components in the given order, features by name within one."""
+    """(component, feature, index): components in the given order, features by name within one.
+
+    The distinct features are sorted into ranges and written with their range; they are numbered inside it, after the sizes of the ranges before.
+    """
     place = F.array_position(F.array(*map(F.lit, names)), F.col("component"))
-    held = features.select("component", "feature").distinct()
-    inside = F.row_number().over(Window.partitionBy("component").orderBy("feature")) - 1
-    before = Window.orderBy("place").rowsBetween(Window.unboundedPreceding, -1)  # a row per component
-    starts = held.groupBy("component").agg(F.count("*").alias("n")).withColumn("place", place).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return held.withColumn("at", inside).join(F.broadcast(starts.select("component", "first")), "component").select("component", "feature", (F.col("first") + F.col("at")).cast("int").alias("index"))
+    held = features.select("component", "feature").distinct().withColumn("place", place)
+    held = stored(held.repartitionByRange("place", "component", "feature").withColumn("range", F.spark_partition_id()), "features")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = held.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("place", "component", "feature")) - 1
+    return held.withColumn("at", inside).join(F.broadcast(starts), "range").select("component", "feature", (F.col("first") + F.col("at")).cast("int").alias("index"))
 
 
 def same_features(learned: DataFrame, found: DataFrame) -> DataFrame:
@@ -103,8 +109,6 @@ def standardize_vectors(df: DataFrame, train: DataFrame, col: str = "features")
     n = train.count()
     model = StandardScaler(inputCol=col, outputCol="__z", withMean=True, withStd=True).fit(train)
     root = (n / (n - 1)) ** 0.5 if n > 1 else 1.0
-    from pyspark.ml.functions import vector_to_array
-
     return model.transform(df).withColumn(col, array_to_vector(F.transform(vector_to_array("__z"), lambda x: x * root))).drop("__z")
 
 
@@ -174,16 +178,15 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def mean_pool(df: DataFrame, row_id: str, vectors_col: str, mask_col: str | None = None) -> DataFrame:
-    """(row_id, vector): the mean of a row's token vectors where the mask holds."""
+    """(row_id, vector): the mean of a row's token vectors where the mask holds. Null vectors don't count."""
     kept = F.col(vectors_col) if mask_col is None else F.transform(F.filter(F.arrays_zip(F.col(vectors_col).alias("v"), F.col(mask_col).alias("m")), lambda x: x["m"]), lambda x: x["v"])
-    parts = df.select(F.col(row_id).alias("row_id"), F.explode(kept).alias("v")).select("row_id", F.posexplode("v").alias("d", "x"))
-    return mean_by_position(parts)
+    return mean_vectors(df.select(F.col(row_id).alias("row_id"), F.explode(kept).alias("v")), "row_id", "v")
 
 
-def mean_by_position(parts: DataFrame) -> DataFrame:
-    """(row_id, vector) from (row_id, d, x): the mean of x at each position d."""
-    means = parts.groupBy("row_id", "d").agg(F.avg("x").alias("x"))
-    return means.groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "x"))), lambda p: p["x"]).alias("vector"))
+def mean_vectors(df: DataFrame, row_id: str, vector_col: str) -> DataFrame:
+    """(row_id, vector): the mean of the arrays of each id, which are of one length and have no null numbers; null arrays don't count. A task sends one sum per id."""
+    rows = df.where(F.col(vector_col).isNotNull()).select(F.col(row_id).alias("row_id"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("v"))
+    return rows.groupBy("row_id").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("vector"))
 
 
 #: Keywords that are analysed together.

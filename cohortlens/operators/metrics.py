@@ -76,12 +76,24 @@ def roc_curve(df: DataFrame, positive: Column, score: str, by: Sequence[str] = (
     return c.withColumns({"fpr": F.try_divide("fp", "n_neg"), "tpr": F.try_divide("tp", "n_pos")})
 
 
-def thinned(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """The curve without points that lie on the line between their neighbours."""
-    w = Window.partitionBy(*by).orderBy(F.desc("threshold"))
-    dx0, dy0 = F.col("fp") - F.coalesce(F.lag("fp").over(w), F.lit(0)), F.col("tp") - F.coalesce(F.lag("tp").over(w), F.lit(0))
-    dx1, dy1 = F.lead("fp").over(w) - F.col("fp"), F.lead("tp").over(w) - F.col("tp")
-    return curve.withColumn("__on", F.coalesce(dx0 * dy1 == dx1 * dy0, F.lit(False))).where(~F.col("__on")).drop("__on")
+def thinned(curve: DataFrame, by: Sequence[str] = (), bins: int = 256) -> DataFrame:
+    """The curve without points that lie on the line between their neighbours.
+
+    Neighbours are found inside one of ``bins`` steps per unit of threshold; the first and last point of a step get theirs from the nearest
+    steps that have points, so only a table of two points per step is ordered as a whole.
+    """
+    point = F.struct("fp", "tp")
+    curve = curve.withColumn("__step", F.floor(F.col("threshold") * bins))
+    whole = Window.partitionBy(*by).orderBy(F.desc("__step"))
+    ends = curve.groupBy(*by, "__step").agg(F.max_by(point, "threshold").alias("__first"), F.min_by(point, "threshold").alias("__last"))
+    ends = ends.select(F.col("__step").alias("__of___step"), *[F.col(c).alias(f"__of_{c}") for c in by], F.lag("__last").over(whole).alias("__before"), F.lead("__first").over(whole).alias("__after"))
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*by, "__step")])
+    w = Window.partitionBy(*by, "__step").orderBy(F.desc("threshold"))
+    near = curve.withColumns({"__p": F.lag(point).over(w), "__n": F.lead(point).over(w)}).join(ends, same)
+    p, n = F.coalesce("__p", "__before"), F.coalesce("__n", "__after")
+    dx0, dy0 = F.col("fp") - F.coalesce(p["fp"], F.lit(0)), F.col("tp") - F.coalesce(p["tp"], F.lit(0))
+    on = dx0 * (n["tp"] - F.col("tp")) == (n["fp"] - F.col("fp")) * dy0
+    return near.where(~F.coalesce(on, F.lit(False))).drop("__step", "__p", "__n", "__before", "__after", "__of___step", *[f"__of_{c}" for c in by])
 
 
 def auc(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortlens.operators.many import Fit, Rows
 from cohortlens.operators.metrics import scores
-from cohortlens.operators.splits import learning_curve
+from cohortlens.operators.splits import constrained_resample, learning_curve
 from cohortlens.sources.shared import stored
 
 C_GRID = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 5.0, 10.0)
@@ -135,6 +135,36 @@ def forest_grid(train: DataFrame, dev: DataFrame, labels: Sequence, label_col: s
     return found[best][0], found[best][1], [(p, s) for _, p, s in found]
 
 
+def constrained_forest(rows: DataFrame, key: str, label_col: str, labels: Sequence, draws: int = 3, test_share: float = 0.2, min_train: int = 1, min_test: int = 1, trees: int = 100, depths: Sequence[int | None] = (None, 5, 10, 50), min_splits: Sequence[int] = (2, 5, 10), seed: int = 42, threads: int = 4):
+    """(forest, (depth, least rows to split), scores): the settings of best mean macro F1 over ``draws`` constrained resamples, the first of several, fitted again on all rows.
+
+    The draws are columns of one table that is laid out and cached once; fits run side by side. Depths that MLlib's limit of 30 makes one are fitted once.
+    """
+    for i in range(draws):
+        rows = constrained_resample(rows, key, label_col, test_share, min_train, min_test, seed + i).withColumnRenamed("part", f"__part{i}")
+    held = stored(rows, "forest-rows").cache()
+    settings = [(depth, least) for depth in depths for least in min_splits]
+    same = {s: (min(s[0] or 30, 30), max(1, s[1] // 2)) for s in settings}
+
+    def fitted(train: DataFrame, depth: int, least: int):
+        return RandomForestClassifier(labelCol="label_idx", numTrees=trees, maxDepth=depth, minInstancesPerNode=least, seed=seed).fit(train)
+
+    def one(what: tuple[tuple[int, int], int]) -> float:
+        (depth, least), i = what
+        model = fitted(held.where(F.col(f"__part{i}") == "train"), depth, least)
+        return _macro_f1(predict_vectors(model, held.where(F.col(f"__part{i}") == "test"), labels), label_col)
+
+    todo = [(s, i) for s in dict.fromkeys(same.values()) for i in range(draws)]
+    try:
+        with ThreadPoolExecutor(threads) as pool:
+            found = dict(zip(todo, pool.map(one, todo), strict=True))
+        means = [(s, sum(found[same[s], i] for i in range(draws)) / draws) for s in settings]
+        best = max(range(len(means)), key=lambda k: (means[k][1], -k))
+        return fitted(held, *same[means[best][0]]), means[best][0], means
+    finally:
+        held.unpersist()
+
+
 def coefficients(spark: SparkSession, model: LogisticRegressionModel, features: Sequence[str], labels: Sequence) -> DataFrame:
     """(feature, label, coefficient)."""
     rows = [(f, str(y), float(model.coefficientMatrix[k, j])) for k, y in enumerate(labels) for j, f in enumerate(features)]

@@ -79,12 +79,36 @@ def task_folds(df: DataFrame, categories: Sequence[str], k: int = 5, category_co
     return runs.where((split == "test") | ((split == "train") & ~same) | ((split == "dev") & same)).drop("fold")
 
 
+def first_rows(df: DataFrame, order: Column, key: str, by: Sequence[str], size: Column) -> DataFrame:
+    """The first ``size`` rows by (``order``, ``key``) of each value of ``by``.
+
+    Counts per range of the order tell which ranges are taken whole and which one is cut; only the rows of that one are shuffled and numbered.
+    ``size`` is the same in all rows of a value of ``by``.
+    """
+    df = df.withColumns({"__draw": order, "__size": size})
+    lo, hi = df.agg(F.min("__draw").cast("double"), F.max("__draw").cast("double")).first()
+    step = (hi - lo) / RANGES if lo is not None and hi > lo else 1.0
+    df = df.withColumn("__range", F.coalesce(F.floor((F.col("__draw").cast("double") - F.lit(lo or 0.0)) / step), F.lit(-1)))  # nulls come first
+    upto = Window.partitionBy(*by).orderBy("__range")
+    counts = df.groupBy(*by, "__range").agg(F.count("*").alias("__n"), F.max("__size").alias("__size")).withColumn("__upto", F.sum("__n").over(upto))
+    cut = counts.groupBy(*by).agg(
+        F.min(F.when(F.col("__upto") > F.col("__size"), F.col("__range"))).alias("__cut"),
+        F.max(F.when(F.col("__upto") <= F.col("__size"), F.col("__upto"))).alias("__whole"),
+    ).withColumnsRenamed({c: f"__of_{c}" for c in by})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in by], F.lit(True))
+    near = df.join(F.broadcast(cut), same)  # a row per value of ``by``
+    kept = near.where(F.col("__cut").isNull() | (F.col("__range") < F.col("__cut")))
+    inside = F.row_number().over(Window.partitionBy(*by).orderBy("__draw", key))
+    edge = near.where(F.col("__range") == F.col("__cut")).withColumn("__at", inside).where(F.col("__at") + F.coalesce("__whole", F.lit(0)) <= F.col("__size")).drop("__at")
+    return kept.unionByName(edge).drop("__draw", "__size", "__range", "__cut", "__whole", *[f"__of_{c}" for c in by])
+
+
 def resamples(df: DataFrame, key: str, iterations: int, share: float, seed: int = 42, draw: Column | None = None) -> DataFrame:
     """One set of rows per iteration, each floor(share * rows) of them without replacement; column iteration."""
     n = df.count()
     many = df.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
     order = drawn(F.concat_ws("|", F.col(key), F.col("iteration")), seed) if draw is None else draw
-    return numbered(many, order, key, ["iteration"]).where(F.col("__at") <= int(n * share)).drop("__at")
+    return first_rows(many, order, key, ["iteration"], F.lit(int(n * share)))
 
 
 def learning_curve(df: DataFrame, key: str, label_col: str, percents: Sequence[float] | int, iterations: int = 3, seed: int = 42, draw: Column | None = None, by: Sequence[str] = ()) -> DataFrame:

@@ -95,8 +95,7 @@ def feature_crosses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mean_pool(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select(F.col("label").alias("row_id"), F.posexplode("embedding").alias("d", "x"))
-    return ft.mean_by_position(e.select("row_id", "d", F.col("x").cast("double").alias("x"))).select("row_id", F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 5))
+    return ft.mean_vectors(table(spark, d, "embeddings"), "label", "embedding").select("row_id", F.posexplode("vector").alias("d", "x")).withColumn("x", F.round("x", 5))
 
 
 def prior(spark: SparkSession, d: str) -> DataFrame:
@@ -295,6 +294,12 @@ def rf_grid(spark: SparkSession, d: str) -> DataFrame:
     return md.importances(spark, model, [f"v{i}" for i in range(model.numFeatures)]).withColumn("min_split", F.lit(best[1]))
 
 
+def rf_constrained(spark: SparkSession, d: str) -> DataFrame:
+    """Mean score of each setting over two constrained draws."""
+    _, best, found = md.constrained_forest(_vectors(spark, d), "vec_id", "y", [0, 1, 2], draws=2)
+    return spark.createDataFrame([(depth, least, score, (depth, least) == best) for (depth, least), score in found], "max_depth int, min_split int, macro_f1 double, chosen boolean")
+
+
 def coefficients(spark: SparkSession, d: str) -> DataFrame:
     rows = _vectors(spark, d)
     model = md.logistic(rows, 0.3)
@@ -453,4 +458,4 @@ SQL = {
     "special_cases": f"with {_PRED} select doc_id as row_id, y as y_true, p as y_baseline from pred where y <> p and case when doc_id % 8 = 0 then y else 0 end = y",
 }
 
-QUERIES = {f.__name__: f for f in (class_scores, task_folds, interaction_tfidf, target_encoding, onehot, token_counts, tfidf, interaction, represented, standardize, class_weights, task_weights, feature_crosses, mean_pool, prior, most_frequent, conditional_majority, metrics, per_class, confusion, roc, roc_thinned, auc, group_scores, errors, std_error, flatten_scores, confusion_norm, confusion_to_scores, summary_pivot, summary_display, paired_ttest, label_bias, distribution_facets, learning_curve_table, metric_table, group_table, topk_coefficients, task_loss, available_splits, logreg_predict, logreg_grid, rf_grid, coefficients, batch_scoring, batch_embedding, apply_predictions, model_sweep, logistic_sweep, domain_confusion, domain_discrimination, domain_majorities, special_cases, pca_projection)}
+QUERIES = {f.__name__: f for f in (class_scores, task_folds, interaction_tfidf, target_encoding, onehot, token_counts, tfidf, interaction, represented, standardize, class_weights, task_weights, feature_crosses, mean_pool, prior, most_frequent, conditional_majority, metrics, per_class, confusion, roc, roc_thinned, auc, group_scores, errors, std_error, flatten_scores, confusion_norm, confusion_to_scores, summary_pivot, summary_display, paired_ttest, label_bias, distribution_facets, learning_curve_table, metric_table, group_table, topk_coefficients, task_loss, available_splits, logreg_predict, logreg_grid, rf_grid, rf_constrained, coefficients, batch_scoring, batch_embedding, apply_predictions, model_sweep, logistic_sweep, domain_confusion, domain_discrimination, domain_majorities, special_cases, pca_projection)}

@@ -131,3 +131,56 @@ def test_ten_discriminators(spark, sf_dir):
                 held += 1
                 assert said[f"logistic_{'_x_'.join(some)}", i].y_pred == (2 * sum(same) > len(same))
         assert held > len(docs) / 3
+
+
+def test_a_forest_by_repeated_constrained_draws(spark, rows):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    df = rows.select("vec_id", "label_idx", F.col("label_idx").cast("int").alias("y"), F.col("few").alias("features"))
+    model, best, found = md.constrained_forest(df, "vec_id", "y", [0, 1, 2], draws=2, trees=5, depths=(None, 3), min_splits=(2, 8))
+    want = []
+    for depth, least in ((30, 1), (30, 4), (3, 1), (3, 4)):
+        each = []
+        for i in range(2):
+            held = sp.constrained_resample(df, "vec_id", "y", 0.2, seed=42 + i)
+            forest = RandomForestClassifier(labelCol="label_idx", numTrees=5, maxDepth=depth, minInstancesPerNode=least, seed=42).fit(held.where("part = 'train'"))
+            said = forest.transform(held.where("part = 'test'")).select("y", F.col("prediction").cast("int").alias("p"))
+            each.append(mt.scores(said, "y", "p").where("metric = 'macro_f1'").first().score)
+        want.append(sum(each) / 2)
+    got = [s for _, s in found]
+    assert [p for p, _ in found] == [(None, 2), (None, 8), (3, 2), (3, 8)] and best == found[got.index(max(got))][0]
+    assert np.allclose(got, want, atol=0.15) and model.getNumTrees == 5  # a forest's draws follow the partitions of its rows
+
+
+def test_first_rows_are_the_first(spark):
+    data = [(i, i % 3 if i % 11 else None, [5, 5, None, 1, 9, 2, 2][i % 7]) for i in range(200)]
+    df = spark.createDataFrame(data, "id int, g int, o int")
+    for n in (0, 1, 7, 30, 500):
+        got = {}
+        for r in sp.first_rows(df, F.col("o"), "id", ["g"], F.lit(n)).collect():
+            got.setdefault(r.g, set()).add(r.id)
+        for g in (0, 1, 2, None):
+            of = sorted((o is not None, o or 0, i) for i, h, o in data if h == g)
+            assert got.get(g, set()) == {i for *_, i in of[:n]}
+    assert sp.first_rows(df.limit(0), F.col("o"), "id", ["g"], F.lit(3)).count() == 0
+
+
+def test_thinning_across_steps_and_groups(spark):
+    rng = np.random.default_rng(3)
+    data = [(g, float(t), int(rng.integers(0, 3)), int(rng.integers(0, 3))) for g in ("a", "b") for t in np.unique(rng.integers(0, 4000, 60)) / 1000]
+    df = spark.createDataFrame([(g, t, p) for g, t, neg, pos in data for p in [0] * neg + [1] * pos], "g string, s double, p int")
+    curve = mt.roc_curve(df, F.col("p") == 1, "s", ["g"], bins=2)
+    got = {(r.g, r.threshold) for r in mt.thinned(curve, ["g"], bins=2).collect()}
+    for g in ("a", "b"):
+        points = sorted(((r.threshold, r.fp, r.tp) for r in curve.where(F.col("g") == g).collect()), reverse=True)
+        for k, (t, x, y) in enumerate(points):
+            _, x0, y0 = points[k - 1] if k else (0, 0, 0)
+            on = k + 1 < len(points) and (x - x0) * (points[k + 1][2] - y) == (points[k + 1][1] - x) * (y - y0)
+            assert ((g, t) in got) != on
+
+
+def test_pooled_vectors(spark):
+    df = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [True, True, False]), (2, [[5.0, 6.0], None], [True, True]), (3, [[1.0, 1.0]], [False]), (4, None, None)], "id int, v array<array<double>>, m array<boolean>")
+    from cohortlens.operators import features as ft
+
+    assert {r.row_id: r.vector for r in ft.mean_pool(df, "id", "v", "m").collect()} == {1: [2.0, 3.0], 2: [5.0, 6.0]}
