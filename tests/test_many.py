@@ -184,3 +184,17 @@ def test_pooled_vectors(spark):
     from cohortlens.operators import features as ft
 
     assert {r.row_id: r.vector for r in ft.mean_pool(df, "id", "v", "m").collect()} == {1: [2.0, 3.0], 2: [5.0, 6.0]}
+
+
+def test_a_pass_works_on_the_places_of_its_rows_only(spark, monkeypatch):
+    """Words that a category's rows lack are no numbers of its models, and few passes settle them."""
+    data = [(i, i // 2 % 2, i % 2, Vectors.sparse(400, sorted((200 * (i % 2) + (7 * i * j + j) % 200, 1.0 / j) for j in {1, 2, 3, 5, 9} if (7 * i * j + j) % 200 not in {(7 * i * h + h) % 200 for h in {1, 2, 3, 5, 9} if h < j}))) for i in range(300)]
+    df = spark.createDataFrame(data, ["id", "y", "g", "v"])
+    held = mm.Rows(df, "id", "y", {"train 0": F.col("g") == 0, "train 1": F.col("g") == 1}, ["v"])
+    seen = []
+    gradients = held._gradients
+    monkeypatch.setattr(held, "_gradients", lambda models, *a: seen.append({i: len(m[4]) for i, m in models.items()}) or gradients(models, *a))
+    fitted = held.fit([mm.Fit((g,), "v", f"train {g}", 3.0) for g in range(2)])
+    assert all(n <= 2 * 201 for one in seen for n in one.values()) and len(seen) < 60 and all(x.settled for x in fitted)
+    assert not fitted[0].coefficients[:, 200:].any() and not fitted[1].coefficients[:, :200].any()
+    held.close()
