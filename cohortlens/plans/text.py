@@ -200,7 +200,7 @@ def stream_search_hits(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.sql.functions import col
 
     batch = table(spark, d, "conversations")
-    stream = read_texts(spark, d, batch.schema, glob="conversations.parquet")
+    stream = read_texts(spark, f"{d}/{{conversations.parquet}}", batch.schema)  # a pattern, so that a file and a folder of files both serve
     found = stream_search(stream.withColumn("document_id", col("conv_id")), {"cop": DEMO["cop"]}, 3)
     where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     from cohortlens.streaming.search import run_available

@@ -284,3 +284,12 @@ def test_stream_gives_the_batch_hits(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, search(batch, DEMO).collect()))
     timed = ss.read_texts(spark, f"{tmp_path}/in", batch.schema).withColumn("ts", F.timestamp_seconds("document_id"))
     assert ss.windowed_counts(timed, DEMO, "ts", "10 seconds", "0 seconds").isStreaming and ss.stream_counts(timed, DEMO).isStreaming
+
+
+def test_the_stream_query_reads_a_folder_of_files(spark, sf_dir, tmp_path):
+    from cohortlens.plans.text import stream_search_hits
+
+    whole = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    whole.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = sorted(map(tuple, stream_search_hits(spark, sf_dir).collect()))
+    assert want and sorted(map(tuple, stream_search_hits(spark, str(tmp_path)).collect())) == want
