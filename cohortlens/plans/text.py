@@ -48,7 +48,8 @@ def clinical_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def category_filter(spark: SparkSession, d: str) -> DataFrame:
-    return se.format_for_model(se.search(_docs(spark, d), DEMO, 2), "cop").groupBy("keyword").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("n_docs"))
+    found = se.search(_docs(spark, d), {"cop": DEMO["cop"]}, 2)  # categories are found independently, so the others aren't searched
+    return se.format_for_model(found, "cop").groupBy("keyword").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("n_docs"))
 
 
 def negated_keyword(spark: SparkSession, d: str) -> DataFrame:
@@ -79,9 +80,10 @@ def rewindowed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexicon_categories(spark: SparkSession, d: str) -> DataFrame:
-    hits = recover_category(se.find_hits(_docs(spark, d), DEMO).drop("keyword_category"), DEMO)
+    counted = stored(se.keyword_counts(_docs(spark, d), DEMO).drop("keyword_category"), "keyword-counts")  # a row per keyword, read twice
+    hits = recover_category(counted, DEMO)
     shown = show_categories(spark, DEMO).select("keyword_category", F.array_join("keywords", ", ").alias("keywords"))
-    return hits.groupBy("keyword_category").agg(F.count("*").alias("n")).join(shown, "keyword_category")
+    return hits.groupBy("keyword_category").agg(F.sum("n").alias("n")).join(shown, "keyword_category")
 
 
 def annotated_only(spark: SparkSession, d: str) -> DataFrame:
