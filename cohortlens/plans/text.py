@@ -163,7 +163,7 @@ def phrase_scores(spark: SparkSession, d: str) -> DataFrame:
 
 def phrase_merge(spark: SparkSession, d: str) -> DataFrame:
     t = stored(_simple(spark, d), "tokens")  # read three times
-    found = tk.cooccurrence(t).where("n >= 20").select("a", "b")
+    found = stored(tk.cooccurrence(t).where("n >= 20").select("a", "b"), "phrases")  # read four times
     return tk.merge_phrases(t, found, "doc_id").select("doc_id", F.array_join("tokens", "|").alias("tokens"))
 
 
