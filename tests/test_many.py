@@ -198,3 +198,18 @@ def test_a_pass_works_on_the_places_of_its_rows_only(spark, monkeypatch):
     assert all(n <= 2 * 201 for one in seen for n in one.values()) and len(seen) < 60 and all(x.settled for x in fitted)
     assert not fitted[0].coefficients[:, 200:].any() and not fitted[1].coefficients[:, :200].any()
     held.close()
+
+
+def test_forests_hold_few_trees_at_a_time(rows, monkeypatch):
+    """Groups of trees vote like one forest; settings that MLlib's depth makes one are fitted once, for both choices."""
+    df = rows.select("vec_id", "label_idx", F.col("label_idx").cast("int").alias("y"), F.col("few").alias("features"))
+    grown, forest = [], md._forest
+    monkeypatch.setattr(md, "_forest", lambda train, depth, least, trees, seed: grown.append((depth, least, trees, seed)) or forest(train, depth, least, trees, seed))
+    whole = md.constrained_forest(df, "vec_id", "y", [0, 1, 2], draws=1, trees=6, depths=(None,), min_splits=(2,), refit=False)
+    assert whole[0] is None and grown == [(30, 1, 6, 42)]
+    monkeypatch.setattr(md, "_GROWN", 2 * df.count())
+    few = md.constrained_forest(df, "vec_id", "y", [0, 1, 2], draws=1, trees=6, depths=(None,), min_splits=(2,), refit=False)
+    assert [g[2:] for g in grown[1:]] == [(2, 42), (2, 44), (2, 46)] and abs(few[2][0][1] - whole[2][0][1]) < 0.15
+    grown.clear()
+    model, _, found = md.forest_grid(df.where("vec_id % 5 > 0"), df.where("vec_id % 5 = 0"), [0, 1, 2], "y", trees=3, depths=(None, 50), min_splits=(2, 3))
+    assert len(grown) == 1 and len(found) == 4 and len({s for _, s in found}) == 1 and model.getNumTrees == 3
