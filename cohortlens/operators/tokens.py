@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -124,25 +125,83 @@ def _coded(column: pa.Array, words: pa.Array | None = None) -> tuple[np.ndarray,
 _SORTED = 1 << 21
 
 
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Rows of about ``_SORTED`` tokens together: (the row of each token, its number, the words in the order of these numbers)."""
+    for batch in batches:
+        whole = batch.column(0)
+        sizes = np.cumsum(pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False)) // _SORTED
+        ends = [0, *(np.flatnonzero(np.diff(sizes)) + 1), len(whole)]
+        for i, j in zip(ends, ends[1:], strict=False):
+            starts, codes, words = _coded(whole.slice(i, j - i))
+            yield np.repeat(np.arange(j - i), np.diff(starts)), codes, words
+
+
+#: Bits of a run's hash, and the powers of two between which the filter's bits are (2 to 32 MB).
+_HASHED, _FILTER_BITS = 40, (24, 28)
+
+
+def _runs(of: np.ndarray, codes: np.ndarray, words: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where runs of ``n`` tokens of one row start, a hash of each)."""
+    m = max(0, len(codes) - n + 1)
+    at = np.flatnonzero(of[:m] == of[n - 1 : n - 1 + m])
+    word = pd.util.hash_array(np.array(words.to_pylist(), object), categorize=False)[codes] if m else np.zeros(0, np.uint64)
+    out = word[at]
+    for k in range(1, n):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + word[at + k]
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return at, (out >> np.uint64(64 - _HASHED)).astype(np.int64)
+
+
+def frequent_ngrams(df: DataFrame, tokens_col: str = "tokens", n: int = 2, least: int = 2) -> DataFrame:
+    """(gram, n): runs of ``n`` tokens, joined by a space, that occur ``least`` times or more.
+
+    Tasks count hashes first, and then the texts of only those runs whose hash passes a filter of the frequent ones: a run that passes without being
+    frequent costs a row, and is counted like any other. ``df`` is read twice.
+    """
+    tokens = df.select(tokens_col)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for stretch in _stretches(batches):
+            found, times = np.unique(_runs(*stretch, n)[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], ["h", "n"])
+
+    often = stored(tokens.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "often")
+    bits = min(max(_FILTER_BITS[0], (8 * often.count()).bit_length()), _FILTER_BITS[1])
+    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    marked = often.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("value")).toArrow()  # at most 2^22 words
+    passing = np.zeros(1 << (bits - 6), np.int64)
+    passing[marked.column("word").to_numpy()] = marked.column("value").to_numpy()
+    sent = df.sparkSession.sparkContext.broadcast(passing.view(np.uint8))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for of, codes, words in _stretches(batches):
+            at, h = _runs(of, codes, words, n)
+            h &= (1 << bits) - 1
+            at = at[sent.value[h >> 3] >> (h & 7).astype(np.uint8) & 1 > 0]
+            key = codes[at]
+            for k in range(1, n):
+                key = np.unique(key, return_inverse=True)[1] * len(words) + codes[at + k]
+            _, first, times = np.unique(key, return_index=True, return_counts=True)
+            gram = pc.binary_join_element_wise(*[words.take(pa.array(codes[at[first] + k])) for k in range(n)], " ", null_handling="skip")
+            yield pa.RecordBatch.from_arrays([gram, pa.array(times.astype(np.int64))], ["gram", "n"])
+
+    return tokens.mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
 def cooccurrence(df: DataFrame, tokens_col: str = "tokens", left: int = 0, right: int = 1) -> DataFrame:
     """(a, b, n): how often b stands within ``left`` tokens before and ``right`` after a. Tasks count the pairs of stretches of rows as numbers before any is moved."""
     steps = [*range(-left, 0), *range(1, right + 1)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole = batch.column(0)
-            sizes = np.cumsum(pc.fill_null(pc.list_value_length(whole), 0).to_numpy(zero_copy_only=False)) // _SORTED
-            ends = [0, *(np.flatnonzero(np.diff(sizes)) + 1), len(whole)]
-            for i, j in zip(ends, ends[1:], strict=False):
-                starts, codes, words = _coded(whole.slice(i, j - i))
-                of, keys = np.repeat(np.arange(j - i), np.diff(starts)), []
-                for k in steps:
-                    n = max(0, len(codes) - abs(k))
-                    first, second = slice(max(0, -k), max(0, -k) + n), slice(max(0, k), max(0, k) + n)
-                    keys.append((codes[first] * len(words) + codes[second])[of[first] == of[second]])
-                found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True)
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([words.take(pa.array(found // len(words))), words.take(pa.array(found % len(words))), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+        for of, codes, words in _stretches(batches):
+            keys = []
+            for k in steps:
+                n = max(0, len(codes) - abs(k))
+                first, second = slice(max(0, -k), max(0, -k) + n), slice(max(0, k), max(0, k) + n)
+                keys.append((codes[first] * len(words) + codes[second])[of[first] == of[second]])
+            found, n = np.unique(np.concatenate([np.zeros(0, np.int64), *keys]), return_counts=True)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(found // len(words))), words.take(pa.array(found % len(words))), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
     return df.select(tokens_col).mapInArrow(count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 

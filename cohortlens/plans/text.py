@@ -146,7 +146,7 @@ def removed_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ngrams(spark: SparkSession, d: str) -> DataFrame:
-    return _simple(spark, d).select(F.explode(tk.ngrams(F.col("tokens"), 3)).alias("g")).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count("*").alias("n")).where("n >= 3")
+    return tk.frequent_ngrams(_simple(spark, d), "tokens", 3, 3)
 
 
 def vocabulary(spark: SparkSession, d: str) -> DataFrame:
