@@ -33,6 +33,17 @@ def one_hot(df: DataFrame, row_id: str, source_col: str, component: str, train:
     return df.join(fit, source_col, "left_semi").select(F.col(row_id).alias("row_id"), F.lit(component).alias("component"), F.col(source_col).cast("string").alias("feature"), F.lit(1.0).alias("value"))
 
 
+#: The most rows, and the most bytes of names, of a table of terms that is sent to tasks.
+_SENT = 1 << 20, 32 << 20
+
+
+def sent(terms: DataFrame, name_col: str) -> DataFrame:
+    """``terms``, stored, and to be broadcast in joins if they are at most 1,048,576 rows with 32 MB of names."""
+    held = stored(terms, "terms")
+    n, size = held.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(name_col)), F.lit(0))).first()
+    return F.broadcast(held) if n <= _SENT[0] and size <= _SENT[1] else held
+
+
 def count_features(df: DataFrame, row_id: str, tokens_col: str, vocabulary: DataFrame, component: str = "tokens") -> DataFrame:
     """How often each token of the vocabulary is in a row."""
     tokens = df.select(F.col(row_id).alias("row_id"), F.explode(tokens_col).alias("token"))

@@ -30,15 +30,15 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _counts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    t = _tokens(spark, d)
-    v = vocabulary(t.where("doc_id % 5 > 0"), rm_top=0, min_freq=20, stopwords=["the"])
-    return t, ft.count_features(t, "doc_id", "tokens", v)
+    t = stored(_tokens(spark, d), "tokens")  # read for the vocabulary, the weights and the counts
+    v = ft.sent(vocabulary(t.where("doc_id % 5 > 0"), rm_top=0, min_freq=20, stopwords=["the"]).select("token"), "token")
+    return t, ft.count_features(t.repartition("doc_id"), "doc_id", "tokens", v)  # whole lists are moved; what follows by row stays where it is
 
 
 def _idf(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     t, counts = _counts(spark, d)
     train = counts.where("row_id % 5 > 0")
-    return t, counts, ft.idf(train, t.where("doc_id % 5 > 0").count())
+    return t, counts, ft.sent(ft.idf(train, t.where("doc_id % 5 > 0").count()), "feature")
 
 
 def target_encoding(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,8 @@ def interaction(spark: SparkSession, d: str) -> DataFrame:
 def interaction_tfidf(spark: SparkSession, d: str) -> DataFrame:
     t, counts = _counts(spark, d)
     both = ft.interactions(ft.one_hot(t, "doc_id", "lang", "lang"), counts, "lang x tokens")
-    return ft.tfidf(both, ft.idf(both.where("row_id % 5 > 0"), t.where("doc_id % 5 > 0").count())).withColumn("value", F.round("value", 6))
+    weights = ft.sent(ft.idf(both.where("row_id % 5 > 0"), t.where("doc_id % 5 > 0").count()), "feature")
+    return ft.tfidf(both, weights).withColumn("value", F.round("value", 6))
 
 
 def represented(spark: SparkSession, d: str) -> DataFrame:

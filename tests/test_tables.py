@@ -1,5 +1,6 @@
 import math
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -293,3 +294,24 @@ def test_the_stream_query_reads_a_folder_of_files(spark, sf_dir, tmp_path):
     whole.repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     want = sorted(map(tuple, stream_search_hits(spark, sf_dir).collect()))
     assert want and sorted(map(tuple, stream_search_hits(spark, str(tmp_path)).collect())) == want
+
+
+@pytest.mark.parametrize("limit", [(1 << 20, 32 << 20), (0, 0)])
+def test_counts_move_whole_token_lists_once(spark, sf_dir, monkeypatch, limit):
+    """Terms are sent to tasks while they are few, so that counts of words are never moved; beyond that they are joined, with the same rows."""
+    from cohortlens.plans import models as plans
+
+    monkeypatch.setattr(ft, "_SENT", limit)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # only what is marked is sent
+    try:
+        counts = plans._counts(spark, sf_dir)[1]
+        moved = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("hashpartitioning(")
+        assert moved == 1 if limit[0] else moved > 1
+        rows, held = plans.interaction_tfidf(spark, sf_dir).collect(), {(r.row_id, r.feature) for r in counts.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    squares = Counter()
+    for r in rows:
+        squares[r.row_id] += r.value**2
+    assert rows and all(abs(n - 1) < 1e-3 for n in squares.values())
+    assert {(r.row_id, r.feature.split("tokens=")[1][:-1]) for r in rows} <= held
