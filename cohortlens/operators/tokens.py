@@ -165,7 +165,7 @@ def frequent_ngrams(df: DataFrame, tokens_col: str = "tokens", n: int = 2, least
             found, times = np.unique(_runs(*stretch, n)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], ["h", "n"])
 
-    often = stored(tokens.mapInArrow(hashes, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "often")
+    often = stored(tokens.mapInArrow(hashes, "h long, n long").repartition("h").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h"), "often")  # moved first: few are equal within a task, and their map would spill
     bits = min(max(_FILTER_BITS[0], (8 * often.count()).bit_length()), _FILTER_BITS[1])
     place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     marked = often.groupBy(F.shiftright(place, 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("value")).toArrow()  # at most 2^22 words
