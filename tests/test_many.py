@@ -213,3 +213,20 @@ def test_forests_hold_few_trees_at_a_time(rows, monkeypatch):
     grown.clear()
     model, _, found = md.forest_grid(df.where("vec_id % 5 > 0"), df.where("vec_id % 5 = 0"), [0, 1, 2], "y", trees=3, depths=(None, 50), min_splits=(2, 3))
     assert len(grown) == 1 and len(found) == 4 and len({s for _, s in found}) == 1 and model.getNumTrees == 3
+
+
+def test_a_pass_reads_the_blocks_of_its_masks_only(spark):
+    """Rows of equal masks lie together, a block lists its places once, and sums over stretches and empty rows are the plain ones."""
+    data = [(i, i % 2, i % 2, Vectors.sparse(100_000, sorted({(i * j * 7919) % 100_000: 1.0 for j in range(1, 200)}.items()))) for i in range(4000)]
+    df = spark.createDataFrame(data, ["id", "y", "g", "v"]).coalesce(1)
+    held = mm.Rows(df, "id", "y", {"train 0": F.col("g") == 0, "train 1": F.col("g") == 1}, ["v"])
+    n = held.df.count()
+    assert n >= 3 and held._parts(["v"], [0]).count() <= n / 2 + 1 and held._parts(["v"], [0, 1]).count() == n
+    held.close()
+    rng = np.random.default_rng(1)
+    lengths = np.array([0, 3, 40_000, 0, 1, 0])
+    starts, w = np.concatenate([[0], np.cumsum(lengths)]), rng.normal(size=(3, 50))
+    places, values = rng.integers(0, 50, lengths.sum()), rng.normal(size=lengths.sum())
+    want = [(w[:, places[a:b]] * values[a:b]).sum(axis=1) for a, b in zip(starts, starts[1:])]
+    assert np.allclose(mm._scores(w, starts, places, values), want)
+    assert np.allclose(mm._scores(w, starts[2:4], places, values), want[2:3]) and mm._scores(w, starts[:1], places, values).shape == (0, 3)
