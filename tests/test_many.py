@@ -230,3 +230,44 @@ def test_a_pass_reads_the_blocks_of_its_masks_only(spark):
     want = [(w[:, places[a:b]] * values[a:b]).sum(axis=1) for a, b in zip(starts, starts[1:])]
     assert np.allclose(mm._scores(w, starts, places, values), want)
     assert np.allclose(mm._scores(w, starts[2:4], places, values), want[2:3]) and mm._scores(w, starts[:1], places, values).shape == (0, 3)
+
+
+def test_forests_grow_from_counts_and_from_rows_alike(spark, rows, monkeypatch):
+    """One growth serves all depths of a setting; a forest whose upper nodes are split from counts is as good, scores each row once and gives importances that add up to 1."""
+    from cohortlens.operators import forests as fo
+
+    df = rows.select("vec_id", "label_idx", F.col("label_idx").cast("int").alias("y"), F.when(F.col("vec_id") % 2 == 0, array_to_vector(F.array(*[F.get(vector_to_array("few"), F.lit(i)) + (3 if i == 2 else 0) * F.col("label_idx") for i in range(5)]))).otherwise(F.col("few")).alias("features")).where("vec_id % 2 = 0").cache()
+    train, dev = df.where("vec_id % 10 > 0"), df.where("vec_id % 10 = 0")
+    grown, made = [], md._forest
+    monkeypatch.setattr(md, "_forest", lambda *a: grown.append(a[1:]) or made(*a))
+    model, _, found = md.forest_grid(train, dev, [0, 1, 2], "y", trees=6, depths=(None, 3, 5), min_splits=(2, 4))
+    assert [g[:2] for g in grown] == [(30, 1), (30, 2)] and len(found) == 6 and min(s for _, s in found) > 0.8
+    monkeypatch.setattr(fo, "_TOGETHER", 60)
+    forest = fo.Forest(train, 30, 1, 6, 42)
+    said = forest.votes(dev, [2, 30]).collect()
+    assert sorted(r.vec_id for r in said) == sorted(r.vec_id for r in dev.collect())
+    assert all(abs(sum(r[f"votes {d}"]) - 6) < 1e-9 for r in said for d in (2, 30))
+    assert np.mean([np.argmax(r["votes 30"]) == r.y for r in said]) > 0.8
+    for f in (forest, model):
+        assert abs(f.featureImportances.toArray().sum() - 1) < 1e-9 and np.argmax(f.featureImportances.toArray()) == 2
+    assert {r.vec_id: r.rawPrediction.toArray().tolist() for r in forest.transform(dev).collect()} == {r.vec_id: list(r["votes 30"]) for r in said}
+    df.unpersist()
+
+
+def test_the_best_split_is_that_of_a_plain_loop():
+    from cohortlens.operators import forests as fo
+
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        n, least = int(rng.integers(2, 30)), int(rng.integers(1, 4))
+        x, y, w, node = rng.integers(0, 6, (n, 3)).astype(np.uint8), rng.integers(0, 3, n), rng.integers(1, 4, n), rng.integers(0, 2, n)
+        gain, feature, last = fo._splits(x, y, w, node, np.tile(np.arange(3), (2, 1)), np.bincount(node * 3 + y, w, 6).reshape(2, 3), least)
+        for o in range(2):
+            gini = lambda q, y=y, w=w: 1 - sum((w[q & (y == c)].sum() / w[q].sum()) ** 2 for c in range(3))
+            held, worth = node == o, {}
+            for j in range(3):
+                for s in range(6):
+                    a, b = held & (x[:, j] <= s), held & (x[:, j] > s)
+                    if w[a].sum() >= least and w[b].sum() >= least:
+                        worth[j, s] = gini(held) - (w[a].sum() * gini(a) + w[b].sum() * gini(b)) / w[held].sum()
+            assert abs(max([0, *worth.values()]) - gain[o]) < 1e-9 and (not gain[o] or abs(worth[feature[o], last[o]] - gain[o]) < 1e-9)
