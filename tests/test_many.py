@@ -271,3 +271,20 @@ def test_the_best_split_is_that_of_a_plain_loop():
                     if w[a].sum() >= least and w[b].sum() >= least:
                         worth[j, s] = gini(held) - (w[a].sum() * gini(a) + w[b].sum() * gini(b)) / w[held].sum()
             assert abs(max([0, *worth.values()]) - gain[o]) < 1e-9 and (not gain[o] or abs(worth[feature[o], last[o]] - gain[o]) < 1e-9)
+
+
+def test_two_classes_are_fitted_by_their_difference(spark, monkeypatch):
+    """Half the numbers, and the weights of a fit that has both classes: their penalised loss is flat."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(120, 4)), rng.integers(0, 2, 120) * 2
+    df = spark.createDataFrame([(i, int(c), Vectors.dense(v)) for i, (v, c) in enumerate(zip(x.tolist(), y, strict=True))] + [(900, 1, Vectors.dense([0.0] * 4))], ["id", "y", "v"])
+    held = mm.Rows(df, "id", "y", {"two": F.col("y") != 1}, ["v"])
+    seen, gradients = [], held._gradients
+    monkeypatch.setattr(held, "_gradients", lambda models, *a: seen.append({len(m[4]) for m in models.values()}) or gradients(models, *a))
+    (found,) = held.fit([mm.Fit(("two",), "v", "two", 0.5, False)], tol=1e-9)
+    assert all(s == {5} for s in seen) and found.settled and not found.weights[1].any() and np.isneginf(found.intercepts[1])
+    w, b = found.weights[[0, 2]], found.intercepts[[0, 2]]
+    p = np.exp(x @ w.T + b)
+    p = p / p.sum(axis=1, keepdims=True) - (y[:, None] == [0, 2])
+    assert np.abs(p.T @ x + w / 0.5).max() < 1e-5 and np.abs(p.sum(axis=0)).max() < 1e-5
+    held.close()
