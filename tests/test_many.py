@@ -288,3 +288,21 @@ def test_two_classes_are_fitted_by_their_difference(spark, monkeypatch):
     p = p / p.sum(axis=1, keepdims=True) - (y[:, None] == [0, 2])
     assert np.abs(p.T @ x + w / 0.5).max() < 1e-5 and np.abs(p.sum(axis=0)).max() < 1e-5
     held.close()
+
+
+def test_vocabularies_are_learned_side_by_side(spark, monkeypatch):
+    """Each column's vectors are those of its own counts; no vocabulary waits for the other."""
+    import threading
+
+    from cohortlens.operators import stages as sg
+    from cohortlens.plans.models import _word_vectors
+
+    both, fit = threading.Barrier(2, timeout=60), sg.FeatureStage._fit
+    monkeypatch.setattr(sg.FeatureStage, "_fit", lambda self, df: both.wait() is not None and fit(self, df))
+    df = spark.createDataFrame([(1, ["a", "b", "b"], ["c"]), (2, ["a"], ["c", "d", "d"]), (3, [], None)], "id int, x array<string>, z array<string>")
+    rows = _word_vectors(df, {"x vec": "x", "z vec": "z"}, 2).select("id", vector_to_array("x vec").alias("vx"), vector_to_array("z vec").alias("vz")).collect()
+    made = {r.id: (r.vx, r.vz) for r in rows}
+    want = {1: ([1, 2], [1, 0]), 2: ([1, 0], [1, 2]), 3: ([0, 0], [0, 0])}
+    for i, pair in want.items():
+        for got, v in zip(made[i], pair, strict=True):
+            assert np.allclose(got, np.array(v) / max(np.linalg.norm(v), 1e-300))
